@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, topk, urlfilter, vectordup
+from . import minhash, mixing, quality, topk, toxicity, urlfilter, vectordup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -34,7 +38,15 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats", "part")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op3_exact_top_k, op6_vector_near_dedup, op8_source_mix)}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), percent=75)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op3_exact_top_k, op5_toxicity_chain, op6_vector_near_dedup, op8_source_mix, op9_minhash_near_dedup, op10_quality_classifier)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FINITE = "{0} IS NOT NULL AND len(list_filter({0}, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
