@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, slices, written
 
-MAGIC, CHUNK, RANK_BITS, IMAGE, KEPT_PIECES = b"TDAC0001", 8, 512, 1 << 20, 400_000
+MAGIC, CHUNK, RANK_BITS, IMAGE, KEPT_PIECES = b"TDAC0001", 8, 512, 1 << 20, 1_000_000
 
 
 # -- codes -----------------------------------------------------------------------------------------------------
@@ -169,7 +169,7 @@ class PieceEncoder:
         memory = self.memory
         if len(memory) > self.kept:
             memory.clear()
-        new = list({p for ps in pieces if ps for p in ps if p not in memory})
+        new = list(set().union(*filter(None, pieces)) - memory.keys())
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             memory.update(zip(part, self._library(part), strict=True))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, quality, topk, toxicity, urlfilter, vectordup
+from . import bpe, dac, html, minhash, mixing, quality, topk, toxicity, urlfilter, vectordup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,17 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), alpha=0.1, seed=23)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_read(spark, sf_dir, "pages"))
 
@@ -25,6 +36,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -33,6 +48,11 @@ def op6_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = dac.write(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return dac.documents(spark, path)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(_read(spark, sf_dir, "documents"), seed=17, share=1.5, max_epochs=2.0)
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats", "part")
@@ -46,7 +66,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op3_exact_top_k, op5_toxicity_chain, op6_vector_near_dedup, op8_source_mix, op9_minhash_near_dedup, op10_quality_classifier)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_sentencepiece_dropout, op2_url_filter, op3_exact_top_k, op4_html_main_text, op5_toxicity_chain, op6_vector_near_dedup, op7_token_file, op8_source_mix, op9_minhash_near_dedup, op10_quality_classifier)
+}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FINITE = "{0} IS NOT NULL AND len(list_filter({0}, lambda x: x IS NULL OR NOT isfinite(x))) = 0"

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import slices, written
 from .urlfilter import canonical
 
-MIN_PAGES, MIN_SHARE, BROADCAST_KEYS = 5, 0.2, 1 << 18
+MIN_PAGES, MIN_SHARE, BROADCAST_KEYS = 5, 0.1, 1 << 18
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
