@@ -123,6 +123,8 @@ def image_bytes(doc_ids: np.ndarray, valid: np.ndarray, counts: np.ndarray, ids:
 # -- tokens ----------------------------------------------------------------------------------------------------
 
 _PIECE = re.compile(r"[^\x20\t-\r]+")
+#: ASCII, Latin letters from U+00C0 to U+017F but the dotted capital I, and dashes and quotes: no marks, no other blanks.
+_LATIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u2010-\u2027]*")
 _open: dict[str, PieceEncoder] = {}
 
 
@@ -144,9 +146,10 @@ class PieceEncoder:
         split = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         self.apart = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} in normal and split.get("behavior") == "Removed" and bool(split.get("invert")) and not rules.get("post_processor")
         self.lower = {"type": "Lowercase"} in normal
-        # Over lower-case ASCII the tokenizer's own pattern, in the terms of re, cuts smaller and so more equal pieces.
-        pattern = split.get("pattern", {}).get("Regex", "").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
-        self.ascii = re.compile(pattern, re.ASCII) if self.apart and self.lower and pattern and "\\p" not in pattern and "A-Z" not in pattern else _PIECE
+        # Texts of these characters are in normal form C as they are, and lower-case alike everywhere: there the
+        # tokenizer's own pattern, in the terms of re, cuts words of their own, smaller and so more often equal.
+        pattern = split.get("pattern", {}).get("Regex", "").replace(r"\p{L}", "a-z\u00df-\u00f6\u00f8-\u017f").replace(r"\p{N}", "0-9").replace(r"\s", r" \t-\r")
+        self.fine = re.compile(pattern) if self.apart and self.lower and pattern and "\\p" not in pattern and "A-Z" not in pattern else None
         self.added = {t["content"][:2] for t in rules.get("added_tokens", []) if t["content"]}
         self.memory: dict[str, bytes] = {}
         self.kept = kept
@@ -158,21 +161,43 @@ class PieceEncoder:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the tokenizer keeps apart: many in one text, divided by the library's word numbers."""
+        groups = [words[at : at + 256] for at in range(0, len(words), 256)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            numbers, ids = np.array([-1 if w is None else w for w in e.word_ids]), np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(np.diff(numbers)) + 1, len(ids)) if len(ids) else np.zeros(0, np.int64)
+            if len(ends) != len(group) or (numbers < 0).any():
+                out += self._library(group)
+                continue
+            blob, start = ids.tobytes(), 0
+            for end in (ends * 4).tolist():
+                out.append(blob[start:end])
+                start = end
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces: list[list[str] | None] = []
+        words: set[str] = set()
+        others: set[str] = set()
         for text in texts:
-            if self._plain(text):
-                # Lower-casing first is the same for ASCII.
-                pieces.append(self.ascii.findall(text.lower()) if self.lower and text.isascii() else _PIECE.findall(text))
-            else:
+            if not self._plain(text):
                 pieces.append(None)
+            elif self.fine and (text.isascii() or _LATIN.fullmatch(text)):
+                pieces.append(self.fine.findall(text.lower()))
+                words.update(pieces[-1])
+            else:
+                pieces.append(_PIECE.findall(text))
+                others.update(pieces[-1])
         memory = self.memory
         if len(memory) > self.kept:
             memory.clear()
-        new = list(set().union(*filter(None, pieces)) - memory.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            memory.update(zip(part, self._library(part), strict=True))
+        for found, run in ((words, self._words), (others, self._library)):
+            new = [p for p in found if p not in memory]
+            for at in range(0, len(new), 8192):
+                part = new[at : at + 8192]
+                memory.update(zip(part, run(part), strict=True))
         whole = iter(self._library([t for t, ps in zip(texts, pieces, strict=True) if ps is None]))
         return [next(whole) if ps is None else b"".join(map(memory.__getitem__, ps)) for ps in pieces]
 
