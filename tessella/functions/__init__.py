@@ -1,0 +1,3 @@
+"""Column functions over series (arrays of doubles) and their summaries, and the same as array kernels."""
+
+from .columns import *  # noqa: F403
