@@ -1,47 +1,28 @@
-"""What the operators share: the folder that all executors see, written tables, batches."""
+"""What the operators share: written tables (from the library), batches, column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+from ..plans.storage import new_path, remove, shared_dir, written  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = jvm.get() if jvm.isDefined() else None
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
-        named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return named.rstrip("/")
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that isn't taken, whatever its letters' case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, which survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.table_path = path
-    return out
-
-
-def remove(df: DataFrame) -> None:
-    """Deletes a table made by written() that no later plan reads."""
-    if path := getattr(df, "table_path", None):
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def named(columns: list[str]) -> list[Column]:
+    """Columns by name, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ from .common import slices, written
 from .urlfilter import canonical
 
 MIN_PAGES, MIN_SHARE, BROADCAST_KEYS = 5, 0.1, 1 << 18
+#: Longer subtrees have no key of their own; their parts have. So deep nesting costs no more than depth times this.
+LONGEST_KEY = 1 << 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
@@ -104,9 +107,10 @@ class Page:
 
     def _close(self, end: int) -> None:
         e = self._stack.pop()
+        self._open_tags[e.tag] -= 1
         if e.tag in BLOCK:
             self._flush()
-            if e.tag not in ("html", "body"):
+            if e.tag not in ("html", "body") and end - e.start <= LONGEST_KEY:
                 key = xxhash.xxh3_64_intdigest(self._source[e.start : end], self._salt) - (1 << 63)
                 self.keys.append(key)
                 if not e.dropped and key in self._template:
@@ -125,6 +129,7 @@ class Page:
     def _parse(self) -> None:
         source, at, low = self._source, 0, None
         self._stack: list[Element] = []
+        self._open_tags: Counter[str] = Counter()
         self._run: list[str] = []
         self._dropped = self._inside = self._has_article = False
         n = len(source)
@@ -142,7 +147,7 @@ class Page:
                 break  # the page ends in this tag
             tag = tag.lower()
             if m[1]:
-                if any(e.tag == tag for e in self._stack):
+                if self._open_tags[tag]:
                     # An end tag closes what is open inside, but inline tags don't close blocks.
                     depth = next(k for k in range(len(self._stack) - 1, -1, -1) if self._stack[k].tag == tag)
                     if tag in BLOCK or not any(e.tag in BLOCK for e in self._stack[depth + 1 :]):
@@ -179,12 +184,12 @@ class Page:
         if tag == "br":
             self._add(" ")
             return
-        if tag in CLOSES_P and any(e.tag == "p" for e in self._stack):
+        if tag in CLOSES_P and self._open_tags["p"]:
             depth = next(k for k in range(len(self._stack) - 1, -1, -1) if self._stack[k].tag == "p")
             if not any(e.tag in BLOCK for e in self._stack[depth + 1 :]):
                 while len(self._stack) > depth:
                     self._close(start)
-        for closed in (CLOSES[tag],) if tag in CLOSES else ():
+        for closed in (CLOSES[tag],) if tag in CLOSES and any(self._open_tags[c] for c in CLOSES[tag]) else ():
             for k in range(len(self._stack) - 1, -1, -1):
                 if self._stack[k].tag in closed:
                     while len(self._stack) > k:
@@ -201,6 +206,7 @@ class Page:
         e = Element(tag, start, dropped, in_article)
         e.marks = len(self._blocks)
         self._stack.append(e)
+        self._open_tags[tag] += 1
         self._dropped = dropped
         if tag in ("article", "main") and not dropped:
             self._inside = self._has_article = True
@@ -261,7 +267,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     salts = 16
     with_digest = pages.select("url", "html").mapInArrow(_page_keys, "host long, digest long, keys array<long>")
     asked = with_digest.select("digest", F.explode("keys").alias("key")).distinct().withColumn("salt", F.pmod("digest", F.lit(salts)))
-    spread = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    spread = template.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     mine = asked.join(spread, ["key", "salt"]).groupBy("digest").agg(F.collect_list("key").alias("keys"))
     digest = F.arrow_udf(_digests, "long")
     joined = pages.withColumn("digest", digest(F.col("url"), F.col("html"))).join(written(mine, "page-templates"), "digest", "left")

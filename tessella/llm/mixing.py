@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, named, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -82,8 +82,8 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
     Rows are matched to their repeats by doc_id; rows that repeat a doc_id share the mean of their repeats, rounded.
     """
-    plan = mix(docs, **options).groupBy("doc_id").agg(F.round(F.avg(F.col("repeats") + (2 * F.col("part") >= F.greatest(F.col("size"), F.lit(1))).cast("long"))).cast("int").alias("__times"))
-    columns = docs.columns
-    plan = plan.withColumnRenamed("doc_id", "__id")
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id"))).filter("__times > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
+    own, times, copy = (fresh(docs.columns, c) for c in ("__id", "__times", "__copy"))
+    repeats = F.col("repeats") + (2 * F.col("part") >= F.greatest(F.col("size"), F.lit(1))).cast("long")
+    plan = mix(docs, **options).groupBy(F.col("doc_id").alias(own)).agg(F.round(F.avg(repeats)).cast("int").alias(times))
+    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(own))).filter(F.col(times) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*named(docs.columns))
