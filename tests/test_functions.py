@@ -16,7 +16,7 @@ def one(spark, rows, schema, *columns):
 
 
 def test_paa_small(spark):
-    assert one(spark, [([1.0, 3, 2, 2, 0, 4, -1, 1],)], "v array<double>", C.paa(F.col("v"), 8, 4).alias("p")).p == [2, 2, 2, 0]
+    assert one(spark, [([1.0, 3.0, 2.0, 2.0, 0.0, 4.0, -1.0, 1.0],)], "v array<double>", C.paa(F.col("v"), 8, 4).alias("p")).p == [2, 2, 2, 0]
 
 
 def test_sax_edges(spark):

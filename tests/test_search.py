@@ -67,8 +67,8 @@ def test_approximate_and_radius(spark, walks, asked):
 
 
 def test_empty_root_still_gets_an_answer(spark):
-    series = spark.createDataFrame([(0, [1.0, 1, 1, 1, -1, -1, -1, -1])], "series_id long, values array<double>")
-    q = spark.createDataFrame([(5, [-1.0, -1, -1, -1, 1, 1, 1, 1])], "query_id long, values array<double>")
+    series = spark.createDataFrame([(0, [1.0] * 4 + [-1.0] * 4)], "series_id long, values array<double>")
+    q = spark.createDataFrame([(5, [-1.0] * 4 + [1.0] * 4)], "query_id long, values array<double>")
     tree = index.build(series, IndexConfig(8, 2, 8, 5))
     assert search.approximate(search.prepared(q, tree), tree).isEmpty()
     assert [(r.series_id, r.d2) for r in search.exact(q, tree).collect()] == [(0, 32.0)]
