@@ -7,8 +7,8 @@ falls under alpha; it can only come back as a new candidate, when a neighbour ha
 varies by seed and variant, and repeats exactly for the same ones. Skipped merges never change the text: decoding
 joins the pieces' bytes, and gives back every text exactly.
 
-Merges never cross into a blank from another character (checked against the vocabulary), so texts are cut into
-units, a run of blanks with the characters up to the next blank, and equal units of a variant are encoded once, in
+Merges never cross into a blank from another character, nor from a letter into what isn't one (both are checked
+against the vocabulary), so texts are cut into units at these places, and equal units of a variant are encoded once, in
 arrays of many units at a time, and kept in a bounded memory. Variants rotate with the unit's number in the text
 from a start that hashes the row's key, so occurrences of a word differ within and between texts.
 
@@ -78,7 +78,15 @@ class MergeDropout:
         single = sorted((ord(c), i) for c, i in normal.items() if len(c) == 1)
         self.char_points, self.char_ids = (np.array(x, np.int64) for x in zip(*single, strict=True))
         apart = "".join(c for c in "\n\t" if not any(c in p for p in normal if len(p) > 1))
-        self.units = re.compile(f"{BLANK}*[^{BLANK}{apart}]+|{BLANK}+" + (f"|[{apart}]" if apart else ""))
+        # Letters that no piece holds before anything but such a letter: a unit may end where their run ends.
+        letters = {c for c in map(chr, [*range(65, 123), *range(0xC0, 0x180)]) if c.isalpha()}
+        neighbours = {(a, b) for p in normal for a, b in zip(p, p[1:])}
+        while crossed := {a for a, b in neighbours if a in letters and b not in letters}:
+            letters -= crossed
+        run, rest = "".join(sorted(letters)), f"[^{BLANK}{apart}]"
+        other = f"[^{BLANK}{apart}{run}]"
+        inner = f"(?:{other}*[{run}]+|{other}+)" if letters else f"{rest}+"
+        self.units = re.compile(f"{BLANK}*{inner}|{BLANK}+" + (f"|[{apart}]" if apart else ""))
         self.memory: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
     # -- merging -----------------------------------------------------------------------------------------------
