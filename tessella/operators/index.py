@@ -76,11 +76,14 @@ def build(series: DataFrame, config: IndexConfig, split: bool = True) -> Index:
         now = now.join(chosen.select("node", "segment"), "node").select("series_id", "sax", F.concat_ws(".", "node", at, bit).alias("node"), more.alias("kept"))
         now = written(now, "open")
         depth += 1
-    placed = now
-    for part in done:
-        placed = placed.unionByName(part)
-    placed = placed.select("series_id", F.col("node").alias("leaf"), "kept")
-    entries = written(summaries.join(placed, "series_id"), "entries")
+    if splits:
+        placed = now
+        for part in done:
+            placed = placed.unionByName(part)
+        placed = placed.select("series_id", F.col("node").alias("leaf"), "kept")
+        entries = written(summaries.join(placed, "series_id"), "entries")
+    else:
+        entries = summaries.withColumn("leaf", F.col("root").cast("string")).withColumn("kept", ones)
     leaves = entries.groupBy("leaf").agg(F.first("root").alias("root"), F.first("kept").alias("kept"), F.first("sax").alias("sax"), F.count("*").alias("n"))
     leaves = written(leaves.select("leaf", "root", isax_word(F.col("sax"), F.col("kept"), config.bits).alias("word"), "kept", "n"), "leaves")
     empty = chosen.withColumn("depth", F.lit(0)).limit(0) if split else leaves.selectExpr("leaf node", "0 segment", "n", "0 depth").limit(0)

@@ -50,7 +50,10 @@ def _best(q: np.ndarray, s: np.ndarray, d: np.ndarray, k: int) -> pa.Table:
 
 
 def _candidates(config: IndexConfig, series: pa.Table, queries: pa.Table):
-    """Leaf by leaf: rows of series, rows of queries whose bounds let them in, and which records pass for which."""
+    """Rows of series, rows of queries whose node bounds let them in, which records pass for which, and how many leaves these are.
+
+    Goes by whichever is fewer, leaves or queries: many queries share a leaf's work, many leaves share a query's.
+    """
     ids, x, sax = series.column("series_id").to_numpy(), kernels.matrix(series.column("values"), config.length), kernels.matrix(series.column("sax"), config.segments, np.int64)
     kept = kernels.matrix(series.column("kept"), config.segments, np.int64)
     q_ids, q, means = queries.column("query_id").to_numpy(), kernels.matrix(queries.column("values"), config.length), kernels.matrix(queries.column("paa"), config.segments)
@@ -63,19 +66,24 @@ def _candidates(config: IndexConfig, series: pa.Table, queries: pa.Table):
     slack = lambda b: b * (1 - 1e-9)  # noqa: E731  rounding must not lose a tie
     node = slack(kernels.bounds(means, *kernels.node_ranges(word, kept[first], config.bits), config.scale))
     low, high = kernels.edges(config.bits)
-    for n in range(len(codes)):
-        inside = np.flatnonzero(node[:, n] <= limit)
-        if len(inside):
-            rows = np.flatnonzero(leaf == n)
+    going = node <= limit[:, None]
+    if len(codes) <= len(q_ids):
+        for n in np.flatnonzero(going.any(axis=0)):
+            inside, rows = np.flatnonzero(going[:, n]), np.flatnonzero(leaf == n)
             passes = slack(kernels.bounds(means[inside], low[sax[rows]], high[sax[rows]], config.scale)) <= bsf[inside, None]
-            yield rows, inside, passes, ids, x, q_ids, q
+            yield rows, inside, passes, 1, ids, x, q_ids, q
+    else:
+        for k in np.flatnonzero(going.any(axis=1)):
+            inside, rows = np.array([k]), np.flatnonzero(going[k, leaf])
+            passes = slack(kernels.bounds(means[inside], low[sax[rows]], high[sax[rows]], config.scale)) <= bsf[k]
+            yield rows, inside, passes, int(going[k].sum()), ids, x, q_ids, q
 
 
 def _refine(config: IndexConfig, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(series: pa.Table, queries: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if series.num_rows and queries.num_rows:
-            for rows, inside, passes, ids, x, q_ids, q in _candidates(config, series, queries):
+            for rows, inside, passes, _, ids, x, q_ids, q in _candidates(config, series, queries):
                 i, j = np.nonzero(passes)
                 if len(i) * 2 > passes.size:
                     d = kernels.distances(q[inside], x[rows])[i, j]
@@ -92,8 +100,8 @@ def _count(config: IndexConfig) -> Callable[[pa.Table, pa.Table], pa.Table]:
         q_ids = queries.column("query_id").to_numpy() if queries.num_rows else np.zeros(0, np.int64)
         leaves, bounds, real = (np.zeros(len(q_ids), np.int64) for _ in range(3))
         if series.num_rows and queries.num_rows:
-            for rows, inside, passes, *_ in _candidates(config, series, queries):
-                leaves[inside] += 1
+            for rows, inside, passes, n_leaves, *_ in _candidates(config, series, queries):
+                leaves[inside] += n_leaves
                 bounds[inside] += len(rows)
                 real[inside] += passes.sum(axis=1)
         return pa.table({"query_id": q_ids.astype(np.int64), "leaves": leaves, "bounds": bounds, "real": real})

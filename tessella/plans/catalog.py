@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import generate, index, partition, predict, report, schedule, search
+from ..operators import experiments, generate, index, partition, predict, report, schedule, search
 from ..sources import binary, text
 from .config import IndexConfig
 from .storage import new_path, written
@@ -22,7 +22,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-CONFIG = IndexConfig(length=64, segments=8, bits=8, leaf_size=3)
+CONFIG = IndexConfig(length=64, segments=8, bits=8, leaf_size=2000)
+#: So small that most roots split: for queries that are about the tree, or that show that its shape doesn't matter.
+SPLIT = IndexConfig(length=64, segments=8, bits=8, leaf_size=3)
 W, N, GROUPS, NODES = 8, 64, 4, 4
 #: A sigmoid and a line for the prediction functions: low, high, b, c, d; slope, intercept.
 SIGMOID, LINE = (2.0, 900.0, 3.5, 0.25, 12.0), (0.85, -4.0)
@@ -59,9 +61,10 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return series, queries_of(series)
 
 
-def built(spark: SparkSession, sf_dir: str, split: bool) -> tuple[index.Index, DataFrame, DataFrame]:
+def built(spark: SparkSession, sf_dir: str, split: bool | None) -> tuple[index.Index, DataFrame, DataFrame]:
+    """An index of one leaf a root (False), of SPLIT leaves (True), or as it is used (None)."""
     series, asked = both(spark, sf_dir)
-    return index.build(series, CONFIG, split), series, asked
+    return index.build(series, SPLIT if split else CONFIG, split is not False), series, asked
 
 
 def _norm(inner: str) -> str:
@@ -445,7 +448,7 @@ def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j1_exact_nn", _nearest(1))
 def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree, _, asked = built(spark, sf_dir, True)
+    tree, _, asked = built(spark, sf_dir, None)
     return rounded(search.exact(asked, tree, 1))
 
 
@@ -536,7 +539,7 @@ def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No seed of our own: the distance to the series that the query was made of is known before."""
     series, asked = both(spark, sf_dir)
     known = asked.join(series.withColumnRenamed("values", "s"), F.col("query_id") == F.col("series_id")).select("query_id", (C.euclid2(F.col("values"), F.col("s")) * (1 + 1e-12)).alias("bsf"))
-    tree = index.build(series, CONFIG)
+    tree = index.build(series, SPLIT)
     return rounded(search.exact(asked, tree, 1, bsf=written(known, "bsf")))
 
 
@@ -549,7 +552,7 @@ def r15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r17_top_k_exact", _nearest(5))
 def r17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree, _, asked = built(spark, sf_dir, True)
+    tree, _, asked = built(spark, sf_dir, None)
     return rounded(search.exact(asked, tree, 5))
 
 
@@ -561,7 +564,7 @@ def r17a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r18_knn_classify", f"{_PAIRS}, ranked AS (SELECT query_id, series_id, row_number() OVER (PARTITION BY query_id ORDER BY d2, series_id) AS rank FROM d), votes AS (SELECT query_id, label, count(*)::BIGINT AS votes FROM ranked JOIN embeddings ON vec_id = series_id WHERE rank <= 5 GROUP BY ALL) SELECT query_id, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS k FROM votes) WHERE k = 1")
 def r18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree, _, asked = built(spark, sf_dir, True)
+    tree, _, asked = built(spark, sf_dir, None)
     labels = embeddings(spark, sf_dir).select(F.col("vec_id").alias("series_id"), "label")
     return search.classify(search.exact(asked, tree, 5), labels)
 
@@ -925,3 +928,115 @@ def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g5_size_sweep", "SELECT * FROM (VALUES (5.0::DOUBLE, 5242880::BIGINT), (10.0::DOUBLE, 10485760::BIGINT), (20.0::DOUBLE, 20971520::BIGINT)) AS t(gigabytes, n)")
 def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(float(g), generate.size_for(g, 256)) for g in (5, 10, 20)], "gigabytes double, n long")
+
+
+# -- experiments -------------------------------------------------------------------------------------------------
+
+
+@query("e6_mode_comparison", f"{_EST}, p AS (SELECT est, row_number() OVER (ORDER BY query_id) - 1 AS k, count(*) OVER () AS m FROM e), n AS (SELECT unnest([2, 4, 8]) AS nodes), l AS (SELECT nodes, least(k // greatest(1, m // nodes), nodes - 1) AS node, sum(est) AS load FROM p, n GROUP BY ALL) SELECT nodes, round(max(load), 4) AS makespan, round(sum(load), 4) AS total FROM l GROUP BY 1")
+def e6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The static mode of the comparison; e6_all_modes has the others."""
+    rows = experiments.modes(estimated(spark, sf_dir), (2, 4, 8)).filter("mode = 'static'")
+    return rows.select("nodes", F.round("makespan", 4).alias("makespan"), F.round("total", 4).alias("total"))
+
+
+@query("e6_all_modes")
+def e6a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.modes(estimated(spark, sf_dir), (1, 2, 4, 8, 16))
+
+
+@query("e7_burst_sweep")
+def e7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.bursts(estimated(spark, sf_dir), NODES, (1, 2, 4, 8))
+
+
+@query("e8_threshold_divisors", f"SELECT divisor, round(avg(th), 6) AS mean_th, max(th)::INTEGER AS max_th FROM (SELECT divisor, greatest(1, trunc({_SIG})::INTEGER // divisor) AS th FROM events, (SELECT unnest([1, 4, 16, 64]) AS divisor)) GROUP BY 1")
+def e8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    distances = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("value").alias("x"))
+    return experiments.thresholds(distances, SIGMOID, (1, 4, 16, 64)).withColumn("mean_th", F.round("mean_th", 6))
+
+
+@query("e9_steal_sweep")
+def e9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.steals(estimated(spark, sf_dir), NODES, (1, 2, 4, 8))
+
+
+def _deal(groups: int) -> str:
+    return f"SELECT {groups} AS groups, max(n)::BIGINT AS fullest, sum(n) / {groups} AS mean FROM (SELECT sum(n) AS n FROM (SELECT n, (row_number() OVER (ORDER BY xor(r, r >> 1)) - 1) % {groups} AS g FROM h) GROUP BY g)"
+
+
+@query("e10_group_sweep", f"{_S}, h AS (SELECT r, count(*)::BIGINT AS n FROM ss GROUP BY 1) {_deal(1)} UNION ALL {_deal(2)} UNION ALL {_deal(4)} UNION ALL {_deal(8)}")
+def e10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.group_sweep(_entries(spark, sf_dir), (1, 2, 4, 8))
+
+
+@query("e11_index_scaling", "SELECT q::INTEGER AS quarters, count(*)::BIGINT AS n_series, count(*)::BIGINT AS n_in_leaves FROM embeddings, range(1, 5) AS t(q) WHERE vec_id < (SELECT max(vec_id) + 1 FROM embeddings) * q / 4 GROUP BY 1")
+def e11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.index_scaling(series_of(spark, sf_dir), CONFIG).select("quarters", "n_series", "n_in_leaves")
+
+
+# -- sinks -------------------------------------------------------------------------------------------------------
+
+
+@query("k1_answers", _nearest(1, columns="query_id, round(d2, 6) AS d2"))
+def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's smallest distance, written and read."""
+    series, asked = both(spark, sf_dir)
+    return rounded(written(search.serial(asked, series, CONFIG).select("query_id", "d2"), "answers"))
+
+
+@query("k2_run_metrics_file", SQL["s14_run_results_text"])
+def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s14(spark, sf_dir)
+
+
+@query("k4_query_times_file", "SELECT event_id AS query_id, value AS sec FROM events")
+def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One time a line; events stand for queries, their ids for the order."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("query_id"), F.col("value").alias("sec"))
+    path = new_path(spark, "times")
+    text.write_doubles(events, "query_id", "sec", path)
+    return text.read_doubles(spark, path, "query_id", "sec")
+
+
+@query("k7_first_answers", _nearest(1, "WHERE r = qr", "query_id, round(d2, 6) AS bsf"))
+def k7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, _, asked = built(spark, sf_dir, False)
+    return search.approximate(search.prepared(asked, one), one).select("query_id", F.round("d2", 6).alias("bsf"))
+
+
+@query("k9_benchmark_files", f"{_EST}, ranked AS (SELECT *, row_number() OVER (ORDER BY est, query_id) AS up, row_number() OVER (ORDER BY est DESC, query_id DESC) AS down FROM e), chosen AS (SELECT query_id, est, row_number() OVER (ORDER BY up) - 1 AS n FROM ranked WHERE up <= 800 OR down <= 1) SELECT n AS query_id, est, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM chosen JOIN embeddings ON vec_id = chosen.query_id")
+def k9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary queries and their estimates, the selection's own 800 easiest and the hardest, read back side by side."""
+    vectors = embeddings(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("values"))
+    chosen = written(report.hardest(estimated(spark, sf_dir), 800, 1).join(vectors, "query_id"), "benchmark")
+    numbered = chosen.withColumn("series_id", (F.row_number().over(Window.orderBy("place")) - 1).cast("long"))
+    queries, estimates = new_path(spark, "queries-bin"), new_path(spark, "estimates")
+    binary.write_series(numbered.select("series_id", "values"), queries, N)
+    text.write_doubles(numbered, "series_id", "est", estimates)
+    back = binary.read_series(spark, queries, N).select(F.col("series_id").alias("query_id"), F.round(C.total(C.doubles(F.col("values"))), 6).alias("total"))
+    return back.join(text.read_doubles(spark, estimates), "query_id").select("query_id", "est", "total")
+
+
+@query("k11_report_table", f"SELECT node, round(avg(total_time), 4) AS total_time, round(avg(real_distances), 6) AS real_distances, round(avg(slowest), 6) AS slowest FROM ({_METRICS}) GROUP BY 1")
+def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over runs of each node, as a CSV table that is read back."""
+    path = new_path(spark, "report")
+    metrics = run_metrics(spark, sf_dir)
+    means = metrics.groupBy("node").agg(F.round(F.avg("total_time"), 4).alias("total_time"), F.round(F.avg("real_distances"), 6).alias("real_distances"), F.round(F.avg("slowest"), 6).alias("slowest"))
+    means.write.option("header", True).csv(path)
+    return spark.read.schema("node int, total_time double, real_distances double, slowest double").option("header", True).option("enforceSchema", False).csv(path)
+
+
+# -- the same operation under its other ids ----------------------------------------------------------------------
+
+#: Variants that differ by thread model, vector instructions or message passing, and not in what they compute.
+SAME = {
+    "s6_query_load": "s5_query_scan", "f4_sax_vectorised": "f3_sax_from_series", "f5_breakpoint_search": "f2_sax_from_paa", "f10_mindist_record_vectorised": "f8_mindist_record", "f13_euclid2_vectorised": "f12_euclid2",
+    "f19_gray_decode": "f18_gray_code", "f25_two_decimals": "f24_pct_error", "p2_queue_stop": "p1_leaves_not_pruned", "j3_query_leaf_bounds": "f6_mindist_node", "j6_queries_join_estimates": "s7_queries_with_estimates",
+    "r7_leaf_scan_with_bounds": "p3_a5_search_counts", "r14_exact_coordinated": "j1_exact_nn", "r16_top_k_buffer": "r17_top_k_exact", "q8_result_merge": "q1_sequential_merge", "a1_minimum_distance": "r6_leaf_scan", "o2_sorted_queues": "w3_queue_order",
+}
+for _name, _of in SAME.items():
+    QUERIES[_name] = QUERIES[_of]
+    if _of in SQL:
+        SQL[_name] = SQL[_of]

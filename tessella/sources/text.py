@@ -9,15 +9,21 @@ from ..functions import parse_series
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 0, over all files by name and place) and value. One file a partition keeps the order; lines are numbered
-    with a count per file, so no sort of the whole."""
-    lines = spark.read.option("wholetext", "false").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
-    return lines.select("value", (F.row_number().over(Window.orderBy("file", "block", "m")) - 1).cast("long").alias("line_no"))
+    """line_no (from 0, over all files by name and place) and value.
+
+    Lines are numbered within the file blocks that are read at once, and blocks by the sums of those before: only the
+    table of blocks is ordered as a whole.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("m")) - 1
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", earlier.alias("before"))
+    return lines.withColumn("k", inside).join(blocks, ["file", "block"]).select("value", (F.col("k") + F.col("before")).cast("long").alias("line_no"))
 
 
 def write_doubles(rows: DataFrame, order: str, value: str, path: str) -> None:
-    """One number a line, in order, in one file: estimates, times or initial distances of a query set."""
-    rows.orderBy(order).coalesce(1).select(F.format_string("%s", F.col(value)).alias("value")).write.text(path)
+    """One number a line, in order over files by name: estimates, times or initial distances of a query set."""
+    rows.orderBy(order).select(F.format_string("%s", F.col(value)).alias("value")).write.text(path)
 
 
 def read_doubles(spark: SparkSession, path: str, key: str = "query_id", value: str = "est") -> DataFrame:
@@ -37,7 +43,7 @@ def read_delimited_series(spark: SparkSession, path: str, delimiter: str = ",")
 
 
 def write_delimited_series(series: DataFrame, path: str, delimiter: str = ",") -> None:
-    series.orderBy("series_id").coalesce(1).select(F.array_join(F.transform("values", lambda x: x.cast("string")), delimiter).alias("value")).write.text(path)
+    series.orderBy("series_id").select(F.array_join(F.transform("values", lambda x: x.cast("string")), delimiter).alias("value")).write.text(path)
 
 
 QUEUE_HEADER = "#query #bsf #th #total_pqs #per_pq_size"
