@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages, each on all that the one before has kept. Part of the subpackage llm.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and
+any further ones that docs has. Rows with null, empty or wordless texts are scored by the models' biases alone, are no
+duplicates of each other, have no words to mix, so that the mix doesn't take them, and would encode to no ids. Rows with
+a null id are judged like others, are no duplicates, and share their repeats in the mix. Rows that repeat an id are
+one document after near_duplicates. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -19,18 +23,22 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps rows whose probability of the category toxic is under 0.5."""
     return toxicity.kept(docs, _labels(spark, sf_dir))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps rows that score 0.5 or more; learns from the labels of the rows that are left."""
     return quality.kept(docs, _labels(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near-duplicates."""
     return minhash.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; a part of half or more of its words counts as a whole."""
     return mixing.mixed_rows(docs)
 
 
