@@ -15,7 +15,7 @@ other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -63,14 +63,27 @@ def _featured(bits: int):
     return run
 
 
-def _fit(features: list[np.ndarray], extra: np.ndarray, y: np.ndarray, rows: np.ndarray, bits: int, epochs: int) -> tuple[np.ndarray, np.ndarray, float]:
+class _Each:
+    """A sequence whose items are made when they are asked for: the training rows are held once, as whole numbers."""
+
+    def __init__(self, rows: np.ndarray, make: Callable[[int], np.ndarray]):
+        self.rows, self.make = rows, make
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.make(self.rows[k])
+
+
+def _fit(features: Sequence[np.ndarray], extra: np.ndarray, y: np.ndarray, rows: np.ndarray, bits: int, epochs: int) -> tuple[np.ndarray, np.ndarray, float]:
     """One model; extra: earlier probabilities, whose slots follow the hashed ones."""
     size = 1 << bits
     if len(set(y[rows])) < 2:
         return np.zeros(size, np.float32), np.zeros(extra.shape[1]), 10.0 if len(rows) and y[rows[0]] else -10.0
     slots = size + np.arange(extra.shape[1])
-    index = [np.concatenate([features[k], slots]) for k in rows]
-    values = [np.concatenate([np.ones(len(features[k])), extra[k]]) for k in rows]
+    index = _Each(rows, lambda k: np.concatenate([features[k], slots]))
+    values = _Each(rows, lambda k: np.concatenate([np.ones(len(features[k])), extra[k]]))
     model = Ftrl(size + extra.shape[1], alpha=0.5, l1=8.0, l2=0.0)
     dense, bias = model.fit(index, values, y[rows], epochs, weights=np.where(y[rows] == 1, 6.0, 1.0)).finished()
     return dense[:size], dense[size:].astype(np.float64), bias
@@ -88,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SA
     chosen = F.broadcast(chosen.join(low, "doc_id"))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", "low_quality", "text")
     table = rows.mapInArrow(_featured(bits), "doc_id long, label int, low_quality int, features array<int>").toArrow().sort_by("doc_id")
-    features = [np.asarray(x.values, np.int64) for x in table.column("features")]
+    features = [x.values.to_numpy() for x in table.column("features")]
     toxic, low_quality = table.column("label").to_numpy() == 1, table.column("low_quality").to_numpy() == 1
     targets = [low_quality, toxic, low_quality & toxic]
     fold, everyone = folds(table.column("doc_id").to_numpy(), k), np.arange(len(features))
