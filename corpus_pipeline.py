@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the mix repeats have equal ids."""
+    """Rows that the mix repeats are numbered as copies, each drawn on its own."""
     return bpe.encode(docs, tokenizer_path("piece_bpe_32k.model"))
 
 

@@ -2,19 +2,23 @@
 
 Encoding runs the agenda of SentencePiece's BPE models: of all adjacent symbols whose concatenation is a piece,
 the best-scored (then leftmost) merges, until none is left; characters without a piece fall back to bytes. With
-dropout a candidate merge is skipped for good if its keyed hash, of seed, variant, unit, place and the two symbols,
-falls under alpha; it can only come back as a new candidate, when a neighbour has changed. So the segmentation
-varies by seed and variant, and repeats exactly for the same ones. Skipped merges never change the text: decoding
-joins the pieces' bytes, and gives back every text exactly.
+dropout every candidate that comes up is drawn, and with the chance alpha it is skipped for good; it can only come back
+as a new candidate, when a neighbour has changed. The draws are hashes of the seed, the row (key, number of the copy,
+text), the unit's number in the text and the draw's number, so each occurrence of a word is segmented on its own, and
+everything repeats exactly. Skipped merges never change the text: decoding joins the pieces' bytes, and gives back
+every text exactly.
 
 Merges never cross into a blank from another character, nor from a letter into what isn't one (both are checked
-against the vocabulary), so texts are cut into units at these places, and equal units of a variant are encoded once, in
-arrays of many units at a time, and kept in a bounded memory. Variants rotate with the unit's number in the text
-from a start that hashes the row's key, so occurrences of a word differ within and between texts.
+against the vocabulary), so texts are cut into units at these places. A unit's segmentation is a function of which of
+its draws skip. They are drawn as gaps, the merges between a skip and the next. A state is a unit and the gaps so far;
+it knows the ids if nothing more is skipped, and the merges after its last skip: a longer gap ends there, a shorter one
+leads to a next state. States hold nothing of a row; they are made as draws reach them, in arrays of many at a time,
+and kept in a bounded memory that changes no result.
 
 Rules: null and empty texts have no ids and decode to the empty text. U+2581, which the model writes for a blank,
-is encoded as its three bytes, so that it isn't taken for one. Repeated rows get equal ids. Rows with a null key
-start at variant 0. An empty table gives an empty result; other columns are ignored.
+is encoded as its three bytes, so that it isn't taken for one. encode numbers equal rows as copies, which differ;
+round_trip gives rows of equal key and text equal ids. Rows with a null key are told apart by their texts. An empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,20 +30,23 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import slices
 from .textkernel import mix
 
-ALPHA, VARIANTS, KEPT_UNITS, LONG_UNIT = 0.1, 4, 250_000, 48
+ALPHA, KEPT_STATES, LONG_UNIT = 0.1, 1_000_000, 48
+#: A gap that no unit reaches.
+NEVER = 1 << 30
 BLANK = "▁"
-_NO = np.float32(np.inf)
+_NO, _STEP = np.float32(np.inf), np.uint64(0x9E3779B97F4A7C15)
 _open: dict[tuple, MergeDropout] = {}
 
 
 class MergeDropout:
-    def __init__(self, path: str, alpha: float = ALPHA, seed: int = 23, variants: int = VARIANTS, kept: int = KEPT_UNITS):
+    def __init__(self, path: str, alpha: float = ALPHA, seed: int = 23, kept: int = KEPT_STATES):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         with open(path, "rb") as f:
@@ -47,7 +54,7 @@ class MergeDropout:
         spec, kinds = model.normalizer_spec, proto.ModelProto.SentencePiece
         if model.trainer_spec.model_type != proto.TrainerSpec.BPE or not model.trainer_spec.byte_fallback or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix:
             raise ValueError("only BPE models with byte fallback that keep the text as it is")
-        self.alpha, self.seed, self.variants, self.kept = alpha, seed, max(1, variants if alpha > 0 else 1), kept
+        self.alpha, self.seed, self.kept = alpha, seed, kept
         self.size = len(model.pieces)
         normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
         if any(BLANK in p.lstrip(BLANK) for p in normal):
@@ -74,6 +81,7 @@ class MergeDropout:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
         self.cost = np.array([-p.score for p in model.pieces], np.float32)
+        self.cost_list = self.cost.tolist()
         self.pair_dict = pairs
         single = sorted((ord(c), i) for c, i in normal.items() if len(c) == 1)
         self.char_points, self.char_ids = (np.array(x, np.int64) for x in zip(*single, strict=True))
@@ -87,30 +95,31 @@ class MergeDropout:
         other = f"[^{BLANK}{apart}{run}]"
         inner = f"(?:{other}*[{run}]+|{other}+)" if letters else f"{rest}+"
         self.units = re.compile(f"{BLANK}*{inner}|{BLANK}+" + (f"|[{apart}]" if apart else ""))
-        self.memory: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self._forget()
 
     # -- merging -----------------------------------------------------------------------------------------------
 
-    def _candidates(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cost (infinite: no merge, or one that is skipped) and piece of each pair of symbols."""
+    def _candidates(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost (infinite: no merge) and piece of each pair of symbols."""
         pair = (left.astype(np.int64) << 32) | right
         at = np.minimum(np.searchsorted(self.pair_keys, pair), len(self.pair_keys) - 1)
         piece = self.pair_ids[at]
         ok = (self.pair_keys[at] == pair) & (left >= 0) & (right >= 0)
-        if self.alpha > 0:
-            drawn = mix(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(pair.view(np.uint64)))
-            ok &= (drawn >> np.uint64(11)).astype(np.float64) * 2.0**-53 >= self.alpha
         return np.where(ok, self.cost[piece], _NO), piece
 
-    def _skipped(self, key: int, place: int, pair: int) -> bool:
-        """The same draw for one candidate."""
-        drawn = mix(np.array([key], np.uint64) + np.array([place], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(np.array([pair], np.uint64)))
-        return bool(float(drawn[0] >> np.uint64(11)) * 2.0**-53 < self.alpha)
-
-    def _keys(self, units: Sequence[str], variant: int) -> np.ndarray:
+    def _gaps(self, keys: np.ndarray, number: int | np.ndarray) -> np.ndarray:
+        """Merges before the next skip, for the occurrences of these keys after so many skips."""
+        if self.alpha <= 0:
+            return np.full(len(keys), NEVER)
+        if self.alpha >= 1:
+            return np.zeros(len(keys), np.int64)
+        drawn = mix(keys + np.asarray([number], np.uint64).ravel() * _STEP)
+        even = ((drawn >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
+        return np.minimum(np.log(even) / np.log1p(-self.alpha), NEVER).astype(np.int64)
+
+    def _keys(self, units: Sequence[str], salt: int) -> np.ndarray:
         raw = [u.encode("utf-8", "surrogatepass") for u in units]
-        two = np.array([(zlib.crc32(b), zlib.adler32(b)) for b in raw], np.uint64).reshape(-1, 2)
-        return mix(two[:, 0] << np.uint64(32) ^ two[:, 1] ^ np.uint64((self.seed * 0x9E3779B1 + variant * 0x85EBCA77) & 0xFFFFFFFFFFFFFFFF))
+        return mix(np.array([xxhash.xxh3_64_intdigest(b, self.seed & 0xFFFFFFFF) for b in raw], np.uint64) + np.array([salt], np.uint64) * _STEP)
 
     def _symbols(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -119,16 +128,18 @@ class MergeDropout:
 
     def _long(self, unit: str, key: int) -> list[int]:
         """One long unit with a heap as agenda: n log n."""
+        skips, gaps = 0, self._gaps(np.array([key], np.uint64), 0).tolist()
+        left_to_skip = gaps[0]
         symbols = self._symbols(unit).tolist()
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda: list[tuple[float, int, int, int, int]] = []
+        costs = self.cost_list
 
         def add(i: int) -> None:
             j = after[i]
-            if j >= 0 and (piece := self.pair_dict.get(pair := symbols[i] << 32 | symbols[j])) is not None:
-                if not (self.alpha > 0 and self._skipped(key, i, pair)):
-                    heapq.heappush(agenda, (float(self.cost[piece]), i, symbols[i], symbols[j], piece))
+            if j >= 0 and (piece := self.pair_dict.get(symbols[i] << 32 | symbols[j])) is not None:
+                heapq.heappush(agenda, (costs[piece], i, symbols[i], symbols[j], piece))
 
         for i in range(n - 1):
             add(i)
@@ -137,6 +148,13 @@ class MergeDropout:
             j = after[i]
             if symbols[i] != left or j < 0 or symbols[j] != right:
                 continue
+            if not left_to_skip:
+                skips += 1
+                if skips >= len(gaps):
+                    gaps += self._gaps(np.full(64, key, np.uint64), np.arange(skips, skips + 64)).tolist()
+                left_to_skip = gaps[skips]
+                continue
+            left_to_skip -= 1
             symbols[i], symbols[j], after[i] = piece, -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
@@ -152,47 +170,118 @@ class MergeDropout:
             out += [s] if s < self.size else self.bytes[list(chr(s - self.size).encode("utf-8", "surrogatepass"))].tolist()
         return np.array(out, "<u4").tobytes()
 
-    def segment(self, units: Sequence[str], variant: int = 0) -> list[bytes]:
-        """Ids of each unit as little-endian uint32 bytes; units of like length go through the agenda together."""
-        out: list[bytes] = [b""] * len(units)
-        keys = self._keys(units, variant)
-        lengths = np.array([len(u) for u in units])
-        for i in np.flatnonzero(lengths > LONG_UNIT):
+    def segment(self, units: Sequence[str], salt: int = 0) -> list[bytes]:
+        """Ids of each unit as little-endian uint32 bytes, drawn by the unit itself and a salt."""
+        return self._drawn(units, self._keys(units, salt))
+
+    def _forget(self) -> None:
+        self.state: dict[str, int] = {}  # of a unit without skips; -1: long
+        self._unit: list[str] = []
+        self._before: list[tuple[int, ...]] = []  # gaps
+        self._ids: list[bytes] = []
+        self._count = self._slots = 0
+        self._merges, self._first = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._next = np.zeros(4096, np.int32)  # state by first slot of a state + gap; -1: not made yet
+
+    def _make(self, units: list[str], before: list[tuple[int, ...]]) -> np.ndarray:
+        """New states."""
+        ids, merges = self._merged(units, before)
+        start, slots = self._count, self._slots
+        self._count, self._slots = start + len(units), slots + int(merges.sum())
+        while len(self._merges) < self._count:
+            self._merges, self._first = (np.concatenate([x, np.zeros_like(x)]) for x in (self._merges, self._first))
+        while len(self._next) < self._slots:
+            self._next = np.concatenate([self._next, np.zeros_like(self._next)])
+        self._next[slots : self._slots] = -1
+        self._merges[start : self._count] = merges
+        self._first[start : self._count] = slots + np.cumsum(merges) - merges
+        self._unit += units
+        self._before += before
+        self._ids += ids
+        return np.arange(start, self._count)
+
+    def _drawn(self, units: Sequence[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of each unit, an occurrence with a key of its own."""
+        if self._count > self.kept:
+            self._forget()
+        new = list(set(units).difference(self.state))
+        short = [u for u in new if len(u) <= LONG_UNIT]
+        self.state.update((u, -1) for u in new if len(u) > LONG_UNIT)
+        self.state.update(zip(short, self._make(short, [()] * len(short)).tolist(), strict=True))
+        at = np.fromiter(map(self.state.__getitem__, units), np.int64, len(units))
+        long = np.flatnonzero(at < 0)
+        going, skips = np.flatnonzero(at >= 0), 0
+        while len(going):
+            gap, now = self._gaps(keys[going], skips), at[going]
+            more = gap < self._merges[now]
+            going, gap, now = going[more], gap[more], now[more]
+            slots = self._first[now] + gap
+            missing, one = np.unique(slots[self._next[slots] < 0], return_index=True)
+            if len(missing):
+                absent = np.flatnonzero(self._next[slots] < 0)[one]
+                pairs = list(zip(now[absent].tolist(), gap[absent].tolist(), strict=True))
+                made = self._make([self._unit[s] for s, _ in pairs], [(*self._before[s], g) for s, g in pairs])
+                self._next[missing] = made
+            at[going] = self._next[slots]
+            skips += 1
+        if not len(long):
+            return list(map(self._ids.__getitem__, at.tolist()))
+        out = [self._ids[s] if s >= 0 else b"" for s in at.tolist()]
+        for i in long.tolist():
             out[i] = self._finished(self._long(units[i], int(keys[i])))
+            self.state.pop(units[i], None)
+        return out
+
+    def _merged(self, units: list[str], before: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray]:
+        """Ids, and merges after the last skip, of units whose skips come after these gaps; units of like length go through the agenda together."""
+        out: list[bytes] = [b""] * len(units)
+        merges = np.zeros(len(units), np.int64)
+        lengths = np.array([len(u) for u in units], np.int64)
         order = np.argsort(lengths, kind="stable")
-        order = order[lengths[order] <= LONG_UNIT]
         for at in range(0, len(order), 8192):
             rows = order[at : at + 8192]
             width = int(lengths[rows].max())
             flat = self._symbols("".join(units[i] for i in rows))
             symbols = np.full((len(rows), width), -1, np.int64)
             symbols[np.arange(width) < lengths[rows][:, None]] = flat
-            self._merge(symbols, keys[rows], rows, out)
-        return out
-
-    def _merge(self, symbols: np.ndarray, keys: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
-        places = np.tile(np.arange(symbols.shape[1]), (len(rows), 1))
-        cost, piece = self._candidates(symbols[:, :-1], symbols[:, 1:], places[:, :-1], keys[:, None])
+            gaps = np.full((len(rows), max(len(before[i]) for i in rows) + 1), NEVER)
+            for k, i in enumerate(rows.tolist()):
+                gaps[k, : len(before[i])] = before[i]
+            self._merge(symbols, gaps, rows, out, merges)
+        return out, merges
+
+    def _merge(self, symbols: np.ndarray, gaps: np.ndarray, rows: np.ndarray, out: list[bytes], merges: np.ndarray) -> None:
+        cost, piece = self._candidates(symbols[:, :-1], symbols[:, 1:])
+        skips, since = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         while len(rows):
             width = symbols.shape[1]
-            best = cost.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
             each = np.arange(len(rows))
+            best = cost.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
             going = cost[each, best] < _NO if width > 1 else np.zeros(len(rows), bool)
+            check = each[going & (since == gaps[each, skips])]
+            while len(check):
+                cost[check, best[check]] = _NO
+                skips[check] += 1
+                since[check] = 0
+                best[check] = cost[check].argmin(axis=1)
+                going[check] = cost[check, best[check]] < _NO
+                check = check[going[check] & (gaps[check, skips[check]] == 0)]
             if not going.all():
                 self._emit(symbols[~going], rows[~going], out)
-                symbols, places, cost, piece, best, rows, keys = (x[going] for x in (symbols, places, cost, piece, best, rows, keys))
+                merges[rows[~going]] = since[~going]
+                symbols, gaps, cost, piece, best, rows, skips, since = (x[going] for x in (symbols, gaps, cost, piece, best, rows, skips, since))
                 each = np.arange(len(rows))
                 if not len(rows):
                     return
+            since += 1
             symbols[each, best] = piece[each, best]
             columns = np.arange(width - 1)
-            keep = columns + (columns > best[:, None])
-            symbols, places = np.take_along_axis(symbols, keep, 1), np.take_along_axis(places, keep, 1)
+            symbols = np.take_along_axis(symbols, columns + (columns > best[:, None]), 1)
             keep = (columns + (columns >= best[:, None]))[:, :-1]
             cost, piece = np.take_along_axis(cost, keep, 1), np.take_along_axis(piece, keep, 1)
             for to, some in ((best - 1, best > 0), (best, best < width - 2)):
                 r, c = each[some], to[some]
-                cost[r, c], piece[r, c] = self._candidates(symbols[r, c], symbols[r, c + 1], places[r, c], keys[r])
+                cost[r, c], piece[r, c] = self._candidates(symbols[r, c], symbols[r, c + 1])
 
     def _emit(self, symbols: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
         solid = symbols >= 0
@@ -206,31 +295,25 @@ class MergeDropout:
 
     # -- texts -------------------------------------------------------------------------------------------------
 
-    def encode(self, texts: Sequence[str | None], keys: Sequence[object]) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes."""
+    def encode(self, texts: Sequence[str | None], keys: Sequence[object], copies: Sequence[int] | None = None) -> list[bytes]:
+        """Ids of each text as little-endian uint32 bytes; copies: numbers that tell rows of equal key and text apart."""
         mark = self.bytes[list(BLANK.encode())].astype("<u4").tobytes()
-        plan: list[list[list[str]]] = []
-        starts = [zlib.crc32(f"{self.seed}:{k}".encode()) % self.variants if k is not None else 0 for k in keys]
-        wanted: list[set[str]] = [set() for _ in range(self.variants)]
-        for text, start in zip(texts, starts, strict=True):
+        plan, units, draws = [], [], [np.zeros(0, np.uint64)]
+        for text, key, copy in zip(texts, keys, copies or [0] * len(texts), strict=True):
             parts = [self.units.findall(x.replace(" ", BLANK)) for x in self._apart(text)]
-            for units in parts:
-                for k in range(min(self.variants, len(units))):
-                    wanted[(start + k) % self.variants].update(units[k :: self.variants])
-            plan.append(parts)
-        for variant, (memory, want) in enumerate(zip(self.memory, wanted, strict=True)):
-            if len(memory) > self.kept:
-                memory.clear()
-            new = [u for u in want if u not in memory]
-            memory.update(zip(new, self.segment(new, variant), strict=True))
-        out = []
-        for parts, start in zip(plan, starts, strict=True):
+            plan.append([len(p) for p in parts])
+            for part in parts:
+                units += part
+            row = xxhash.xxh3_64_intdigest(f"{self.seed}:{'' if key is None else repr(key)}:{copy}")
+            row = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"), row)
+            draws.append(mix(np.array([row], np.uint64) + np.arange(sum(plan[-1]), dtype=np.uint64) * _STEP))
+        ids = self._drawn(units, np.concatenate(draws))
+        out, at = [], 0
+        for lengths in plan:
             done = []
-            for units in parts:
-                ids: list[bytes] = [b""] * len(units)
-                for k in range(min(self.variants, len(units))):
-                    ids[k :: self.variants] = map(self.memory[(start + k) % self.variants].__getitem__, units[k :: self.variants])
-                done.append(b"".join(ids))
+            for n in lengths:
+                done.append(b"".join(ids[at : at + n]))
+                at += n
             out.append(mark.join(done))
         return out
 
@@ -244,40 +327,53 @@ class MergeDropout:
         return raw[1:].decode("utf-8", "surrogatepass") if raw else ""
 
 
-def opened(path: str, alpha: float, seed: int, variants: int) -> MergeDropout:
-    key = (path, alpha, seed, variants)
+def opened(path: str, alpha: float, seed: int) -> MergeDropout:
+    key = (path, alpha, seed)
     if key not in _open:
         _open.clear()
         _open[key] = MergeDropout(*key)
     return _open[key]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], options: tuple, text: int, key: int) -> Iterator[tuple[pa.RecordBatch, list, list[bytes]]]:
-    model = opened(*options)
-    for batch in slices(batches, "text"):
-        texts = batch.column(text).to_pylist()
-        yield batch, texts, model.encode(texts, batch.column(key).to_pylist())
+def _copied(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Each row (key, text, count) so many times, with the copies' numbers, in pieces of about so many bytes of text."""
+    counts = batch.column(2).to_numpy()
+    sizes = np.array([len(t or "") for t in batch.column(1).to_pylist()], np.int64)
+    row, at = 0, 0
+    while row < len(counts):
+        rows, copies, room = [], [], most
+        while row < len(counts) and room > 0:
+            n = min(int(counts[row]) - at, max(1, room // max(1, int(sizes[row]))), most)
+            rows += [row] * n
+            copies += range(at, at + n)
+            room, at = room - n * max(1, int(sizes[row])), at + n
+            if at == counts[row]:
+                row, at = row + 1, 0
+        yield batch.take(pa.array(rows, pa.int64())), copies
 
 
-def encode(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = 23, variants: int = VARIANTS) -> DataFrame:
-    """docs (doc_id, text): returns doc_id, ids."""
-    options = (path, alpha, seed, variants)
+def encode(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = 23) -> DataFrame:
+    """docs (doc_id, text): returns doc_id, ids. Equal rows are counted first, so that each is a copy with a number, wherever it lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, ids in _encoded(batches, options, 1, 0):
-            ends = np.cumsum([0, *map(len, ids)]) // 4
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
+        model = opened(path, alpha, seed)
+        for part in slices(batches, "text"):
+            for batch, copies in _copied(part):
+                ids = model.encode(batch.column(1).to_pylist(), batch.column(0).to_pylist(), copies)
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
 
     source = docs.select("doc_id", "text")
-    return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    schema = T.StructType([source.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return source.groupBy("doc_id", "text").count().mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (doc_id, ids): returns doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = opened(path, 0.0, 0, 1)
+        model = opened(path, 0.0, 0)
         for batch in batches:
             texts = [model.decode(np.array(i or [], "<u4").tobytes()) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -286,13 +382,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("text", T.StringType())]))
 
 
-def round_trip(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = 23, variants: int = VARIANTS) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = 23) -> DataFrame:
     """Encodes and decodes in one pass: doc_id, n_ids, ids_crc32 (of the ids as little-endian uint32), n_bytes, text_crc32 (of the decoded text), lossless."""
-    options = (path, alpha, seed, variants)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts, ids in _encoded(batches, options, 1, 0):
-            back = [opened(*options).decode(i) for i in ids]
+        model = opened(path, alpha, seed)
+        for batch in slices(batches, "text"):
+            texts = batch.column(1).to_pylist()
+            ids = model.encode(texts, batch.column(0).to_pylist())
+            back = [model.decode(i) for i in ids]
             raw = [b.encode("utf-8", "surrogatepass") for b in back]
             columns = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array([len(r) for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([b == (t or "") for b, t in zip(back, texts, strict=True)])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_ids", "ids_crc32", "n_bytes", "text_crc32", "lossless"])

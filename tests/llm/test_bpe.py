@@ -73,3 +73,26 @@ def test_tables(spark, odd, empty, documents, sf_dir):
     assert bpe.round_trip(empty, PATH).isEmpty() and bpe.encode(empty, PATH).isEmpty()
     found = op1_sentencepiece_dropout(spark, sf_dir)
     assert found.count() == documents.count() and found.filter("not lossless").isEmpty()
+
+
+def test_each_occurrence_document_and_copy_is_drawn(spark, plain):
+    model = bpe.MergeDropout(PATH, 0.1, seed=23)
+    words = ["▁understanding"] * 4000
+    found = {bytes(x) for x in model._drawn(words, model._keys([str(k) for k in range(4000)], 0))}
+    assert len(found) > 20
+    merges, whole = model._merged(["▁the"], [()])[1][0], plain.segment(["▁the"])[0]
+    drawn = model._drawn(["▁the"] * 20000, model._keys([str(k) for k in range(20000)], 0))
+    assert 0.9**merges - 0.02 < drawn.count(whole) / 20000 < 1 and len(set(drawn)) > 4  # other merges may lead to the same piece
+    text = "international understanding " * 10
+    assert len(set(model.encode([text] * 200, range(200)))) > 150
+    docs = spark.createDataFrame([(k % 2 or None, text) for k in range(200)], "doc_id long, text string").repartition(5)
+    first, again = ([tuple(r.ids) for r in bpe.encode(docs, PATH).collect()] for _ in range(2))
+    assert len(first) == 200 and len(set(first)) > 150 and sorted(first) == sorted(again)
+    assert {r.text for r in bpe.decode(bpe.encode(docs, PATH), PATH).collect()} == {text}
+
+
+def test_bounded_memory_and_order_change_nothing():
+    texts, keys = ["international understanding of merges " * 5, "日本語" * 40, "other words"] * 3, list(range(9))
+    whole = bpe.MergeDropout(PATH, 0.3).encode(texts, keys)
+    small = bpe.MergeDropout(PATH, 0.3, kept=0)
+    assert [small.encode([t], [k])[0] for t, k in zip(reversed(texts), reversed(keys), strict=True)] == whole[::-1]
