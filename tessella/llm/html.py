@@ -2,7 +2,7 @@
 
 Two passes. The first hashes the source of every block-level element's subtree of a page; Spark counts, per host,
 how many different pages hold each subtree (pages that are equal count once), and subtrees on at least MIN_PAGES
-pages and MIN_SHARE of the host's pages are its template. The second pass reads the pages again, drops template
+pages are its template, however many pages the host has. The second pass reads the pages again, drops template
 subtrees, and gives the rest as text. Hashes are counted with partial sums and never gathered: a host with a third
 of all pages is many keys. The template goes to the second pass as a broadcast only if it has been counted and is
 under BROADCAST_KEYS keys; else each page's template keys are found by a join and go to its page by its id.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import slices, written
 from .urlfilter import canonical
 
-MIN_PAGES, MIN_SHARE, BROADCAST_KEYS = 5, 0.1, 1 << 18
+MIN_PAGES, BROADCAST_KEYS = 5, 1 << 18
 #: Longer subtrees have no key of their own; their parts have. So deep nesting costs no more than depth times this.
 LONGEST_KEY = 1 << 16
 
@@ -229,13 +229,11 @@ def _page_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(digests, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["host", "digest", "keys"])
 
 
-def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """key of each template subtree (the key holds its host)."""
     each = pages.select("url", "html").mapInArrow(_page_keys, "host long, digest long, keys array<long>")
     each = written(each.groupBy("host", "digest").agg(F.first("keys").alias("keys")), "page-keys")
-    sizes = each.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
-    counts = each.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    return counts.join(sizes, "host").filter(F.col("n") >= F.col("pages") * min_share).select("key")
+    return each.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("key")
 
 
 def _texts(keys: np.ndarray | None):
@@ -256,10 +254,10 @@ def _texts(keys: np.ndarray | None):
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """pages (page_id, url, html): returns page_id, url, text, n_chars for each row."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    template = written(template_keys(pages, min_pages, min_share), "template")
+    template = written(template_keys(pages, min_pages), "template")
     if template.count() <= broadcast_keys:
         keys = np.sort(template.toArrow().column("key").to_numpy())
         return pages.mapInArrow(_texts(keys), SCHEMA)

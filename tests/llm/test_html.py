@@ -70,6 +70,17 @@ def test_articles_that_recur_stay(spark):
     assert all(r.text == f"Title {r.page_id}\n\nThe same words stand on many pages of the host." and r.n_chars == len(r.text) for r in found)
 
 
+def test_sections_of_a_large_host_are_templates(spark):
+    page = "<div class=x>Notice of section {}</div><p>Own words of page {}.</p>"
+    rows = [(k, f"http://one.example/{k}", page.format(k % 20, k)) for k in range(120)]  # a section has 5 % of the pages
+    rows += [(200 + k, "http://one.example/few", page.format("few", 200 + k)) for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for broadcast_keys in (1 << 18, 0):
+        found = {r.page_id: r.text for r in html.extract(pages, broadcast_keys=broadcast_keys).collect()}
+        assert all(found[k] == f"Own words of page {k}." for k in range(120))
+        assert found[203] == "Notice of section few\n\nOwn words of page 203."
+
+
 def test_empty_table(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
