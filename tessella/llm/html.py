@@ -1,16 +1,23 @@
 """Main text of web pages, with site templates removed.
 
-Two passes. The first hashes the source of every block-level element's subtree of a page; Spark counts, per host,
-how many different pages hold each subtree (pages that are equal count once), and subtrees on at least MIN_PAGES
-pages are its template, however many pages the host has. The second pass reads the pages again, drops template
-subtrees, and gives the rest as text. Hashes are counted with partial sums and never gathered: a host with a third
-of all pages is many keys. The template goes to the second pass as a broadcast only if it has been counted and is
-under BROADCAST_KEYS keys; else each page's template keys are found by a join and go to its page by its id.
+Two passes. The first hashes every block-level element's subtree of a page from the bottom up: an element's digest is
+that of its tags, its text and its children's digests, so neither length nor depth is limited; comments and scripts
+don't count. Spark counts, per host, how many different pages hold each subtree (pages that are equal count once), and
+subtrees on at least MIN_PAGES pages are its template, however many pages the host has. The second pass reads the
+pages again, deletes template subtrees, and gives the rest as text. Digests are counted with partial sums and never
+gathered: a host with a third of all pages is many keys. The template goes to the second pass as a broadcast only if
+it has been counted and is under BROADCAST_KEYS keys; else each page's template keys are found by a join and go to its
+page by its digest.
+
+What is deleted: outside of articles every template subtree; inside of one (article or main) template containers
+(div, section, list, table and the like), while single paragraphs, headings, quotes and list items stay, as articles
+may share passages. An article that recurs as a whole isn't its host's template, nor is anything in it; and no
+article, nor a page without one, is left with headings alone: then what recurs in it stays.
 
 What the rest is: if a page has an article (or main) element, the text is inside of it, else in the whole body;
-elements whose tag, role, class or id says menu, header, footer, sidebar, notice, advert, form, script, style,
-comment and the like are dropped. Inside an article, prose (paragraphs, headings, quotes, lists, tables) that
-recurs stays: copies of an article on a host aren't its template; what recurs there and is mostly links goes.
+elements whose tag or role says menu, header, footer, sidebar, notice, advert, form, script or style are dropped, and
+those whose class or id is one of NAMES, for adverts and comments, which differ from page to page. A form that holds
+an article or a first heading is the page's frame and stays.
 
 Blocks: block-level elements and their ends divide the text; references are decoded, white space becomes one space,
 blocks are trimmed, empty ones dropped, and joined by blank lines. Rules: null and empty html gives an empty text,
@@ -35,18 +42,17 @@ from .common import slices, written
 from .urlfilter import canonical
 
 MIN_PAGES, BROADCAST_KEYS = 5, 1 << 18
-#: Longer subtrees have no key of their own; their parts have. So deep nesting costs no more than depth times this.
-LONGEST_KEY = 1 << 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-PROSE = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption div section".split())
-DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea input option iframe object embed applet svg math canvas audio video map dialog menu title noembed noframes xmp datalist".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Not deleted on their own inside an article.
+PROSE = HEADINGS | frozenset("p blockquote pre li dt dd tr td th thead tbody tfoot caption figcaption legend summary".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select textarea input option iframe object embed applet svg math canvas audio video map dialog menu title noembed noframes xmp datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist tooltip status note".split())
-NAMES = frozenset(
-    "nav navbar navigation menu submenu topbar sidebar sidenav footer header masthead ad ads adv advert adverts advertisement advertising adsense adbox banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social breadcrumb breadcrumbs pagination pager related recommended recommendations comment comments disqus respond reply replies widget toolbar login search skip form".split()
-)
+#: Whole class names or ids.
+NAMES = frozenset("ad ads advert adverts advertisement comment comments comment-list comments-area cookie-notice cookie-banner".split())
 #: Open elements that a start tag closes first.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend"}
@@ -54,16 +60,16 @@ CLOSES_P = BLOCK - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead
 _QUOTED = r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)"
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:{_QUOTED})[^>\"']*)*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_NAME = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "start", "dropped", "inside", "links", "text", "marks")
+    __slots__ = ("tag", "dropped", "inside", "parts", "marks", "frame")
 
-    def __init__(self, tag: str, start: int, dropped: bool, inside: bool):
-        self.tag, self.start, self.dropped, self.inside = tag, start, dropped, inside
-        self.links = self.text = 0  # characters in links, in all
-        self.marks: int = 0  # blocks given when it began
+    def __init__(self, tag: str, dropped: bool, inside: bool, marks: int, source: str):
+        self.tag, self.dropped, self.inside = tag, dropped, inside
+        self.marks = marks  # blocks given when it began
+        self.parts = [source]  # of a block: its own tags and text, its children's digests
+        self.frame = False  # holds an article or a first heading
 
 
 def _says_dropped(tag: str, attributes: str, in_article: bool) -> bool:
@@ -78,57 +84,95 @@ def _says_dropped(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id"):
-            words = set(_NAME.findall(value))
-            if words & NAMES and not (in_article and words & NAMES == {"header"}):
-                return True
+        if name in ("class", "id") and not NAMES.isdisjoint(value.split()):
+            return True
     return False
 
 
 class Page:
-    """One parse of a page: subtrees (key, protected) of block elements, and the main text."""
+    """One parse of a page: keys of the subtrees of its block elements, and the main text."""
 
     def __init__(self, source: str, salt: int, template: frozenset[int] | set[int] = frozenset(), want_text: bool = True):
         self.keys: list[int] = []
-        self._blocks: list[tuple[bool, str]] = []  # (inside an article, text)
+        self._blocks: list[tuple[bool, bool, str]] = []  # (inside an article, heading, text)
+        self._cut: list[tuple[int, int]] = []  # blocks of template subtrees, as ranges that don't meet
+        self._gone: list[tuple[int, int]] = []  # blocks of forms
         self._source, self._salt, self._template, self._want = source, salt, template, want_text
         self._parse()
 
     def text(self) -> str:
-        inside = any(i for i, _ in self._blocks) or self._has_article
-        return "\n\n".join(t for i, t in self._blocks if i or not inside)
+        if not self._has_article:
+            self._keep_if_bare(0)
+        gone = np.zeros(len(self._blocks), bool)
+        for start, end in self._cut + self._gone:
+            gone[start:end] = True
+        return "\n\n".join(t for (inside, _, t), out in zip(self._blocks, gone.tolist(), strict=True) if not out and (inside or not self._has_article))
+
+    def _delete(self, start: int) -> None:
+        """Takes the blocks from start on for template, and the ranges within into theirs."""
+        while self._cut and self._cut[-1][0] >= start:
+            self._cut.pop()
+        if start < len(self._blocks):
+            self._cut.append((start, len(self._blocks)))
+
+    def _keep_if_bare(self, start: int, whole: bool = False) -> None:
+        """Undoes what is taken from start on if that leaves headings alone, or in any case."""
+        first = next((k for k, c in enumerate(self._cut) if c[0] >= start), None)
+        if first is None:
+            return
+        at = start
+        for a, b in [*self._cut[first:], (len(self._blocks), 0)]:
+            if not whole and any(not heading for _, heading, _ in self._blocks[at:a]):
+                return
+            at = b
+        del self._cut[first:]
 
     def _flush(self) -> None:
         if self._run:
             words = " ".join(entities.unescape("".join(self._run)).split())
             self._run.clear()
             if words:
-                self._blocks.append((self._inside, words))
+                self._blocks.append((self._inside, any(self._open_tags[h] for h in HEADINGS), words))
 
-    def _close(self, end: int) -> None:
-        e = self._stack.pop()
-        self._open_tags[e.tag] -= 1
-        if e.tag in BLOCK:
+    def _close(self, end_tag: str = "") -> None:
+        e = self._stack[-1]
+        block = e.tag in BLOCK
+        if block:
             self._flush()
-            if e.tag not in ("html", "body") and end - e.start <= LONGEST_KEY:
-                key = xxhash.xxh3_64_intdigest(self._source[e.start : end], self._salt) - (1 << 63)
-                self.keys.append(key)
-                if not e.dropped and key in self._template:
-                    mostly_links = 2 * e.links >= e.text
-                    if not e.inside and e.tag not in ("article", "main") or e.inside and (mostly_links or e.tag not in PROSE):
-                        if not (e.inside and e.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") and not (mostly_links and e.links)):
-                            del self._blocks[e.marks :]
+        self._stack.pop()
+        self._open_tags[e.tag] -= 1
+        if block:
+            self._holders.pop()
+            e.parts.append(end_tag)
+            digest = xxhash.xxh3_64_intdigest("".join(e.parts), self._salt)
+            if self._holders:
+                self._holders[-1].parts.append(f"\0{digest:x}\0")
+            if e.tag not in ("html", "body"):
+                self._subtree(e, digest - (1 << 63))
+            if e.tag == "form" and not e.frame and not e.dropped and e.marks < len(self._blocks):
+                self._gone.append((e.marks, len(self._blocks)))
+        elif self._holders and end_tag:
+            self._holders[-1].parts.append(end_tag)
         if self._stack:
             up = self._stack[-1]
-            up.text += e.text
-            up.links += e.text if e.tag == "a" else e.links
+            up.frame |= e.frame
             self._dropped, self._inside = up.dropped, up.inside or up.tag in ("article", "main")
         else:
             self._dropped = self._inside = False
 
+    def _subtree(self, e: Element, key: int) -> None:
+        self.keys.append(key)
+        if e.dropped or not self._template:
+            return
+        if e.tag in ("article", "main"):
+            self._keep_if_bare(e.marks, key in self._template)
+        elif key in self._template and not (e.inside and e.tag in PROSE):
+            self._delete(e.marks)
+
     def _parse(self) -> None:
         source, at, low = self._source, 0, None
         self._stack: list[Element] = []
+        self._holders: list[Element] = []  # the open blocks
         self._open_tags: Counter[str] = Counter()
         self._run: list[str] = []
         self._dropped = self._inside = self._has_article = False
@@ -152,12 +196,12 @@ class Page:
                     depth = next(k for k in range(len(self._stack) - 1, -1, -1) if self._stack[k].tag == tag)
                     if tag in BLOCK or not any(e.tag in BLOCK for e in self._stack[depth + 1 :]):
                         while len(self._stack) > depth + 1:
-                            self._close(found)
-                        self._close(at)
+                            self._close()
+                        self._close(source[found:at])
                 elif tag in ("p", "br"):
                     self._flush() if tag == "p" else self._add(" ")
                 continue
-            self._open(tag, m[3], found)
+            self._open(tag, m[3], source[found:at])
             if tag in RAW and not m[3].endswith("/"):
                 low = source.lower() if low is None else low  # lower() keeps lengths but for a few letters; searched by pattern then
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at) if len(low) != n else None
@@ -169,18 +213,18 @@ class Page:
                     gt = source.find(">", stop)
                     at = n if gt < 0 else gt + 1
                 if self._stack and self._stack[-1].tag == tag:
-                    self._close(at)
+                    self._close(source[stop:at])
         while self._stack:
-            self._close(n)
+            self._close()
         self._flush()
 
     def _add(self, text: str) -> None:
-        if self._stack:
-            self._stack[-1].text += len(text)
+        if self._holders:
+            self._holders[-1].parts.append(text)
         if not self._dropped and self._want:
             self._run.append(text)
 
-    def _open(self, tag: str, attributes: str, start: int) -> None:
+    def _open(self, tag: str, attributes: str, source: str) -> None:
         if tag == "br":
             self._add(" ")
             return
@@ -188,24 +232,27 @@ class Page:
             depth = next(k for k in range(len(self._stack) - 1, -1, -1) if self._stack[k].tag == "p")
             if not any(e.tag in BLOCK for e in self._stack[depth + 1 :]):
                 while len(self._stack) > depth:
-                    self._close(start)
+                    self._close()
         for closed in (CLOSES[tag],) if tag in CLOSES and any(self._open_tags[c] for c in CLOSES[tag]) else ():
             for k in range(len(self._stack) - 1, -1, -1):
                 if self._stack[k].tag in closed:
                     while len(self._stack) > k:
-                        self._close(start)
+                        self._close()
                     break
                 if self._stack[k].tag in ("ul", "ol", "dl", "table", "select", "article", "body"):
                     break
         if tag in BLOCK:
             self._flush()
+        elif self._holders:
+            self._holders[-1].parts.append(source)
         if tag in VOID:
             return
-        in_article = self._inside
-        dropped = self._dropped or _says_dropped(tag, attributes, in_article)
-        e = Element(tag, start, dropped, in_article)
-        e.marks = len(self._blocks)
+        dropped = self._dropped or _says_dropped(tag, attributes, self._inside)
+        e = Element(tag, dropped, self._inside, len(self._blocks), source)
+        e.frame = tag in ("article", "main", "h1")
         self._stack.append(e)
+        if tag in BLOCK:
+            self._holders.append(e)
         self._open_tags[tag] += 1
         self._dropped = dropped
         if tag in ("article", "main") and not dropped:
@@ -245,7 +292,7 @@ def _texts(keys: np.ndarray | None):
             texts = []
             own = batch.column(3).to_pylist() if template is None else [None] * batch.num_rows
             for url, source, mine in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), own, strict=True):
-                texts.append(Page(source, host_salt(url), template if template is not None else frozenset(mine or ())).text() if source else "")
+                texts.append(Page(source, host_salt(url), frozenset() if url is None else template if template is not None else frozenset(mine or ())).text() if source else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run

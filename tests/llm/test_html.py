@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import html as entities
+import random
 import re
+from collections import Counter
+from xml.etree import ElementTree
 
 import pytest
 
@@ -81,6 +84,79 @@ def test_sections_of_a_large_host_are_templates(spark):
         assert found[203] == "Notice of section few\n\nOwn words of page 203."
 
 
+def extracted(spark, rows, **options):
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect()}
+
+
+def test_templates_inside_articles(spark):
+    long = "Terms of use. " * 6000
+    notice = "<div class='zz'>Call us on 555</div>"
+    rows = [(k, f"http://one.example/{k}", f"<article><h1>T{k}</h1><p>Own {k}.</p>{notice}<div>{long}<br>{long}</div><ul><li>a<li>b</ul></article>") for k in range(20)]
+    rows += [(100 + k, f"http://two.example/{k}", f"<div><h2>T{k}</h2>Own {k}.</div><div>{long}<!-- {k} --><script>track({k})</script>{long}</div>") for k in range(20)]
+    # Copies of an article, and articles of which all but the heading recurs, keep their parts.
+    rows += [(200 + k, f"http://three.example/{k}", f"<nav>{k}</nav><article><h1>T</h1><p>x</p>{notice}</article>") for k in range(6)]
+    rows += [(300 + k, f"http://four.example/{k}", f"<article><h1>T{k}</h1><div><p>x</p>{notice}</div></article>") for k in range(6)]
+    for broadcast_keys in (1 << 18, 0):
+        found = extracted(spark, rows, broadcast_keys=broadcast_keys)
+        assert all(found[k] == f"T{k}\n\nOwn {k}." and found[100 + k] == f"T{k}\n\nOwn {k}." for k in range(20))
+        assert all(found[200 + k] == "T\n\nx\n\nCall us on 555" and found[300 + k] == f"T{k}\n\nx\n\nCall us on 555" for k in range(6))
+
+
+@pytest.mark.parametrize("frame", ["<div class='search-results-page'>{}</div>", "<div id='login-guide-widget'>{}</div>", "<div class='related-topic post'>{}</div>", "<form id=all><h1>T</h1>{}<input value=x></form>"])
+def test_names_do_not_empty_pages(frame):
+    assert text(frame.format("<p>real text</p>")).endswith("real text")
+
+
+def test_null_urls_have_no_template(spark):
+    same = "<div>same</div>"
+    rows = [(k, "no scheme", f"<p>{k}</p>{same}") for k in range(6)] + [(10 + k, None, f"<p>{k}</p>{same}") for k in range(6)] + [(3, "no scheme", f"<p>again</p>{same}")]
+    for broadcast_keys in (1 << 18, 0):
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+        found = sorted((r.page_id, r.text) for r in html.extract(frame, broadcast_keys=broadcast_keys).collect())
+        assert found == sorted([(k, str(k)) for k in range(6)] + [(3, "again")] + [(10 + k, f"{k}\n\nsame") for k in range(6)])
+
+
+def brute_force(pages):
+    """By whole sources: {page_id: text} of well-formed pages without articles, and how many pages the template changes."""
+    trees = {i: (u.split("/")[2], ElementTree.fromstring(h)) for i, u, h in pages}
+    of = Counter()
+    for source in {(h, ElementTree.tostring(t)) for h, t in trees.values()}:
+        of.update({(source[0], ElementTree.tostring(e)) for e in ElementTree.fromstring(source[1]).iter("div")} | {(source[0], ElementTree.tostring(e)) for e in ElementTree.fromstring(source[1]).iter("p")})
+    out, changed = {}, 0
+    for i, (host, tree) in trees.items():
+        kept, everything = [], []
+
+        def walk(e, gone, host=host, kept=kept, everything=everything):
+            gone = gone or e.tag != "body" and of[host, ElementTree.tostring(e)] >= html.MIN_PAGES
+            for t in [e.text, *(x for c in e for x in (c, c.tail))]:
+                if isinstance(t, ElementTree.Element):
+                    walk(t, gone)
+                elif t:
+                    everything.append(t)
+                    kept.extend([] if gone else [t])
+
+        walk(tree, False)
+        out[i] = "\n\n".join(kept or everything)
+        changed += bool(kept) and kept != everything
+    return out, changed
+
+
+def test_against_brute_force(spark):
+    draw = random.Random(5)
+
+    def block(depth):
+        tag = draw.choice(["div", "div", "p"]) if depth else "p"
+        return f"<{tag}>" + (draw.choice("abcdefghij") * draw.randint(1, 3) if tag == "p" or draw.random() < 0.5 else "".join(block(depth - 1) for _ in range(draw.randint(1, 3)))) + f"</{tag}>"
+
+    rows = []
+    for k in range(300):
+        own = f"<p>page {draw.randrange(250)}</p>" if draw.random() < 0.8 else ""
+        rows.append((k, f"http://{draw.choice(['one', 'two', 'three'])}.example/{k}", f"<body>{own}{''.join(block(2) for _ in range(draw.randint(0, 3)))}</body>"))
+    expected, changed = brute_force(rows)
+    assert changed > 100
+    assert extracted(spark, rows) == expected
+
+
 def test_empty_table(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
