@@ -5,7 +5,7 @@ list gives its own best k entries for each query; their totals are resolved, and
 blocks is a safe cutoff: k rows reach it. Phase 2: the cutoff goes with the query to every block; a row whose
 total reaches the cutoff has a partial score of at least cutoff / lists in some list, so each list collects just
 those entries. Phase 3: their totals are resolved exactly, and the best k remain. Queries and rows meet in blocks
-of bounded size; blocks send at most k entries a query.
+of bounded size, so a row is copied once for thousands of queries; blocks send at most k entries a query.
 
 Components are floor(scale * x), x as double, so scores are whole numbers and exact. Rules: rows whose vector is
 null or has null or non-finite components take no part, neither as query nor as candidate; vectors of another
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-ROWS, QUERIES = 2048, 512
+#: Components in a block of rows, and of queries; queries of a block that meet its rows at once.
+ROWS, QUERIES, STRIP = 1 << 20, 1 << 19, 128
 
 
 def finite(column: str):
@@ -64,9 +65,13 @@ def _block(k: int, lists: int, scale: int, with_cutoff: bool):
             return pa.table(none)
         q, x = _matrix(queries, "query", scale), _matrix(rows, "embedding", scale)
         q_id, x_id = queries.column("query_id").to_numpy(), rows.column("vec_id").to_numpy()
+        cut = queries.column("cutoff").to_numpy(zero_copy_only=False).astype(np.float64)[:, None] if with_cutoff else None
+        found = [strip(q[s], x, q_id[s], x_id, cut[s] if with_cutoff else None) for s in (slice(at, at + STRIP) for at in range(0, len(q), STRIP))]
+        return pa.table(dict(zip(none, map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    def strip(q: np.ndarray, x: np.ndarray, q_id: np.ndarray, x_id: np.ndarray, cut: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = q_id[:, None] == x_id[None, :]
         keep = np.zeros(own.shape, bool)
-        cut = queries.column("cutoff").to_numpy(zero_copy_only=False).astype(np.float64)[:, None] if with_cutoff else None
         for part in np.array_split(np.arange(q.shape[1]), lists):
             partial = q[:, part] @ x[:, part].T
             partial[own] = -np.inf
@@ -80,17 +85,25 @@ def _block(k: int, lists: int, scale: int, with_cutoff: bool):
         i, j, total = i[order], j[order], total[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
         i, j, total = i[rank < k], j[rank < k], total[rank < k]
-        return pa.table({"query_id": q_id[i].astype(np.int64), "vec_id": x_id[j].astype(np.int64), "score": total})
+        return q_id[i].astype(np.int64), x_id[j].astype(np.int64), total
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, scale: int = 256, block_rows: int = ROWS, block_queries: int = QUERIES) -> DataFrame:
+def _blocks(vectors: DataFrame, column: str, components: int, rows: int | None, least: int = 1) -> int:
+    """How many blocks of so many components, or rows; at least so many, unless they got under 1024 rows."""
+    n, dim = vectors.agg(F.count("*"), F.max(F.size(column))).first()
+    if rows:
+        return max(1, -(-n // rows))
+    return max(1, min(least, -(-n // 1024)), -(-n // max(256, components // max(1, dim or 1))))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, scale: int = 256, block_rows: int | None = None, block_queries: int | None = None) -> DataFrame:
     """vectors, queries (vec_id, embedding): returns query_id, rank, vec_id, score."""
     vectors = vectors.select("vec_id", "embedding").filter(finite("embedding") & F.col("vec_id").isNotNull())
     queries = queries.filter(finite("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    n_rows = max(1, -(-vectors.count() // block_rows))
-    n_queries = max(1, -(-queries.count() // block_queries))
+    n_rows = _blocks(vectors, "embedding", ROWS, block_rows, vectors.sparkSession.sparkContext.defaultParallelism)
+    n_queries = _blocks(queries, "query", QUERIES, block_queries)
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     rows = vectors.withColumn("dim", F.size("embedding")).withColumn("rb", dealt("vec_id", n_rows))
     rows = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))

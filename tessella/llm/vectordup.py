@@ -5,9 +5,10 @@ rotation keeps cosines, so the sample only affects speed). A tile compares two b
 the leading axes come first; by Cauchy-Schwarz the rest adds at most the product of the suffix norms, and a pair
 stops when that can't reach the threshold. Pairs that stay are decided by the cosine of the vectors as given.
 
-Equal vectors of a label form one class first; classes are compared, and a class of m counts m links. A tile
-returns a row per class that has a link: how many vectors it links to there, and the tile's smallest class that
-it reaches; never pairs. Components come from those rows.
+Equal vectors of a label form one class first, named by its smallest vec_id and a hash of label and vector, since ids
+may repeat; classes are compared, and a class of m counts m links. A tile returns a row per class that has a link: how
+many vectors it links to there, and the tile's smallest class that it reaches; never pairs. Components come from those
+rows.
 
 Rules: null labels, null or zero vectors and vectors with null or non-finite components link with nothing; so do
 vectors of different lengths. Equal rows link with each other; rows that repeat an id are rows of their own in
@@ -87,12 +88,12 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _tile(axes: dict[int, np.ndarray], threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
+        ids, marks = table.column("vec_id").to_numpy(), table.column("mark").to_numpy()
+        order = np.lexsort((marks, ids))
         lists = table.column("embedding").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)[order]
-        ids, left = ids[order], table.column("block").to_numpy()[order] == table.column("low").to_numpy()[order]
+        ids, marks, left = ids[order], marks[order], table.column("block").to_numpy()[order] == table.column("low").to_numpy()[order]
         copies, same = table.column("copies").to_numpy()[order], bool(left.all())
         scaled = x / np.abs(x).max(axis=1, keepdims=True)  # neither squares nor sums overflow
         unit = scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
@@ -105,7 +106,7 @@ def _tile(axes: dict[int, np.ndarray], threshold: float):
             i, j = at_a[i], at_b[j]
         links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
         root, has = _roots(len(ids), i, j), links > 0
-        return pa.table({"vec_id": ids[has], "links": links[has].astype(np.int64), "root": ids[root[has]]})
+        return pa.table({"vec_id": ids[has], "mark": marks[has], "links": links[has].astype(np.int64), "root": ids[root[has]], "root_mark": marks[root[has]]})
 
     return run
 
@@ -115,18 +116,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
     vectors = vectors.select("vec_id", "embedding", "label")
     able = finite("embedding") & F.exists("embedding", lambda v: v != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     classes = vectors.filter(able).groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-    classes = written(classes, "vector-classes")
+    classes = written(classes.withColumn("mark", F.xxhash64("label", "embedding")), "vector-classes")
     axes = principal_axes(classes)
     counts = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     blocks = classes.withColumn("dim", F.size("embedding")).join(counts, ["label", "dim"])
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("vec_id", "mark"), F.col("blocks")).cast("int"))
     tiles = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("vec_id", "embedding", "copies", "label", "dim", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    found = tiles.groupBy("label", "dim", "low", "high").applyInArrow(_tile(axes, threshold), "vec_id long, links long, root long")
+    tiles = tiles.select("vec_id", "mark", "embedding", "copies", "label", "dim", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    found = tiles.groupBy("label", "dim", "low", "high").applyInArrow(_tile(axes, threshold), "vec_id long, mark long, links long, root long, root_mark long")
     found = written(found, "vector-links")
-    reach = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    told = classes.join(links, "vec_id", "left").join(reach.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    node = F.struct("vec_id", "mark")  # in the order of ids
+    reach = components(found.select(node.alias("a"), F.struct(F.col("root").alias("vec_id"), F.col("root_mark").alias("mark")).alias("b")))
+    reach = reach.select("node.vec_id", "node.mark", F.col("component.vec_id").alias("component"))
+    links = found.groupBy("vec_id", "mark").agg(F.sum("links").alias("links"))
+    told = classes.join(links, ["vec_id", "mark"], "left").join(reach, ["vec_id", "mark"], "left")
     told = told.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     out = vectors.join(told, ["label", "embedding"], "left")
     component = F.coalesce("component_id", "vec_id")

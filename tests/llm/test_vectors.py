@@ -88,6 +88,19 @@ def test_near_duplicates_of_nothing(spark):
     assert vectordup.near_duplicates(frame(spark, ODD).limit(0)).isEmpty()
 
 
+def test_repeated_ids(spark):
+    """Rows of one id: in near_duplicates each has its own links; in top_k the id's queries share one list."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.02], 0), (0, [0.01, 1.0], 0), (1, [1.0, 0.0], 0), (2, [0.5, -1.0], 0)]
+    found = vectordup.near_duplicates(frame(spark, rows), 0.98).collect()
+    assert sorted(((False, r.vec_id), r.n_links, r.component_id) for r in found) == brute_links(rows, 0.98)
+    assert sorted((r.vec_id, r.n_links) for r in found) == [(0, 1), (1, 1), (1, 3), (1, 3), (2, 0), (2, 3), (3, 3)]
+    found = topk.top_k(frame(spark, rows), frame(spark, rows), 4).collect()
+    by_id = {}
+    for q, _, i, s in brute_top(rows, rows, 100):
+        by_id.setdefault(q, []).append((-s, i))
+    assert sorted(map(tuple, found)) == sorted((q, k + 1, i, -s) for q, all_ in by_id.items() for k, (s, i) in enumerate(sorted(all_)[:4]))
+
+
 def test_bound_never_loses_a_pair():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((300, 24))
