@@ -1,16 +1,20 @@
 """Toxicity by a classifier chain: linear models of hashed word features, each fed by the ones before it.
 
-The chain's categories come from the label columns: low_quality (quality 0), toxic (toxic 1), toxic_low_quality
-(both). A category's model sees whether the text holds a word, or a longer word's first 4, 5, 6 or 7 bytes (so
-endings don't hide a stem), over the whole text, and the probabilities of the earlier categories. Those it learns
-from are out-of-fold: predicted by models that didn't see the row, in FOLDS folds by a hash of the id; the models
-that score are fitted on all sampled rows. Training takes a bounded sample: at most SAMPLE / 2 rows of each value
-of toxic, lowest hash of the id first. Everything else covers all rows.
+The chain's categories come from the label columns, each feeding those after it: low_quality (quality 0),
+toxic_low_quality (both), and toxic (toxic 1), which decides. A category's model sees whether the text holds a word,
+or a longer word's first 4, 5, 6 or 7 bytes (so endings don't hide a stem), over the whole text, and the probabilities
+of the earlier categories. Those it learns from are out-of-fold: predicted by models that didn't see the row, in FOLDS
+folds by a hash of the id; the models that score are fitted on all sampled rows.
+
+Training takes a bounded sample: at most SAMPLE / 2 ids of each value of toxic, lowest hash of the id first, and of
+these as many as have SAMPLE_BYTES / 2 of features. A category's models are fitted side by side, one task each; the
+sample never goes to the driver. An example of the category counts POSITIVE times, as few rows of a text are of it.
+Everything else covers all rows.
 
 Rules: null, empty and wordless texts have no features and score by the biases. Rows with a null id are scored,
-not learnt from. An id with several labels counts as toxic if one says so, and of low quality if one says so. A
-category with labels of one kind or none has that kind's constant probability. Repeated rows get equal scores;
-other columns are never read.
+not learnt from. An id with several labels counts as toxic if one says so, and of low quality if one says so; one of
+several rows is learnt from by its least text. A category with labels of one kind or none has that kind's constant
+probability. Repeated rows get equal scores; other columns are never read.
 """
 
 from __future__ import annotations
@@ -22,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import slices, text_bytes, written
 from .ftrl import Ftrl, folds, sigmoid
-from .quality import CLASSES, sampled_labels
+from .quality import CLASSES, bounded_sample, sampled_labels
 from .textkernel import Words, mix
 
-CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
-BITS, SAMPLE, FOLDS = 20, 8000, 3
+CATEGORIES = ("low_quality", "toxic_low_quality", "toxic")
+BITS, SAMPLE, SAMPLE_BYTES, FOLDS, POSITIVE = 20, 8000, 1 << 27, 3, 6.0
 PREFIXES = (4, 5, 6, 7)
 #: (weights of features, weights of earlier probabilities, bias) for each category.
 Chain = list[tuple[np.ndarray, np.ndarray, float]]
@@ -85,7 +89,7 @@ def _fit(features: Sequence[np.ndarray], extra: np.ndarray, y: np.ndarray, rows:
     index = _Each(rows, lambda k: np.concatenate([features[k], slots]))
     values = _Each(rows, lambda k: np.concatenate([np.ones(len(features[k])), extra[k]]))
     model = Ftrl(size + extra.shape[1], alpha=0.5, l1=8.0, l2=0.0)
-    dense, bias = model.fit(index, values, y[rows], epochs, weights=np.where(y[rows] == 1, 6.0, 1.0)).finished()
+    dense, bias = model.fit(index, values, y[rows], epochs, weights=np.where(y[rows] == 1, POSITIVE, 1.0)).finished()
     return dense[:size], dense[size:].astype(np.float64), bias
 
 
@@ -94,27 +98,59 @@ def _predict(model: tuple[np.ndarray, np.ndarray, float], features: list[np.ndar
     return sigmoid(np.array([float(dense[i].sum()) for i in features]) + extra @ more + bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE, k: int = FOLDS, epochs: int = 8) -> Chain:
-    """labels (doc_id, quality, toxic). The sample is bounded, so it is broadcast and collected."""
+#: A fit's results: of a fold the probabilities of its rows, of the whole sample (fold -1) the model.
+FITTED = "fold int, doc_id long, p double, at array<int>, weights array<float>, more array<double>, bias double"
+
+
+def _fits(number: int, k: int, bits: int, epochs: int):
+    """One partition holds the sample for one fit, with the earlier categories' probabilities in the column earlier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [pa.Table.from_batches([b]) for b in batches]
+        if not found:
+            return
+        table = pa.concat_tables(found).sort_by("doc_id")
+        f = table.column("fit")[0].as_py()
+        ids, features = table.column("doc_id").to_numpy(), [np.asarray(x.values) for x in table.column("features")]
+        extra = np.array(table.column("earlier").to_pylist(), np.float64).reshape(len(ids), number)
+        toxic, low = table.column("label").to_numpy() == 1, table.column("low_quality").to_numpy() == 1
+        y = {"low_quality": low, "toxic": toxic, "toxic_low_quality": low & toxic}[CATEGORIES[number]].astype(np.float64)
+        fold = folds(ids, k)
+        dense, more, bias = model = _fit(features, extra, y, np.flatnonzero(fold != f), bits, epochs)
+        if f < 0:
+            at = np.flatnonzero(dense)
+            row = {"fold": [-1], "doc_id": [None], "p": [None], "at": [at.astype(np.int32)], "weights": [dense[at]], "more": [more], "bias": [bias]}
+        else:
+            own = np.flatnonzero(fold == f)
+            none = [None] * len(own)
+            row = {"fold": [f] * len(own), "doc_id": ids[own], "p": _predict(model, [features[i] for i in own], extra[own]), "at": none, "weights": none, "more": none, "bias": none}
+        kinds = [pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), kinds, strict=True)], list(row))
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE, k: int = FOLDS, epochs: int = 8, sample_bytes: int = SAMPLE_BYTES) -> Chain:
+    """labels (doc_id, quality, toxic)."""
     chosen = sampled_labels(labels, "toxic", "max", sample)
     low = labels.groupBy("doc_id").agg(F.coalesce(F.max((F.col("quality") == 0).cast("int")), F.lit(0)).alias("low_quality"))
-    chosen = F.broadcast(chosen.join(low, "doc_id"))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", "low_quality", "text")
-    table = rows.mapInArrow(_featured(bits), "doc_id long, label int, low_quality int, features array<int>").toArrow().sort_by("doc_id")
-    features = [x.values.to_numpy() for x in table.column("features")]
-    toxic, low_quality = table.column("label").to_numpy() == 1, table.column("low_quality").to_numpy() == 1
-    targets = [low_quality, toxic, low_quality & toxic]
-    fold, everyone = folds(table.column("doc_id").to_numpy(), k), np.arange(len(features))
-    extra, chain = np.zeros((len(features), 0)), []
-    for number, y in enumerate(map(np.float64, targets)):
-        chain.append(_fit(features, extra, y, everyone, bits, epochs))
-        if number + 1 < len(targets):
-            out_of_fold = np.zeros(len(features))
-            for f in range(k):
-                own = np.flatnonzero(fold == f)
-                model = _fit(features, extra, y, np.flatnonzero(fold != f), bits, epochs)
-                out_of_fold[own] = _predict(model, [features[i] for i in own], extra[own])
-            extra = np.column_stack([extra, out_of_fold])
+    chosen = chosen.join(low, "doc_id").select("doc_id", "label", "low_quality")
+    schema = "doc_id long, label int, low_quality int, features array<int>"
+    rows = written(bounded_sample(docs, chosen, _featured(bits), schema, sample_bytes).withColumn("earlier", F.array().cast("array<double>")), "chain")
+    chain: Chain = []
+    for number in range(len(CATEGORIES)):
+        last = number + 1 == len(CATEGORIES)
+        dealt = rows.withColumn("fit", F.explode(F.array(*map(F.lit, [-1] if last else range(-1, k)))))
+        found = dealt.repartitionById(k + 1, F.col("fit") + 1).mapInArrow(_fits(number, k, bits, epochs), FITTED)
+        found = written(found, "fits")
+        model, dense = found.filter("fold < 0").first(), np.zeros(1 << bits, np.float32)
+        if model is None:  # nothing to learn from
+            return [(dense, np.zeros(n), -10.0) for n in range(len(CATEGORIES))]
+        dense[model.at] = model.weights
+        chain.append((dense, np.array(model.more, np.float64), model.bias))
+        if not last:
+            told = found.filter("fold >= 0").select("doc_id", "p")
+            rows = written(rows.join(told, "doc_id").withColumn("earlier", F.concat("earlier", F.array("p"))).drop("p"), "chain")
     return chain
 
 
