@@ -48,13 +48,16 @@ def targets(sources: DataFrame, share: float = 1.5, max_epochs: float = 2.0, wei
     return df.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, max_epochs: float = 2.0, ranges: int = RANGES) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, max_epochs: float = 2.0, ranges: int = RANGES, key: str | None = None) -> DataFrame:
     """docs (doc_id, text, source): returns doc_id, source, size, source_size, target, repeats, part, taken.
 
     repeats: times that the document is taken whole; part: words taken once more from it, under its size.
+    key: a column to return as __key; rows that tie otherwise are then told apart by their texts.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("hash")), "mix-sizes")
+    own = [] if key is None else ["__key", "__tie"]
+    more = [] if key is None else [*(c.alias("__key") for c in named([key])), F.xxhash64("text").alias("__tie")]
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), drawn.alias("hash"), *more), "mix-sizes")
     sized = sized.withColumn("range", F.floor(F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") * ranges / 2.0**32).cast("int"))
     ranged = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     ranged = written(ranged, "mix-ranges")
@@ -67,23 +70,25 @@ def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, max_epochs: float =
     left = F.col("missing") - F.col("ranges_before")
     plan = plan.withColumn("border", (left > 0) & (left < F.col("range_size"))).withColumn("whole", left >= F.col("range_size"))
     joined = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.range") == F.col("p.range")))
-    joined = joined.select("d.doc_id", "d.source", "size", "hash", "d.range", "source_size", "target", "repeats", "border", "whole", left.alias("left"))
-    border = Window.partitionBy("source", "range").orderBy("hash", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    joined = joined.select("d.doc_id", "d.source", "size", "hash", "d.range", "source_size", "target", "repeats", "border", "whole", left.alias("left"), *own)
+    border = Window.partitionBy("source", "range").orderBy("hash", "size", "doc_id", *own[1:]).rowsBetween(Window.unboundedPreceding, -1)
     inside = joined.filter("border").withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.coalesce(F.sum("size").over(border), F.lit(0)))))
     outside = joined.filter("not border").withColumn("part", F.when(F.col("whole"), F.col("size")).otherwise(0))
     both = inside.unionByName(outside)
     full = (F.col("part") == F.col("size")) & (F.col("size") > 0)
     both = both.withColumn("repeats", F.when(F.col("size") == 0, 0).otherwise(F.col("repeats") + full.cast("long"))).withColumn("part", F.when(full, 0).otherwise(F.col("part")).cast("long"))
-    return both.select("doc_id", "source", "size", "source_size", "target", "repeats", "part", (F.col("repeats") * F.col("size") + F.col("part")).alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", "repeats", "part", (F.col("repeats") * F.col("size") + F.col("part")).alias("taken"), *own[:1])
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix: each document as often as it is taken; a part of half or more of its words counts as a whole.
 
-    Rows are matched to their repeats by doc_id; rows that repeat a doc_id share the mean of their repeats, rounded.
+    Rows are numbered in a written copy and matched to their repeats by number, so rows that repeat an id, or have none,
+    count on their own.
     """
-    own, times, copy = (fresh(docs.columns, c) for c in ("__id", "__times", "__copy"))
+    number, key, times, copy = (fresh(docs.columns, c) for c in ("__row", "__key", "__times", "__copy"))
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "mix-rows")
     repeats = F.col("repeats") + (2 * F.col("part") >= F.greatest(F.col("size"), F.lit(1))).cast("long")
-    plan = mix(docs, **options).groupBy(F.col("doc_id").alias(own)).agg(F.round(F.avg(repeats)).cast("int").alias(times))
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(own))).filter(F.col(times) > 0)
+    plan = mix(rows, key=number, **options).select(F.col("__key").alias(key), repeats.cast("int").alias(times)).filter(F.col(times) > 0)
+    out = rows.join(plan, F.col(number) == F.col(key))
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*named(docs.columns))

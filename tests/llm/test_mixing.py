@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +67,22 @@ def test_mixed_rows(spark, documents, odd, empty):
     assert mixing.mix(empty).isEmpty() and mixing.mixed_rows(empty).isEmpty()
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    """Null ids, repeated ids and equal rows: each source's rows come near its target, and reruns agree."""
+    rows = [(None if k % 3 else 7, f"{'w ' * (k % 5 + 1)}{k}", "ab"[k % 2]) for k in range(300)] + [(None, "same words", "a")] * 50
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, __row int, __key int")
+    target = {r.source: r.target for r in mixing.mix(docs).collect()}
+    runs = []
+    for some in (docs, docs.repartition(7)):
+        out = mixing.mixed_rows(some)
+        assert out.columns == docs.columns
+        runs.append(sorted(map(tuple, out.collect()), key=repr))
+        for source, words in target.items():
+            assert abs(sum(len(t.split()) for _, t, s, *_ in runs[-1] if s == source) - words) <= 6  # the border's document counts as a whole or not
+    assert runs[0] == runs[1]
+    assert max(Counter(runs[0])[r] for r in runs[0] if r[1] != "same words") <= 2
+
+
 def test_no_python_in_the_plan(spark, documents):
     plan = mixing.mix(documents)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
