@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and
 any further ones that docs has. Rows with null, empty or wordless texts are scored by the models' biases alone, are no
 duplicates of each other, have no words to mix, so that the mix doesn't take them, and would encode to no ids. Rows with
-a null id are judged like others, are no duplicates, and share their repeats in the mix. Rows that repeat an id are
-one document after near_duplicates. Empty tables stay empty.
+a null id are judged like others and are no duplicates. Rows that repeat an id are one document after near_duplicates.
+Empty tables stay empty.
 """
 
 from __future__ import annotations
