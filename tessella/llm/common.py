@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,13 @@ def _offsets(array: pa.Array) -> np.ndarray:
     return np.frombuffer(array.buffers()[1], kind)[array.offset : array.offset + len(array) + 1].astype(np.int64) if len(array) else np.zeros(1, np.int64)
 
 
+def tidy() -> None:
+    """Gives memory that a task has freed back to the machine: Python workers live on, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array, and where each row begins; nulls count as empty."""
     if array.null_count:

@@ -18,14 +18,14 @@ columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, written
+from .common import slices, text_bytes, tidy, written
 from .ftrl import Ftrl, sigmoid
 from .textkernel import Words, ngrams
 
@@ -71,25 +71,48 @@ def bounded_sample(docs: DataFrame, chosen: DataFrame, featured, schema: str, mo
     return rows.join(F.broadcast(within.filter(F.col("bytes") <= most_bytes // 2).select("doc_id")), "doc_id")
 
 
-def _counted(index: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct features of each text, and their values."""
-    for a, b in zip(begins, begins[1:], strict=False):
-        features, counts = np.unique(index[a:b], return_counts=True)
-        yield features, counts / np.sqrt(SHRINK + float((counts.astype(np.float64) ** 2).sum()))
+class Each:
+    """A sequence whose items are made when they are asked for: the training rows are held once, as whole numbers."""
+
+    def __init__(self, rows: Sequence, make: Callable[[object], np.ndarray]):
+        self.rows, self.make = rows, make
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.make(self.rows[k])
+
+
+def list_rows(batches: Iterator[pa.RecordBatch], column: str) -> list[np.ndarray]:
+    """The lists of a column, one after another, where the batches hold them."""
+    out = []
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index(column))
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        out += [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return out
+
+
+def normed(counts: np.ndarray) -> np.ndarray:
+    counts = counts.astype(np.float64)
+    return counts / np.sqrt(SHRINK + (counts * counts).sum())
 
 
 def _featured(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = list(_counted(*hashed_ngrams(*text_bytes(batch.column(2)), bits)))
+            index, begins = hashed_ngrams(*text_bytes(batch.column(2)), bits)
+            found = [np.unique(index[a:b], return_counts=True) for a, b in zip(begins, begins[1:], strict=False)]
             ends = pa.array(np.cumsum([0, *(len(i) for i, _ in found)]).astype(np.int32))
-            index, values = (np.concatenate([np.zeros(0), *(x[k] for x in found)]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(values))], ["doc_id", "label", "features", "values"])
+            flat = (np.concatenate([np.zeros(0, np.int32), *(x[k] for x in found)]).astype(np.int32) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat)], ["doc_id", "label", "features", "counts"])
+        tidy()
 
     return run
 
 
-def fitted(features: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, weights: np.ndarray, bits: int = BITS, epochs: int = 8) -> tuple[np.ndarray, float]:
+def fitted(features: Sequence[np.ndarray], values: Sequence[np.ndarray], y: np.ndarray, weights: np.ndarray, bits: int = BITS, epochs: int = 8) -> tuple[np.ndarray, float]:
     """Dense weights and the bias."""
     return Ftrl(1 << bits, alpha=8.0, l1=0.03, l2=0.0).fit(features, values, y, epochs, weights=weights).finished()
 
@@ -98,15 +121,16 @@ def _learnt(share: float, bits: int, epochs: int):
     """share: of label 1 in the labels. Gives the model as one row; no row where labels are of one kind or none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [pa.Table.from_batches([b]) for b in batches]
-        table = pa.concat_tables(found).sort_by("doc_id") if found else None
-        y = table.column("label").to_numpy().astype(np.float64) if found else np.zeros(0)
+        found = list(batches)  # in the order of ids
+        y = np.concatenate([np.zeros(0), *(b.column(1).to_numpy() for b in found)])
         if 0 < y.sum() < len(y):
-            columns = (table.column(c) for c in ("features", "values"))
-            features, values = ([np.asarray(x.values) for x in c] for c in columns)
-            dense, bias = fitted(features, values, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())), bits, epochs)
+            features, counts = (list_rows(found, c) for c in ("features", "counts"))
+            dense, bias = fitted(features, Each(counts, normed), y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())), bits, epochs)
             at = np.flatnonzero(dense)
             yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([dense[at]], pa.list_(pa.float32())), pa.array([bias])], ["at", "weights", "bias"])
+            del features, counts
+        del found
+        tidy()
 
     return run
 
@@ -117,8 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SA
     n = {r.label: r["count"] for r in one.groupBy("label").count().collect()}
     if len(n) < 2:
         return np.zeros(1 << bits, np.float32), 3.0 if 1 in n else -3.0 if n else 0.0
-    rows = bounded_sample(docs, sampled_labels(labels, "quality", "min", sample), _featured(bits), "doc_id long, label int, features array<int>, values array<double>", sample_bytes)
-    model = rows.repartition(1).mapInArrow(_learnt(n[1] / (n[0] + n[1]), bits, epochs), "at array<int>, weights array<float>, bias double").first()
+    rows = bounded_sample(docs, sampled_labels(labels, "quality", "min", sample), _featured(bits), "doc_id long, label int, features array<int>, counts array<int>", sample_bytes)
+    model = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_learnt(n[1] / (n[0] + n[1]), bits, epochs), "at array<int>, weights array<float>, bias double").first()
     dense = np.zeros(1 << bits, np.float32)
     if model is None:  # of the labelled ids docs has one kind or none
         kind = rows.agg(F.min("label")).first()[0]
@@ -158,6 +182,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)))], ["doc_id", "score"])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 

@@ -19,16 +19,16 @@ probability. Repeated rows get equal scores; other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, written
+from .common import slices, text_bytes, tidy, written
 from .ftrl import Ftrl, folds, sigmoid
-from .quality import CLASSES, bounded_sample, sampled_labels
+from .quality import CLASSES, Each, bounded_sample, list_rows, sampled_labels
 from .textkernel import Words, mix
 
 CATEGORIES = ("low_quality", "toxic_low_quality", "toxic")
@@ -63,31 +63,19 @@ def _featured(bits: int):
             index, texts = _present(*hashed_words(data, offsets, bits), bits)
             ends = np.searchsorted(texts, np.arange(len(offsets))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(index.astype(np.int32)))], ["doc_id", "label", "low_quality", "features"])
+        tidy()
 
     return run
 
 
-class _Each:
-    """A sequence whose items are made when they are asked for: the training rows are held once, as whole numbers."""
-
-    def __init__(self, rows: np.ndarray, make: Callable[[int], np.ndarray]):
-        self.rows, self.make = rows, make
-
-    def __len__(self) -> int:
-        return len(self.rows)
-
-    def __getitem__(self, k: int) -> np.ndarray:
-        return self.make(self.rows[k])
-
-
 def _fit(features: Sequence[np.ndarray], extra: np.ndarray, y: np.ndarray, rows: np.ndarray, bits: int, epochs: int) -> tuple[np.ndarray, np.ndarray, float]:
     """One model; extra: earlier probabilities, whose slots follow the hashed ones."""
     size = 1 << bits
     if len(set(y[rows])) < 2:
         return np.zeros(size, np.float32), np.zeros(extra.shape[1]), 10.0 if len(rows) and y[rows[0]] else -10.0
     slots = size + np.arange(extra.shape[1])
-    index = _Each(rows, lambda k: np.concatenate([features[k], slots]))
-    values = _Each(rows, lambda k: np.concatenate([np.ones(len(features[k])), extra[k]]))
+    index = Each(rows, lambda k: np.concatenate([features[k], slots]))
+    values = Each(rows, lambda k: np.concatenate([np.ones(len(features[k])), extra[k]]))
     model = Ftrl(size + extra.shape[1], alpha=0.5, l1=8.0, l2=0.0)
     dense, bias = model.fit(index, values, y[rows], epochs, weights=np.where(y[rows] == 1, POSITIVE, 1.0)).finished()
     return dense[:size], dense[size:].astype(np.float64), bias
@@ -106,14 +94,13 @@ def _fits(number: int, k: int, bits: int, epochs: int):
     """One partition holds the sample for one fit, with the earlier categories' probabilities in the column earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [pa.Table.from_batches([b]) for b in batches]
+        found = list(batches)  # in the order of ids
         if not found:
             return
-        table = pa.concat_tables(found).sort_by("doc_id")
-        f = table.column("fit")[0].as_py()
-        ids, features = table.column("doc_id").to_numpy(), [np.asarray(x.values) for x in table.column("features")]
-        extra = np.array(table.column("earlier").to_pylist(), np.float64).reshape(len(ids), number)
-        toxic, low = table.column("label").to_numpy() == 1, table.column("low_quality").to_numpy() == 1
+        column = lambda c: np.concatenate([b.column(b.schema.get_field_index(c)).to_numpy() for b in found])
+        f, ids, features = int(column("fit")[0]), column("doc_id"), list_rows(found, "features")
+        extra = np.array([e for b in found for e in b.column(b.schema.get_field_index("earlier")).to_pylist()], np.float64).reshape(len(ids), number)
+        toxic, low = column("label") == 1, column("low_quality") == 1
         y = {"low_quality": low, "toxic": toxic, "toxic_low_quality": low & toxic}[CATEGORIES[number]].astype(np.float64)
         fold = folds(ids, k)
         dense, more, bias = model = _fit(features, extra, y, np.flatnonzero(fold != f), bits, epochs)
@@ -126,6 +113,8 @@ def _fits(number: int, k: int, bits: int, epochs: int):
             row = {"fold": [f] * len(own), "doc_id": ids[own], "p": _predict(model, [features[i] for i in own], extra[own]), "at": none, "weights": none, "more": none, "bias": none}
         kinds = [pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), kinds, strict=True)], list(row))
+        del found, features
+        tidy()
 
     return run
 
@@ -141,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SA
     for number in range(len(CATEGORIES)):
         last = number + 1 == len(CATEGORIES)
         dealt = rows.withColumn("fit", F.explode(F.array(*map(F.lit, [-1] if last else range(-1, k)))))
-        found = dealt.repartitionById(k + 1, F.col("fit") + 1).mapInArrow(_fits(number, k, bits, epochs), FITTED)
+        found = dealt.repartitionById(k + 1, F.col("fit") + 1).sortWithinPartitions("doc_id").mapInArrow(_fits(number, k, bits, epochs), FITTED)
         found = written(found, "fits")
         model, dense = found.filter("fold < 0").first(), np.zeros(1 << bits, np.float32)
         if model is None:  # nothing to learn from
@@ -186,6 +175,7 @@ def score(docs: DataFrame, chain: Chain, bits: int = BITS) -> DataFrame:
         for batch in batches:
             done = scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in done.T.copy())], ["doc_id", *CATEGORIES])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in CATEGORIES))
 

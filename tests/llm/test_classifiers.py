@@ -115,7 +115,7 @@ def test_one_id_is_one_example(spark, documents, labels):
     chosen = quality.sampled_labels(labels, "quality", "min", 100)
     first = chosen.first().doc_id
     docs = documents.unionByName(documents.filter(F.col("doc_id") == first).withColumn("text", F.explode(F.sequence(F.lit(1), F.lit(3000)).cast("array<string>"))))
-    schema = "doc_id long, label int, features array<int>, values array<double>"
+    schema = "doc_id long, label int, features array<int>, counts array<int>"
     rows = quality.bounded_sample(docs, chosen, quality._featured(20), schema, 1 << 30).collect()
     assert len(rows) == len({r.doc_id for r in rows}) == chosen.count()
     few = quality.bounded_sample(docs, chosen, quality._featured(20), schema, 20_000).collect()
