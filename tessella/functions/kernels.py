@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .columns import breakpoints
 
@@ -18,6 +19,16 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None, kind: t
     return flat.reshape(n, -1) if n else np.zeros((0, width or 0), kind)
 
 
+def usable(table: pa.Table | pa.RecordBatch, width: int) -> tuple[pa.Table | pa.RecordBatch, np.ndarray]:
+    """Rows whose column values is neither null nor holds null or infinite values, and these as a matrix; another width is an error."""
+    table = table.filter(table.column("values").is_valid())
+    if pc.any(pc.not_equal(pc.list_value_length(table.column("values")), width)).as_py():
+        raise ValueError(f"every series must have {width} values")
+    values = matrix(table.column("values"), width)
+    whole = np.isfinite(values).all(axis=1)
+    return (table, values) if whole.all() else (table.filter(pa.array(whole)), values[whole])
+
+
 def lists(rows: np.ndarray) -> pa.Array:
     n, width = rows.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(rows).ravel()))

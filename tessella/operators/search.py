@@ -1,10 +1,14 @@
 """Approximate and exact nearest neighbours, in bulk.
 
-A seed comes from the leaf that a query falls in. Then queries and series meet in tiles of bounded size, grouped
-by leaf; in a tile whole leaves go by their lower bound, records by theirs, and only what is left gets its distance.
-Bounds compare with <=, so that ties stay and the smallest id wins. Tiles return k rows a query.
-
-Hot leaves are cut into chunks by a hash of the id, queries go in blocks, so no task grows with a leaf.
+Queries meet the index's blocks that they visit, and nothing else is read. A seed distance comes from the leaf that a
+query falls in. Then leaves' bounds are compared with it, in tiles of queries and leaves that return a query and a
+block only where a leaf of the block isn't ruled out. The folders that are visited at all are read, and of them the
+blocks that are visited go to their queries, in groups of at most BLOCK_SERIES series and BLOCK_QUERIES queries; each
+returns k rows a query. An index of a few blocks is visited whole, without a seed.
+
+In a group leaves go by their bound; the rest is compared by a product of matrices, which is off by a known rounding
+error, and what may be among the best k within it gets its distance by differences. Bounds compare with <=, so that ties
+stay and the smallest id wins. Queries that are null or hold undefined values have no answers.
 """
 
 from __future__ import annotations
@@ -20,9 +24,9 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..plans.config import IndexConfig
 from ..plans.storage import written
-from .index import Index, leaf_of, summarise
+from .index import BLOCK_SERIES, Index, leaf_of, summarise
 
-BLOCK_SERIES, BLOCK_QUERIES = 4096, 512
+BLOCK_QUERIES = 2048
 FOUND = "query_id long, series_id long, d2 double"
 
 
@@ -49,48 +53,79 @@ def _best(q: np.ndarray, s: np.ndarray, d: np.ndarray, k: int) -> pa.Table:
     return pa.table({"query_id": q[keep].astype(np.int64), "series_id": s[keep].astype(np.int64), "d2": d[keep].astype(np.float64)})
 
 
-def _candidates(config: IndexConfig, series: pa.Table, queries: pa.Table):
-    """Rows of series, rows of queries whose node bounds let them in, which records pass for which, and how many leaves these are.
-
-    Goes by whichever is fewer, leaves or queries: many queries share a leaf's work, many leaves share a query's.
-    """
-    ids, x, sax = series.column("series_id").to_numpy(), kernels.matrix(series.column("values"), config.length), kernels.matrix(series.column("sax"), config.segments, np.int64)
-    kept = kernels.matrix(series.column("kept"), config.segments, np.int64)
-    q_ids, q, means = queries.column("query_id").to_numpy(), kernels.matrix(queries.column("values"), config.length), kernels.matrix(queries.column("paa"), config.segments)
-    bsf = queries.column("bsf").to_numpy(zero_copy_only=False).astype(np.float64)
-    bsf = np.where(np.isnan(bsf), np.inf, bsf)
-    radius = queries.column("radius").to_numpy(zero_copy_only=False).astype(np.float64)
-    limit = np.minimum(bsf, np.where(np.isnan(radius), np.inf, radius))
-    codes, first, leaf = np.unique(series.column("leaf").to_numpy(zero_copy_only=False).astype(str), return_index=True, return_inverse=True)
-    word = sax[first] >> (config.bits - kept[first])
-    slack = lambda b: b * (1 - 1e-9)  # noqa: E731  rounding must not lose a tie
-    node = slack(kernels.bounds(means, *kernels.node_ranges(word, kept[first], config.bits), config.scale))
-    low, high = kernels.edges(config.bits)
-    going = node <= limit[:, None]
-    if len(codes) <= len(q_ids):
-        for n in np.flatnonzero(going.any(axis=0)):
-            inside, rows = np.flatnonzero(going[:, n]), np.flatnonzero(leaf == n)
-            passes = slack(kernels.bounds(means[inside], low[sax[rows]], high[sax[rows]], config.scale)) <= bsf[inside, None]
-            yield rows, inside, passes, 1, ids, x, q_ids, q
-    else:
-        for k in np.flatnonzero(going.any(axis=1)):
-            inside, rows = np.array([k]), np.flatnonzero(going[k, leaf])
-            passes = slack(kernels.bounds(means[inside], low[sax[rows]], high[sax[rows]], config.scale)) <= bsf[k]
-            yield rows, inside, passes, int(going[k].sum()), ids, x, q_ids, q
+class _Group:
+    """Series of a block and queries that visit it, as arrays."""
+
+    def __init__(self, config: IndexConfig, series: pa.Table, queries: pa.Table):
+        self.config = config
+        self.ids, self.x = series.column("series_id").to_numpy(), kernels.matrix(series.column("values"), config.length)
+        self.sax, self.kept = (kernels.matrix(series.column(c), config.segments, np.int64) for c in ("sax", "kept"))
+        self.codes, self.first, self.leaf = np.unique(series.column("leaf").to_numpy(zero_copy_only=False).astype(str), return_index=True, return_inverse=True)
+        self.q_ids, self.q, self.means = queries.column("query_id").to_numpy(), kernels.matrix(queries.column("values"), config.length), kernels.matrix(queries.column("paa"), config.segments)
+        self.head = series.column("head").to_numpy(zero_copy_only=False)[self.first]
+        bsf = queries.column("bsf").to_numpy(zero_copy_only=False).astype(np.float64)
+        self.bsf = np.where(np.isnan(bsf), np.inf, bsf)
+        radius = queries.column("radius").to_numpy(zero_copy_only=False).astype(np.float64)
+        self.limit = np.minimum(self.bsf, np.where(np.isnan(radius), np.inf, radius))
+
+    def going(self) -> np.ndarray:
+        """Which queries visit which leaves."""
+        word, kept = self.sax[self.first] >> (self.config.bits - self.kept[self.first]), self.kept[self.first]
+        return _slack(kernels.bounds(self.means, *kernels.node_ranges(word, kept, self.config.bits), self.config.scale)) <= self.limit[:, None]
+
+    def passes(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """Rows of series, rows of queries that visit their leaves, which records' bounds pass for which, how many leaves these are (a leaf of several blocks counts in its first).
+
+        Goes by whichever is fewer, leaves or queries: many queries share a leaf's work, many leaves share a query's.
+        """
+        going, (low, high) = self.going(), kernels.edges(self.config.bits)
+        record = lambda inside, rows: _slack(kernels.bounds(self.means[inside], low[self.sax[rows]], high[self.sax[rows]], self.config.scale)) <= self.bsf[inside, None]
+        if len(self.codes) <= len(self.q_ids):
+            for n in np.flatnonzero(going.any(axis=0)):
+                inside, rows = np.flatnonzero(going[:, n]), np.flatnonzero(self.leaf == n)
+                yield rows, inside, record(inside, rows), int(self.head[n])
+        else:
+            for k in np.flatnonzero(going.any(axis=1)):
+                inside, rows = np.array([k]), np.flatnonzero(going[k, self.leaf])
+                yield rows, inside, record(inside, rows), int((going[k] & self.head).sum())
+
+
+def _slack(bounds: np.ndarray) -> np.ndarray:
+    """Rounding must not lose a tie."""
+    return bounds * (1 - 1e-9)
+
+
+def _nearest(q: np.ndarray, x: np.ndarray, k: int, cut: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i, j and distances of the pairs that may be among the k nearest of q[i] and reach cut[i]; allowed: pairs that count."""
+    x_norm, found = np.einsum("nl,nl->n", x, x), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if not len(x):
+        return found[0]
+    for at in range(0, len(q), 256):
+        some = slice(at, at + 256)
+        q_norm = np.einsum("nl,nl->n", q[some], q[some])
+        near = q_norm[:, None] + x_norm - 2 * (q[some] @ x.T)
+        slack = (8 * (q.shape[1] + 4) * np.finfo(np.float64).eps * (q_norm + x_norm.max()))[:, None]
+        if allowed is not None:
+            near[~allowed[some]] = np.inf
+        reach = np.minimum(np.partition(near, k - 1, axis=1)[:, [k - 1]] if near.shape[1] > k else np.inf, cut[some, None])
+        i, j = np.nonzero((near <= reach + 2 * slack) & (near < np.inf))
+        d = np.concatenate([np.zeros(0), *(kernels.paired_distances(q[at + i[s : s + 8192]], x[j[s : s + 8192]]) for s in range(0, len(i), 8192))])
+        found.append((i + at, j, d))
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
 
 
 def _refine(config: IndexConfig, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(series: pa.Table, queries: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if series.num_rows and queries.num_rows:
-            for rows, inside, passes, _, ids, x, q_ids, q in _candidates(config, series, queries):
-                i, j = np.nonzero(passes)
-                if len(i) * 2 > passes.size:
-                    d = kernels.distances(q[inside], x[rows])[i, j]
-                else:
-                    d = np.concatenate([np.zeros(0), *(kernels.paired_distances(q[inside[i[s : s + 8192]]], x[rows[j[s : s + 8192]]]) for s in range(0, len(i), 8192))])
-                found.append((q_ids[inside[i]], ids[rows[j]], d))
-        return _best(*(np.concatenate(f) for f in zip(*found, strict=True)), k)
+        if not series.num_rows or not queries.num_rows:
+            return _best(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), k)
+        group = _Group(config, series, queries)
+        x, ids, going = group.x, group.ids, None
+        if np.isfinite(group.limit).any():
+            going = group.going()
+            rows = np.flatnonzero(going.any(axis=0)[group.leaf])
+            x, ids, going = x[rows], ids[rows], going[:, group.leaf[rows]]
+        i, j, d = _nearest(group.q, x, k, group.bsf, going)
+        return _best(group.q_ids[i], ids[j], d, k)
 
     return run
 
@@ -100,7 +135,7 @@ def _count(config: IndexConfig) -> Callable[[pa.Table, pa.Table], pa.Table]:
         q_ids = queries.column("query_id").to_numpy() if queries.num_rows else np.zeros(0, np.int64)
         leaves, bounds, real = (np.zeros(len(q_ids), np.int64) for _ in range(3))
         if series.num_rows and queries.num_rows:
-            for rows, inside, passes, n_leaves, *_ in _candidates(config, series, queries):
+            for rows, inside, passes, n_leaves in _Group(config, series, queries).passes():
                 leaves[inside] += n_leaves
                 bounds[inside] += len(rows)
                 real[inside] += passes.sum(axis=1)
@@ -109,35 +144,70 @@ def _count(config: IndexConfig) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def _met(index: Index, asked: DataFrame, run: Callable, schema: str, only: Column | None = None) -> DataFrame:
-    """Tiles of series (whole leaves, or chunks of those that are larger than a block) and blocks of queries."""
-    entries = index.entries.filter(only) if only is not None else index.entries
-    n_series = max(1, -(-entries.count() // BLOCK_SERIES))
-    n_queries = max(1, -(-asked.count() // BLOCK_QUERIES))
-    sizes = index.leaves.select("leaf", F.ceil(F.col("n") / F.lit(BLOCK_SERIES)).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("series_id"), F.col("chunks"))
-    series = entries.join(sizes, "leaf").withColumn("sb", F.pmod(F.xxhash64("leaf", chunk), F.lit(n_series)).cast("int"))
-    series = series.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).select("sb", "qb", "series_id", "values", "sax", "leaf", "kept")
-    queries = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int")).withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(n_series - 1))))
-    queries = queries.select(F.col("sb").alias("q_sb"), F.col("qb").alias("q_qb"), "query_id", F.col("values").alias("values"), F.col("paa").alias("paa"), "bsf", "radius")
-    return series.groupBy("sb", "qb").cogroup(queries.groupBy("q_sb", "q_qb")).applyInArrow(run, schema)
+def _visits(index: Index, asked: DataFrame, only: Column | None) -> DataFrame:
+    """query_id, block, part: blocks with a leaf whose bound is within a query's limit."""
+    config = index.config
+    spans = index.spans.filter(only) if only is not None else index.spans
+    limit = F.least(F.coalesce("bsf", F.lit(float("inf"))), F.coalesce("radius", F.lit(float("inf"))))
+    mine = asked.select("query_id", "paa", limit.alias("limit"))
+    n, m = (max(1, -(-f.count() // size)) for f, size in ((spans, 2 * BLOCK_SERIES), (mine, BLOCK_QUERIES)))
+    leaves = spans.select(F.pmod(F.xxhash64("block"), F.lit(n)).cast("int").alias("l_tile"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("qb"), "block", "part", "word", "kept")
+    mine = mine.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q_tile"), F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("q_qb"), "query_id", "paa", "limit")
+
+    def run(some: pa.Table, queries: pa.Table) -> pa.Table:
+        if not some.num_rows or not queries.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "block": pa.array([], pa.string()), "part": pa.array([], pa.int32())})
+        word, kept = (kernels.matrix(some.column(c), config.segments, np.int64) for c in ("word", "kept"))
+        lb = _slack(kernels.bounds(kernels.matrix(queries.column("paa"), config.segments), *kernels.node_ranges(word, kept, config.bits), config.scale))
+        blocks, of = np.unique(some.column("block").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        least = np.minimum.reduceat(lb[:, order], np.searchsorted(of[order], np.arange(len(blocks))), axis=1)
+        i, j = np.nonzero(least <= queries.column("limit").to_numpy()[:, None])
+        parts = np.zeros(len(blocks), np.int32)
+        parts[of] = some.column("part").to_numpy()
+        return pa.table({"query_id": queries.column("query_id").to_numpy()[i], "block": pa.array(blocks[j], pa.string()), "part": pa.array(parts[j])})
+
+    return leaves.groupBy("l_tile", "qb").cogroup(mine.groupBy("q_tile", "q_qb")).applyInArrow(run, "query_id long, block string, part int")
+
+
+def _met(index: Index, asked: DataFrame, n_asked: int, visits: DataFrame | None, run: Callable, schema: str, columns: list[str], only: Column | None = None) -> DataFrame:
+    """Blocks and the queries (asked, by query_id) that visit them, a group of queries at a time. visits None: all blocks of a few."""
+    entries, n_queries = index.entries, max(1, -(-n_asked // BLOCK_QUERIES))
+    qb = F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int")
+    if visits is None:
+        series = entries.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+        queries = asked.withColumns({"qb": qb, "block": F.explode(F.array(*map(F.lit, index.few or ("",))))})
+    else:
+        visits = written(visits.withColumn("qb", qb), "visits")
+        parts = [r.part for r in visits.select("part").distinct().collect()]  # PARTS at most
+        series = entries.filter(F.col("part").isin(parts)).join(visits.select("part", "block", "qb").distinct(), ["part", "block"])
+        queries = asked.join(visits.drop("part"), "query_id")
+    series = (series.filter(only) if only is not None else series).select("block", "qb", "series_id", "values", "sax", "leaf", "kept", "head")
+    queries = queries.select(F.col("block").alias("q_block"), F.col("qb").alias("q_qb"), *columns)
+    return series.groupBy("block", "qb").cogroup(queries.groupBy("q_block", "q_qb")).applyInArrow(run, schema)
+
+
+ASKED = ["query_id", "values", "paa", "bsf", "radius"]
 
 
 def approximate(queries: DataFrame, index: Index, k: int = 1) -> DataFrame:
     """The best k of the query's own leaf: query_id, rank, series_id, d2; no row where the leaf is empty. queries: prepared()."""
-    chunks = F.ceil(F.col("leaf_n") / F.lit(BLOCK_SERIES)).cast("int")
-    asked = queries.filter("leaf is not null").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    asked = asked.select(F.col("leaf").alias("q_leaf"), F.col("chunk").alias("q_chunk"), "query_id", F.col("values").alias("values"))
-    sizes = index.leaves.select("leaf", F.ceil(F.col("n") / F.lit(BLOCK_SERIES)).cast("int").alias("chunks"))
-    series = index.entries.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("series_id"), F.col("chunks")).cast("int").alias("chunk"), "series_id", "values")
+    asked = written(queries.filter("leaf is not null").select("query_id", "leaf", F.col("values").alias("values")), "asked")
+    visits = None if index.few else asked.select("query_id", "leaf").join(index.spans.select("leaf", "block", "part"), "leaf").select("query_id", "block", "part").distinct()
     length = index.config.length
 
     def run(some: pa.Table, mine: pa.Table) -> pa.Table:
-        d = kernels.distances(kernels.matrix(mine.column("values"), length), kernels.matrix(some.column("values"), length)) if some.num_rows and mine.num_rows else np.zeros((mine.num_rows, some.num_rows))
-        i, j = np.nonzero(np.ones(d.shape, bool))
-        return _best(mine.column("query_id").to_numpy()[i] if len(i) else np.zeros(0, np.int64), some.column("series_id").to_numpy()[j] if len(j) else np.zeros(0, np.int64), d[i, j], k)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if some.num_rows and mine.num_rows:
+            x, ids, q, q_ids = kernels.matrix(some.column("values"), length), some.column("series_id").to_numpy(), kernels.matrix(mine.column("values"), length), mine.column("query_id").to_numpy()
+            leaf, own = (t.column(c).to_numpy(zero_copy_only=False).astype(str) for t, c in ((some, "leaf"), (mine, "leaf")))
+            for name in np.unique(own):
+                rows, asking = np.flatnonzero(leaf == name), np.flatnonzero(own == name)
+                i, j, d = _nearest(q[asking], x[rows], k, np.full(len(asking), np.inf))
+                found.append((q_ids[asking[i]], ids[rows[j]], d))
+        return _best(*(np.concatenate(f) for f in zip(*found, strict=True)), k)
 
-    return _top(series.groupBy("leaf", "chunk").cogroup(asked.groupBy("q_leaf", "q_chunk")).applyInArrow(run, FOUND), k)
+    return _top(_met(index, asked, asked.count(), visits, run, FOUND, ["query_id", "leaf", "values"]), k)
 
 
 def seeded(queries: DataFrame, index: Index, k: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -153,14 +223,20 @@ def exact(queries: DataFrame, index: Index, k: int = 1, radius: float | None = N
     bsf: distances known before (query_id, bsf) instead of a seed of our own; rows over them (but for rounding) are not returned.
     only: a filter of the index's entries (a batch, a range of roots). radius bounds leaves but not the seed.
     """
-    asked = written(prepared(queries, index), "asked")
-    if bsf is None:
-        asked, seeds = seeded(asked, index, k)
-        found = seeds.select("query_id", "series_id", "d2") if only is None else None
+    n_asked = queries.count()
+    if index.few and bsf is None and radius is None:
+        asked = summarise(queries, index.config, "query_id").withColumn("bsf", F.lit(None).cast("double"))
+        found = None
     else:
-        asked, found = asked.join(bsf, "query_id", "left"), None
+        asked = written(prepared(queries, index), "asked")
+        if bsf is None:
+            asked, seeds = seeded(asked, index, k)
+            found = seeds.select("query_id", "series_id", "d2") if only is None else None
+        else:
+            asked, found = asked.join(bsf, "query_id", "left"), None
     asked = asked.withColumn("radius", F.lit(radius).cast("double"))
-    refined = _met(index, asked, _refine(index.config, k), FOUND, only)
+    visits = None if index.few else _visits(index, asked, only)
+    refined = _met(index, asked, n_asked, visits, _refine(index.config, k), FOUND, ASKED, only)
     if bsf is not None:
         refined = refined.join(bsf, "query_id", "left").filter("bsf is null or d2 <= bsf * (1 + 1e-9)").select("query_id", "series_id", "d2")
     return _top(refined.unionByName(found).distinct() if found is not None else refined, k)
@@ -170,9 +246,9 @@ def counts(queries: DataFrame, index: Index) -> DataFrame:
     """Of each query: bsf, leaves not pruned, record bounds computed, distances computed."""
     asked, _ = seeded(written(prepared(queries, index), "asked"), index, 1)
     asked = written(asked.withColumn("radius", F.lit(None).cast("double")), "asked")
-    each = _met(index, asked, _count(index.config), "query_id long, leaves long, bounds long, real long")
+    each = _met(index, asked, asked.count(), None if index.few else _visits(index, asked, None), _count(index.config), "query_id long, leaves long, bounds long, real long", ASKED)
     each = each.groupBy("query_id").agg(*(F.sum(c).alias(c) for c in ("leaves", "bounds", "real")))
-    return asked.select("query_id", "bsf").join(each, "query_id")
+    return asked.select("query_id", "bsf").join(each, "query_id", "left").na.fill(0, ["leaves", "bounds", "real"])
 
 
 def serial(queries: DataFrame, series: DataFrame, config: IndexConfig, k: int = 1) -> DataFrame:
@@ -184,10 +260,11 @@ def serial(queries: DataFrame, series: DataFrame, config: IndexConfig, k: int =
     asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int").alias("q_qb"), F.explode(F.sequence(F.lit(0), F.lit(n_series - 1))).alias("q_block"), "query_id", F.col("values").alias("values"))
 
     def run(some: pa.Table, mine: pa.Table) -> pa.Table:
-        d = kernels.distances(kernels.matrix(mine.column("values"), config.length), kernels.matrix(some.column("values"), config.length)) if some.num_rows and mine.num_rows else np.zeros((0, 0))
-        reach = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, [min(k, d.shape[1]) - 1]] if d.size else d
-        i, j = np.nonzero(d <= reach) if d.size else (np.zeros(0, int), np.zeros(0, int))
-        return _best(mine.column("query_id").to_numpy()[i] if len(i) else np.zeros(0, np.int64), some.column("series_id").to_numpy()[j] if len(j) else np.zeros(0, np.int64), d[i, j], k)
+        if not some.num_rows or not mine.num_rows:
+            return _best(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), k)
+        (mine, q), (some, x) = (kernels.usable(t, config.length) for t in (mine, some))
+        i, j, d = _nearest(q, x, k, np.full(len(q), np.inf))
+        return _best(mine.column("query_id").to_numpy()[i], some.column("series_id").to_numpy()[j], d, k)
 
     return _top(rows.groupBy("block", "qb").cogroup(asked.groupBy("q_block", "q_qb")).applyInArrow(run, FOUND), k)
 
@@ -199,8 +276,11 @@ def classify(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     return votes.withColumn("r", F.row_number().over(order)).filter("r = 1").select("query_id", "label", "votes")
 
 
-def leaf_bounds(queries: DataFrame, index: Index) -> DataFrame:
-    """query_id, leaf, lb for every prepared query and leaf, in tiles; what pruning and ordered visits look at."""
+def leaf_bounds(queries: DataFrame, index: Index, most: int | None = None) -> DataFrame:
+    """query_id, leaf, lb for every prepared query and leaf, in tiles; what pruning and ordered visits look at.
+
+    most: of each tile only so many of a query's smallest, and their ties.
+    """
     config = index.config
     n = max(1, -(-index.leaves.count() // BLOCK_SERIES))
     m = max(1, -(-queries.count() // BLOCK_QUERIES))
@@ -213,7 +293,11 @@ def leaf_bounds(queries: DataFrame, index: Index) -> DataFrame:
         word, kept = (kernels.matrix(some.column(c), config.segments, np.int64) for c in ("word", "kept"))
         lb = kernels.bounds(kernels.matrix(mine.column("paa"), config.segments), *kernels.node_ranges(word, kept, config.bits), config.scale)
         names = some.column("leaf").to_numpy(zero_copy_only=False)
-        return pa.table({"query_id": np.repeat(mine.column("query_id").to_numpy(), len(names)), "leaf": pa.array(np.tile(names, len(lb)), pa.string()), "lb": lb.ravel()})
+        q_ids = mine.column("query_id").to_numpy()
+        if most is None or len(names) <= most:
+            return pa.table({"query_id": np.repeat(q_ids, len(names)), "leaf": pa.array(np.tile(names, len(lb)), pa.string()), "lb": lb.ravel()})
+        i, j = np.nonzero(lb <= np.partition(lb, most - 1, axis=1)[:, [most - 1]])
+        return pa.table({"query_id": q_ids[i], "leaf": pa.array(names[j], pa.string()), "lb": lb[i, j]})
 
     return leaves.groupBy("lb_block", "qb").cogroup(asked.groupBy("q_block", "q_qb")).applyInArrow(run, "query_id long, leaf string, lb double")
 
@@ -222,10 +306,9 @@ def limited(queries: DataFrame, index: Index, limit: int, k: int = 1) -> DataFra
     """Best first with a limit: the seed's leaf and the limit leaves with the smallest bounds. Not exact by intent."""
     asked = written(prepared(queries, index), "asked")
     order = Window.partitionBy("query_id").orderBy("lb", "leaf")
-    visited = leaf_bounds(asked, index).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit).select("query_id", "leaf")
+    visited = leaf_bounds(asked, index, limit).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit).select("query_id", "leaf")
     visited = visited.unionByName(asked.filter("leaf is not null").select("query_id", "leaf")).distinct()
-    sizes = index.leaves.select("leaf", F.col("n").alias("leaf_n"))
-    return approximate(asked.select("query_id", "values").join(visited.join(sizes, "leaf"), "query_id"), index, k)
+    return approximate(asked.select("query_id", "values").join(visited, "query_id"), index, k)
 
 
 def per_root(queries: DataFrame, index: Index) -> DataFrame:

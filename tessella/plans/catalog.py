@@ -16,7 +16,7 @@ from ..functions import columns as C
 from ..operators import experiments, generate, index, partition, predict, report, schedule, search
 from ..sources import binary, text
 from .config import IndexConfig
-from .storage import new_path, written
+from .storage import new_path, stamps, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,10 +61,16 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return series, queries_of(series)
 
 
-def built(spark: SparkSession, sf_dir: str, split: bool | None) -> tuple[index.Index, DataFrame, DataFrame]:
-    """An index of one leaf a root (False), of SPLIT leaves (True), or as it is used (None)."""
+_stored: dict[tuple, str] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, split: bool | None, anew: bool = False) -> tuple[index.Index, DataFrame, DataFrame]:
+    """An index of one leaf a root (False), of SPLIT leaves (True), or as it is used (None); stored, and opened again for the same files."""
     series, asked = both(spark, sf_dir)
-    return index.build(series, SPLIT if split else CONFIG, split is not False), series, asked
+    key = (spark.sparkContext.applicationId, split, stamps(spark, f"{sf_dir}/embeddings.parquet"))
+    if anew or key not in _stored or not stamps(spark, _stored[key]):
+        _stored[key] = index.build(series, SPLIT if split else CONFIG, split is not False).path
+    return index.load(spark, _stored[key]), series, asked
 
 
 def _norm(inner: str) -> str:
@@ -586,8 +592,8 @@ def i1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("i2_tree_leaves")
 def i2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves of the split tree: their words, and how many series each holds."""
-    tree, _, _ = built(spark, sf_dir, True)
+    """Leaves of the split tree, built anew: their words, and how many series each holds."""
+    tree, _, _ = built(spark, sf_dir, True, anew=True)
     return tree.leaves.select("leaf", "root", F.array_join(F.col("word").cast("array<string>"), " ").alias("word"), F.array_join(F.col("kept").cast("array<string>"), " ").alias("kept"), "n")
 
 

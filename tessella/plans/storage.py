@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set (tests)."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = at.get() if at.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
         named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return named.rstrip("/")
@@ -33,6 +35,29 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def stamps(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a file, or of the files of a folder: they change when it does. Empty if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))) if fs.exists(at) else ()
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the driver's, through the same file system as the tables."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
+
+
 def remove(df: DataFrame) -> None:
     """Deletes a table made by written() that no later plan reads."""
     if path := getattr(df, "table_path", None):

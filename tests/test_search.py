@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +36,56 @@ def test_index_is_exact(spark, walks, asked, segments, leaf, k):
     assert counts[0] < counts[1] <= 600 * 40
 
 
+@pytest.mark.parametrize(("pack_bytes", "split"), [(1 << 26, True), (32 * 48 * 8, True), (32 * 48 * 8, False)])
+def test_visits_of_many_blocks(spark, walks, asked, tmp_path, pack_bytes, split):
+    """Small blocks and packs: roots that a task can't hold, folders, seeds and visited blocks."""
+    config = IndexConfig(32, 4, 8, 9)
+    index.build(walks, config, split, to=f"{tmp_path}/index", pack_bytes=pack_bytes, block=32)
+    tree = index.load(spark, f"{tmp_path}/index")
+    assert tree.config == config and tree.n_series == 600 and not tree.few
+    sizes = tree.entries.groupBy("block").count()
+    assert sizes.agg(F.max("count")).first()[0] <= (32 if split else 64) and tree.entries.select("series_id").distinct().count() == 600
+    assert tree.spans.agg(F.sum("n")).first()[0] == tree.leaves.agg(F.sum("n")).first()[0] == 600
+    for k in (1, 4):
+        assert rows(search.exact(asked, tree, k)) == rows(search.serial(asked, walks, config, k))
+    one = index.build(walks, config, split)
+    for f in (search.approximate, lambda q, t: search.exact(q.select("query_id", "values"), t, 1, radius=0.5), lambda q, t: search.limited(q.select("query_id", "values"), t, 2)):
+        assert rows(f(search.prepared(asked, tree), tree)) == rows(f(search.prepared(asked, one), one))
+    a, b = (sorted(map(tuple, search.counts(asked, t).collect())) for t in (tree, one))
+    assert a == b
+    assert sorted(map(tuple, tree.splits.collect())) == sorted(map(tuple, one.splits.collect())) or not split
+
+
+def test_only_visited_folders_are_read(spark):
+    """Two far groups of series; queries near one of them."""
+    rng = np.random.default_rng(0)
+    x = np.repeat([[1.0] * 8 + [-1.0] * 8, [-1.0] * 8 + [1.0] * 8], 400, axis=0) + rng.normal(0, 0.01, (800, 16))
+    series = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "series_id long, values array<double>")
+    tree = index.build(series, IndexConfig(16, 4, 8, 20), pack_bytes=1 << 14, block=50)
+    some = series.filter("series_id < 10").withColumnRenamed("series_id", "query_id")
+    found = search.exact(some, tree)
+    assert {(r.query_id, r.series_id, r.d2) for r in found.collect()} == {(i, i, 0.0) for i in range(10)}
+    folders = {f.split("part=")[1].split("/")[0] for f in tree.entries.inputFiles()}
+    read = re.search(r"PartitionFilters: \[.*?part#\d+ (?:IN|=) \(?([^\])]*)", found._jdf.queryExecution().toString())
+    assert read and len(read[1].split(",")) < len(folders)
+
+
+def test_series_that_are_left_out(spark):
+    """Null, constant (undefined once normalised), infinite and partly null series: neither indexed nor answered, nor does the job fail."""
+    nan, good = float("nan"), [1.0, -1.0, 2.0, -2.0]
+    rows_ = [(0, good), (1, None), (2, [nan] * 4), (3, [1.0, None, 2.0, 0.0]), (4, [float("inf"), 0.0, 0.0, 0.0]), (5, [2.0, -2.0, 1.0, -1.0])]
+    series = spark.createDataFrame(rows_, "series_id long, values array<double>")
+    config = IndexConfig(4, 2, 8, 5)
+    tree = index.build(series, config)
+    assert {r.series_id for r in tree.entries.collect()} == {0, 5} and tree.n_series == 2
+    assert {r.series_id for r in index.rejected(series).collect()} == {1, 2, 3, 4}
+    asked = series.withColumnRenamed("series_id", "query_id")
+    assert rows(search.exact(asked, tree)) == [(0, 1, 0, 0.0), (5, 1, 5, 0.0)]
+    assert rows(search.serial(asked, series, config)) == [(0, 1, 0, 0.0), (5, 1, 5, 0.0)]
+    assert index.build(series.limit(0), config).leaves.isEmpty()
+    assert search.exact(asked, index.build(series.limit(0), config)).isEmpty()
+
+
 def test_tree_invariants(spark, walks):
     config = IndexConfig(32, 4, 8, 9)
     tree = index.build(walks, config)
