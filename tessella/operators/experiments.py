@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import estimate_threshold
 from ..plans.config import IndexConfig
-from . import index, partition, schedule
+from ..plans.storage import written
+from . import index, partition, schedule, search
 
 MODES = ("static", "greedy", "greedy_sorted", "dynamic", "dynamic_sorted")
 
@@ -23,8 +25,8 @@ def _loads(costs: Sequence[float], nodes: Sequence[int], n: int) -> list[float]:
 
 def modes(queries: DataFrame, nodes: Sequence[int]) -> DataFrame:
     """mode, nodes, makespan, total of every scheduling mode, from estimates (query_id, est)."""
-    rows = [(r.query_id, float(r.est)) for r in queries.orderBy("query_id").collect()]  # ids and estimates only
-    given, ordered = [e for _, e in rows], sorted((e for _, e in rows), reverse=True)
+    given = [e for _, e in schedule.folded(queries)]
+    ordered = sorted(given, reverse=True)
     out = []
     for n in nodes:
         size = max(1, len(given) // n)
@@ -41,14 +43,14 @@ def modes(queries: DataFrame, nodes: Sequence[int]) -> DataFrame:
 
 def bursts(queries: DataFrame, nodes: int, sizes: Sequence[int]) -> DataFrame:
     """burst, makespan: how many queries a node gets at first."""
-    costs = [float(r.est) for r in queries.orderBy("query_id").collect()]
+    costs = [e for _, e in schedule.folded(queries)]
     out = [(b, max((end for _, _, end in schedule.dynamic(costs, nodes, b)), default=0.0)) for b in sizes]
     return queries.sparkSession.createDataFrame(out, "burst int, makespan double")
 
 
 def steals(queries: DataFrame, nodes: int, given: Sequence[int]) -> DataFrame:
     """given, moved: batches that end up on another node, by how many are given away at once; all begin on node 0."""
-    costs = [(0, k, float(r.est)) for k, r in enumerate(queries.orderBy("query_id").collect())]
+    costs = [(0, k, e) for k, (_, e) in enumerate(schedule.folded(queries))]
     out = [(g, sum(node != 0 for _, node in schedule.stealing(costs, nodes, g))) for g in given]
     return queries.sparkSession.createDataFrame(out, "given int, moved int")
 
@@ -69,11 +71,31 @@ def group_sweep(entries: DataFrame, groups: Sequence[int]) -> DataFrame:
     return out
 
 
+def bsf_policies(tree: index.Index, queries: DataFrame, nodes: Sequence[int], runs: int = 1) -> DataFrame:
+    """nodes, policy, run, real: distances computed by nodes that each hold every so-manieth root, with the seed of each node's
+    own leaf alone (own) or of whichever node has the query's leaf (shared)."""
+    asked = written(search.prepared(queries, tree), "asked")
+    seeded, _ = search.seeded(asked, tree, 1)
+    seeded, out = written(seeded, "seeded"), None
+    for n in nodes:
+        for policy in ("own", "shared"):
+            for node in range(n):
+                mine = F.pmod("root", F.lit(n)) == node
+                bsf = seeded if policy == "shared" else seeded.withColumn("bsf", F.when(mine, F.col("bsf")))
+                each = search.counts_given(bsf, tree, mine).agg(F.sum("real").alias("real"))
+                out_ = each.select(F.lit(n).alias("nodes"), F.lit(policy).alias("policy"), F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"), "real")
+                out = out_ if out is None else out.unionByName(out_)
+    return out.groupBy("nodes", "policy", "run").agg(F.sum("real").alias("real"))
+
+
 def index_scaling(series: DataFrame, config: IndexConfig, quarters: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
-    """quarters, n_series, n_leaves of indexes over the first quarters of the ids."""
+    """quarters, n_series, n_in_leaves, n_leaves and build_sec of indexes over the first quarters of the ids."""
     total, out = series.agg(F.max("series_id") + 1).first()[0] or 0, None
     for q in quarters:
         part = series.filter(F.col("series_id") < total * q / 4)
-        each = index.validity(index.build(part, config), part).select(F.lit(q).alias("quarters"), "n_series", "n_in_leaves", "n_leaves")
+        began = time.perf_counter()
+        tree = index.build(part, config)
+        took = time.perf_counter() - began
+        each = index.validity(tree, part).select(F.lit(q).alias("quarters"), "n_series", "n_in_leaves", "n_leaves", F.lit(took).alias("build_sec"))
         out = each if out is None else out.unionByName(each)
     return out

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import gaussian_noise, kernels, z_normalize
+from ..functions import kernels, z_normalize
+from ..plans.storage import numbered
 
 GIB = 1 << 30
 
@@ -37,26 +38,34 @@ def size_for(gigabytes: float, length: int) -> int:
     return int(gigabytes * GIB // (4 * length))
 
 
+def drawn(seed: int, key: Column) -> Column:
+    """A whole number from 0 to 2^32 - 1 of a seed and a key, by a digest that other engines have too."""
+    return F.conv(F.substring(_digest(seed, key), 1, 8), 16, 10).cast("long")
+
+
+def _digest(seed: int, key: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def random_int(seed: int, below: int, key: Column) -> Column:
+    return F.pmod(drawn(seed, key), F.lit(below))
+
+
 def labels(series: DataFrame, classes: int, seed: int = 1) -> DataFrame:
     """series_id, label: uniform over 0 .. classes - 2."""
-    return series.select("series_id", F.pmod(F.xxhash64(F.lit(seed), "series_id"), F.lit(max(1, classes - 1))).alias("label"))
+    return series.select("series_id", random_int(seed, max(1, classes - 1), F.col("series_id")).alias("label"))
 
 
-def noisy_queries(series: DataFrame, n: int, noise: float, seed: int = 1) -> DataFrame:
-    """n series in a seeded order, each value with normal noise of a variance, z-normalised: query_id, series_id, values."""
-    picked = series.orderBy(F.xxhash64(F.lit(seed), "series_id"), "series_id").limit(n)
-    picked = picked.select(F.monotonically_increasing_id().alias("m"), "series_id", "values")
-    numbered = picked.select("series_id", F.posexplode("values").alias("place", "x"))
-    noisy = numbered.withColumn("x", F.col("x") + gaussian_noise_of(noise, seed, F.col("series_id"), F.col("place")))
-    together = noisy.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("values"))
-    ordered = together.orderBy(F.xxhash64(F.lit(seed), "series_id"), "series_id")
-    return ordered.select((F.row_number().over(_by(seed)) - 1).cast("long").alias("query_id"), "series_id", z_normalize(F.col("values")).alias("values"))
-
+def shuffled(rows: DataFrame, seed: int, key: str = "series_id") -> DataFrame:
+    """Rows in a seeded order: adds place, from 0, each once."""
+    return numbered(rows, _digest(seed, F.col(key)), key)
 
-def _by(seed: int):
-    from pyspark.sql import Window
 
-    return Window.orderBy(F.xxhash64(F.lit(seed), "series_id"), "series_id")
+def noisy_queries(series: DataFrame, n: int, noise: float, seed: int = 1) -> DataFrame:
+    """n series in a seeded order, each value with normal noise of a variance, z-normalised: query_id, series_id, values."""
+    picked = numbered(series.select("series_id", "values"), F.xxhash64(F.lit(seed), "series_id"), "series_id").filter(F.col("place") < n)
+    noisy = F.transform("values", lambda x, i: x + gaussian_noise_of(noise, seed, F.col("series_id"), i))
+    return picked.select(F.col("place").alias("query_id"), "series_id", z_normalize(noisy).alias("values"))
 
 
 def gaussian_noise_of(variance: float, seed: int, *keys: Column) -> Column:
@@ -65,11 +74,6 @@ def gaussian_noise_of(variance: float, seed: int, *keys: Column) -> Column:
     return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * np.pi * uniform(2)) * float(variance) ** 0.5
 
 
-def shuffled(rows: DataFrame, seed: int) -> DataFrame:
-    """Rows with a seeded place."""
-    return rows.withColumn("noise", gaussian_noise(1.0, seed))
-
-
 def sweep(spark: SparkSession, sizes: tuple[float, ...], length: int, scale: float = 1.0) -> dict[float, DataFrame]:
     """A data set per size in GiB, seeded by its size; scale shrinks all of them."""
     return {g: random_walks(spark, max(1, int(size_for(g, length) * scale)), length, seed=int(g)) for g in sizes}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import numbered
+
 
 def query_time_range(times: DataFrame) -> DataFrame:
     """times (query_id, node, sec): least and most over nodes."""
@@ -55,6 +57,11 @@ def symbol_spread(entries: DataFrame, segments: int) -> DataFrame:
 
 def hardest(queries: DataFrame, easy: int, hard: int) -> DataFrame:
     """A benchmark: the easy cheapest and the hard dearest queries by est, each once, cheapest first."""
-    up, down = Window.orderBy("est", "query_id"), Window.orderBy(F.desc("est"), F.desc("query_id"))
-    ranked = queries.withColumn("up", F.row_number().over(up)).withColumn("down", F.row_number().over(down))
-    return ranked.filter((F.col("up") <= easy) | (F.col("down") <= hard)).select(*queries.columns, F.col("up").cast("int").alias("place"))
+    ranked, total = numbered(queries, "est", "query_id", name="place"), queries.count()
+    up = F.col("place") + 1
+    return ranked.filter((up <= easy) | (up > total - hard)).select(*queries.columns, up.cast("int").alias("place"))
+
+
+def by_setting(metrics: DataFrame, settings: list[str], column: str) -> DataFrame:
+    """Comparison of settings (a mode, a threshold, a batch or group size): the most over a run's nodes, then the mean over runs."""
+    return metrics.groupBy(*settings, "run").agg(F.max(column).alias("m")).groupBy(*settings).agg(F.avg("m").alias(column), F.count("*").alias("runs"))

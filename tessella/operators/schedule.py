@@ -1,29 +1,31 @@
 """Which node answers which query, and queues of leaves. Results don't depend on any of it; reports do.
 
 Static, sorted and merge steps are DataFrame operations. Greedy, dynamic and stealing runs are folds over queries in
-order: they run in one place, over estimates only, whose number is the number of queries.
+order: they run in one place, over ids and estimates only, of at most FOLDED queries.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import numbered
+
+FOLDED = 5_000_000
+
 
 def static(queries: DataFrame, nodes: int) -> DataFrame:
     """Equal runs of queries in id order; the last node takes the rest. query_id counts from 0."""
-    size = F.greatest(F.lit(1), F.floor(F.col("total") / nodes))
-    total = queries.agg(F.count("*").alias("total"))
-    place = F.row_number().over(Window.orderBy("query_id")) - 1
-    return queries.select("query_id", place.alias("place")).crossJoin(F.broadcast(total)).select("query_id", F.least(F.floor(F.col("place") / size), F.lit(nodes - 1)).cast("int").alias("node"))
+    placed, total = numbered(queries.select("query_id"), "query_id"), queries.count()
+    return placed.select("query_id", F.least(F.floor(F.col("place") / max(1, total // nodes)), F.lit(nodes - 1)).cast("int").alias("node"))
 
 
 def ordered(queries: DataFrame, by: str) -> DataFrame:
     """Hardest first, ties by id: query_id, place."""
-    return queries.select("query_id", F.row_number().over(Window.orderBy(F.desc(by), "query_id")).cast("int").alias("place"))
+    return numbered(queries.select("query_id", by), F.desc(by), "query_id").select("query_id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def greedy(estimates: Sequence[float], nodes: int) -> list[int]:
@@ -83,21 +85,34 @@ def stealing(batches: Sequence[tuple[int, int, float]], nodes: int, given: int =
     return sorted(out)
 
 
-def _folded(queries: DataFrame, by: str | None) -> list:
-    order = [F.desc(by), "query_id"] if by else ["query_id"]
-    return queries.orderBy(*order).collect()  # ids and estimates of the queries only
+def folded(queries: DataFrame, by: str | None = None) -> list:
+    """Ids and estimates (query_id, est) in id order, or dearest first, on the driver: at most FOLDED queries, about 500 MB."""
+    rows = queries.select("query_id", "est").orderBy(*([F.desc(by), "query_id"] if by else ["query_id"])).limit(FOLDED + 1).toArrow()
+    if rows.num_rows > FOLDED:
+        raise ValueError(f"a fold takes {FOLDED} queries at most; schedule them in sets")
+    return list(zip(rows.column("query_id").to_pylist(), rows.column("est").to_pylist(), strict=True))
 
 
 def greedy_schedule(queries: DataFrame, nodes: int, sort: bool = True) -> DataFrame:
     """queries (query_id, est): query_id, node."""
-    rows = _folded(queries.select("query_id", "est"), "est" if sort else None)
-    return queries.sparkSession.createDataFrame([(r.query_id, n) for r, n in zip(rows, greedy([r.est for r in rows], nodes), strict=True)], "query_id long, node int")
+    rows = folded(queries, "est" if sort else None)
+    return queries.sparkSession.createDataFrame([(q, n) for (q, _), n in zip(rows, greedy([e for _, e in rows], nodes), strict=True)], "query_id long, node int")
 
 
 def dynamic_schedule(queries: DataFrame, nodes: int, burst: int = 1, sort: bool = False) -> DataFrame:
-    rows = _folded(queries.select("query_id", "est"), "est" if sort else None)
-    runs = dynamic([r.est for r in rows], nodes, burst)
-    return queries.sparkSession.createDataFrame([(r.query_id, *x) for r, x in zip(rows, runs, strict=True)], "query_id long, node int, start double, end double")
+    rows = folded(queries, "est" if sort else None)
+    runs = dynamic([e for _, e in rows], nodes, burst)
+    return queries.sparkSession.createDataFrame([(q, *x) for (q, _), x in zip(rows, runs, strict=True)], "query_id long, node int, start double, end double")
+
+
+def answered(queries: DataFrame, placed: DataFrame, nodes: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Each node answers the queries that a schedule (query_id, node) gives it, by any search of queries: query_id, node and the search's columns."""
+    out = None
+    for node in range(nodes):
+        mine = queries.join(placed.filter(F.col("node") == node).select("query_id"), "query_id")
+        part = search(mine).withColumn("node", F.lit(node))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def merged(answers: DataFrame) -> DataFrame:

@@ -217,14 +217,17 @@ def seeded(queries: DataFrame, index: Index, k: int = 1) -> tuple[DataFrame, Dat
     return queries.join(bsf, "query_id", "left"), seeds
 
 
-def exact(queries: DataFrame, index: Index, k: int = 1, radius: float | None = None, bsf: DataFrame | None = None, only: Column | None = None) -> DataFrame:
+def exact(queries: DataFrame, index: Index, k: int = 1, radius: float | None = None, bsf: DataFrame | None = None, only: Column | None = None, seeds_first: bool = False) -> DataFrame:
     """Exact k nearest neighbours of queries (query_id, values): query_id, rank, series_id, d2.
 
+    A query with a seed at distance 0 goes no further if k is 1: series at distance 0 are equal, so in the same leaf.
+    seeds_first: seeds also where the blocks are few.
+
     bsf: distances known before (query_id, bsf) instead of a seed of our own; rows over them (but for rounding) are not returned.
     only: a filter of the index's entries (a batch, a range of roots). radius bounds leaves but not the seed.
     """
     n_asked = queries.count()
-    if index.few and bsf is None and radius is None:
+    if index.few and bsf is None and radius is None and not seeds_first:
         asked = summarise(queries, index.config, "query_id").withColumn("bsf", F.lit(None).cast("double"))
         found = None
     else:
@@ -232,6 +235,8 @@ def exact(queries: DataFrame, index: Index, k: int = 1, radius: float | None = N
         if bsf is None:
             asked, seeds = seeded(asked, index, k)
             found = seeds.select("query_id", "series_id", "d2") if only is None else None
+            if found is not None and k == 1:
+                asked = asked.filter("bsf is null or bsf > 0")
         else:
             asked, found = asked.join(bsf, "query_id", "left"), None
     asked = asked.withColumn("radius", F.lit(radius).cast("double"))
@@ -245,12 +250,52 @@ def exact(queries: DataFrame, index: Index, k: int = 1, radius: float | None = N
 def counts(queries: DataFrame, index: Index) -> DataFrame:
     """Of each query: bsf, leaves not pruned, record bounds computed, distances computed."""
     asked, _ = seeded(written(prepared(queries, index), "asked"), index, 1)
+    return counts_given(asked, index)
+
+
+def counts_given(asked: DataFrame, index: Index, only: Column | None = None) -> DataFrame:
+    """As counts, of prepared queries with their bsf, over the entries that only lets in."""
     asked = written(asked.withColumn("radius", F.lit(None).cast("double")), "asked")
-    each = _met(index, asked, asked.count(), None if index.few else _visits(index, asked, None), _count(index.config), "query_id long, leaves long, bounds long, real long", ASKED)
+    each = _met(index, asked, asked.count(), None if index.few else _visits(index, asked, only), _count(index.config), "query_id long, leaves long, bounds long, real long", ASKED, only)
     each = each.groupBy("query_id").agg(*(F.sum(c).alias(c) for c in ("leaves", "bounds", "real")))
     return asked.select("query_id", "bsf").join(each, "query_id", "left").na.fill(0, ["leaves", "bounds", "real"])
 
 
+def leaf_scan(queries: DataFrame, index: Index) -> DataFrame:
+    """Scan of the own leaf with record bounds: query_id, d2 (smallest distance), bounds and real (distances computed).
+
+    The record of the smallest bound gives a first distance; others are compared only if their bound is within it.
+    """
+    asked = written(queries.filter("leaf is not null").select("query_id", "leaf", F.col("values").alias("values"), "paa"), "asked")
+    visits = None if index.few else asked.select("query_id", "leaf").join(index.spans.select("leaf", "block", "part"), "leaf").select("query_id", "block", "part").distinct()
+    config = index.config
+
+    def run(some: pa.Table, mine: pa.Table) -> pa.Table:
+        out = {"query_id": [], "d2": [], "bounds": [], "real": []}
+        if some.num_rows and mine.num_rows:
+            x, sax, q = kernels.matrix(some.column("values"), config.length), kernels.matrix(some.column("sax"), config.segments, np.int64), kernels.matrix(mine.column("values"), config.length)
+            means, q_ids, (low, high) = kernels.matrix(mine.column("paa"), config.segments), mine.column("query_id").to_numpy(), kernels.edges(config.bits)
+            leaf, own = (t.column("leaf").to_numpy(zero_copy_only=False).astype(str) for t in (some, mine))
+            for name in np.intersect1d(own, leaf):
+                rows, asking = np.flatnonzero(leaf == name), np.flatnonzero(own == name)
+                lb = _slack(kernels.bounds(means[asking], low[sax[rows]], high[sax[rows]], config.scale))
+                first = kernels.paired_distances(q[asking], x[rows[lb.argmin(axis=1)]])
+                passes = lb <= first[:, None]
+                i, j = np.nonzero(passes)
+                best = first.copy()
+                for s in range(0, len(i), 8192):
+                    np.minimum.at(best, i[s : s + 8192], kernels.paired_distances(q[asking[i[s : s + 8192]]], x[rows[j[s : s + 8192]]]))
+                out["query_id"].append(q_ids[asking])
+                out["d2"].append(best)
+                out["bounds"].append(np.full(len(asking), len(rows)))
+                out["real"].append(passes.sum(axis=1))
+        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        return pa.table({c: pa.array(np.concatenate(v) if v else [], t) for (c, v), t in zip(out.items(), kinds, strict=True)})
+
+    each = _met(index, asked, asked.count(), visits, run, "query_id long, d2 double, bounds long, real long", ["query_id", "leaf", "values", "paa"])
+    return each.groupBy("query_id").agg(F.min("d2").alias("d2"), F.sum("bounds").alias("bounds"), F.sum("real").alias("real"))
+
+
 def serial(queries: DataFrame, series: DataFrame, config: IndexConfig, k: int = 1) -> DataFrame:
     """Full scan: every distance. The measure of all other searches."""
     n_series = max(1, -(-series.count() // BLOCK_SERIES))

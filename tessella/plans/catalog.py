@@ -16,7 +16,7 @@ from ..functions import columns as C
 from ..operators import experiments, generate, index, partition, predict, report, schedule, search
 from ..sources import binary, text
 from .config import IndexConfig
-from .storage import new_path, stamps, written
+from .storage import new_path, numbered, stamps, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -402,10 +402,15 @@ def f27(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", C.pair_rank(F.col("o_orderkey")).alias("pair"))
 
 
-@query("f28_shuffle")
+def _drawn(seed: int, key: str) -> str:
+    return f"('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT"
+
+
+@query("f28_shuffle", f"SELECT vec_id AS series_id, row_number() OVER (ORDER BY md5('7:' || vec_id), vec_id) - 1 AS place, {_drawn(8, 'vec_id')} % 100 AS number FROM embeddings")
 def f28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = series_of(spark, sf_dir).select("series_id")
-    return series.select("series_id", F.xxhash64(F.lit(7), "series_id").alias("order_key"))
+    """A seeded order of all series, and a seeded whole number for each."""
+    series = generate.shuffled(series_of(spark, sf_dir).select("series_id"), 7)
+    return series.select("series_id", "place", generate.random_int(8, 100, F.col("series_id")).alias("number"))
 
 
 @query("f29_gaussian_noise")
@@ -431,13 +436,11 @@ def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.counts(asked, one).select("query_id", "real", "bounds", "leaves")
 
 
-@query("p4_zero_distance_exit", "SELECT vec_id AS query_id, 0.0::DOUBLE AS bsf FROM embeddings")
+@query("p4_zero_distance_exit", f"{_SERIES} SELECT q.id AS query_id, 1 AS rank, min(s.id) AS series_id, 0.0::DOUBLE AS d2 FROM s AS q JOIN s ON s.v = q.v GROUP BY 1")
 def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries that are in the collection have their answer at the seed."""
-    one, series, _ = built(spark, sf_dir, False)
-    asked = written(search.prepared(series.withColumnRenamed("series_id", "query_id"), one), "asked")
-    seeded, _ = search.seeded(asked, one, 1)
-    return seeded.filter("bsf = 0").select("query_id", "bsf")
+    """Queries that are in the collection have their answer at the seed, and visit nothing else."""
+    tree, series, _ = built(spark, sf_dir, True)
+    return search.exact(series.withColumnRenamed("series_id", "query_id"), tree, 1, seeds_first=True)
 
 
 @query("p5_radius_search", f"{_BOUNDS}, kept AS (SELECT d.query_id, d.series_id, d.d2 FROM d JOIN lb ON lb.query_id = d.query_id AND lb.r = d.r JOIN bsf ON bsf.query_id = d.query_id WHERE d.r = d.qr OR lb.lb <= least(coalesce(bsf, 'inf'::DOUBLE), 0.05)), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, series_id)::INTEGER AS rank FROM kept) SELECT query_id, rank, series_id, round(d2, 6) AS d2 FROM ranked WHERE rank = 1")
@@ -533,6 +536,12 @@ def r6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(best.join(prepared.select("query_id", F.col("leaf").cast("long").alias("root"), F.col("leaf_n").alias("n")), "query_id")).select("query_id", "root", "n", "d2")
 
 
+@query("r7_leaf_scan_with_bounds", f"{_PAIRS} SELECT query_id, count(*)::BIGINT AS bounds, round(min(d2), 6) AS d2 FROM d WHERE r = qr GROUP BY 1")
+def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, _, asked = built(spark, sf_dir, False)
+    return rounded(search.leaf_scan(search.prepared(asked, one), one).select("query_id", "bounds", "d2"))
+
+
 @query("r9_r10_per_root_answers", f"{_RECORDS}, best AS (SELECT query_id, r, min(d2) AS d2 FROM d GROUP BY ALL), tight AS (SELECT query_id, r, min(lb) AS tight FROM rec GROUP BY ALL) SELECT query_id, r AS root, round(lb.lb, 6) AS lb, round(tight, 6) AS tight, round(d2, 6) AS d2 FROM lb JOIN best USING (query_id, r) JOIN tight USING (query_id, r)")
 def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, _, asked = built(spark, sf_dir, False)
@@ -597,6 +606,21 @@ def i2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.leaves.select("leaf", "root", F.array_join(F.col("word").cast("array<string>"), " ").alias("word"), F.array_join(F.col("kept").cast("array<string>"), " ").alias("kept"), "n")
 
 
+@query("i2_tree_invariants", f"{_S} SELECT r AS root, count(*)::BIGINT AS n_series, 0::BIGINT AS broken FROM ss GROUP BY 1")
+def i2i(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each root its series, and those whose leaf is too full though it could split, or whose word, root or path isn't the leaf's."""
+    tree, _, _ = built(spark, sf_dir, True)
+    rows = tree.entries.select("series_id", "sax", "leaf", F.col("root").alias("own")).join(tree.leaves, "leaf")
+    taken = F.size(F.split("leaf", r"\.")) / 2
+    able = F.exists(F.zip_with("kept", "sax", lambda k, x: k < SPLIT.bits), lambda x: x)
+    told = F.concat(F.col("root").cast("string"), F.lit("."))
+    wrong = (C.isax_word(F.col("sax"), F.col("kept"), SPLIT.bits) != F.col("word")) | (F.col("own") != F.col("root")) | (F.aggregate("kept", F.lit(0), lambda a, k: a + k) != W + F.floor(taken)) | ~((F.col("leaf") == F.col("root").cast("string")) | F.startswith("leaf", told))
+    words = rows.groupBy("leaf").agg(F.count_distinct("sax").alias("words"))
+    rows = rows.join(words, "leaf")
+    full = (F.col("n") > SPLIT.leaf_size) & able & (F.col("words") > 1)
+    return rows.groupBy("root").agg(F.count("*").alias("n_series"), F.count_if(wrong | full).alias("broken"))
+
+
 @query("i8_validity", f"{_S} SELECT count(*)::BIGINT AS n_series, count(*)::BIGINT AS n_in_leaves FROM ss")
 def i8(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree, series, _ = built(spark, sf_dir, True)
@@ -661,9 +685,24 @@ def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.gray_deal(partition.histogram(_entries(spark, sf_dir)), GROUPS)
 
 
-@query("d4_density_aware")
+_SPLIT_ALL = f"SELECT id AS series_id, ((row_number() OVER (PARTITION BY r ORDER BY id) - 1) % {GROUPS})::INTEGER AS group_id FROM ss"
+
+
+@query("d4_density_aware", f"{_S} {_SPLIT_ALL}")
 def d4a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.density_aware(_entries(spark, sf_dir), GROUPS)
+    """The largest 4000 buckets split over all groups: here that is all of them."""
+    return partition.density_aware(_entries(spark, sf_dir), GROUPS, partition.ROUND)
+
+
+@query("d4_density_aware_largest", f"{_GRAY}, big AS (SELECT root FROM dealt ORDER BY n DESC, root LIMIT 8) SELECT series_id, group_id FROM ({_SPLIT_ALL.replace('SELECT id', 'SELECT r, id')}) WHERE r IN (FROM big) UNION ALL SELECT id, group_id FROM ss JOIN dealt ON root = r WHERE r NOT IN (FROM big)")
+def d4l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 8 largest buckets split, the others dealt, at a rate that needs no rebalancing."""
+    return partition.density_aware(_entries(spark, sf_dir), GROUPS, 8, rate=1e9)
+
+
+@query("d4_density_aware_rebalanced")
+def d4r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.density_aware(_entries(spark, sf_dir), GROUPS, 8)
 
 
 @query("d5_split_bucket", f"{_S} SELECT id AS series_id, r AS root, ((row_number() OVER (PARTITION BY r ORDER BY id) - 1) % {GROUPS})::INTEGER AS group_id FROM ss")
@@ -671,11 +710,18 @@ def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.split_bucket(_entries(spark, sf_dir), GROUPS).select("series_id", "root", "group_id")
 
 
-@query("d6_rebalance")
+@query("d6_rebalance", f"""{_GRAY},
+g AS MATERIALIZED (SELECT list(sizes ORDER BY group_id) AS own, list(load ORDER BY group_id) AS loads FROM (SELECT group_id, list(n ORDER BY n DESC, root) AS sizes, sum(n)::DOUBLE AS load FROM dealt GROUP BY 1)),
+f AS (SELECT 0::BIGINT AS k, loads, list_transform(loads, lambda x: 0::BIGINT) AS taken, list_sum(loads) / {GROUPS} AS mean FROM g
+UNION ALL SELECT k + 1, list_transform(f.loads, lambda x, i: x - CASE WHEN i = list_position(f.loads, list_max(f.loads)) THEN own[i][taken[i] + 1] ELSE 0 END + own[list_position(f.loads, list_max(f.loads))][taken[list_position(f.loads, list_max(f.loads))] + 1] / {GROUPS}::DOUBLE),
+  list_transform(taken, lambda x, i: x + (i = list_position(f.loads, list_max(f.loads)))::BIGINT), mean
+  FROM f, g WHERE list_max(f.loads) / mean > 1.05 AND taken[list_position(f.loads, list_max(f.loads))] < len(own[list_position(f.loads, list_max(f.loads))])),
+e AS (SELECT * FROM f ORDER BY k DESC LIMIT 1)
+SELECT (unnest(range({GROUPS})))::INTEGER AS group_id, round(unnest(loads), 6) AS load, k::INTEGER AS n_split FROM e""")
 def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = partition.gray_deal(partition.histogram(_entries(spark, sf_dir)), GROUPS)
     split, loads = partition.rebalance([(r.root, r.n, r.group_id) for r in dealt.collect()], GROUPS)
-    return spark.createDataFrame([(g, load, len(split)) for g, load in enumerate(loads)], "group_id int, load double, n_split int")
+    return spark.createDataFrame([(g, round(load, 6), len(split)) for g, load in enumerate(loads)], "group_id int, load double, n_split int")
 
 
 @query("d8_group_counts", f"{_GRAY} SELECT group_id, sum(n)::BIGINT AS n_series FROM dealt GROUP BY 1")
@@ -683,9 +729,16 @@ def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.group_counts(partition.gray_deal(partition.histogram(_entries(spark, sf_dir)), GROUPS))
 
 
-@query("d9_half_of_roots", f"{_S} SELECT (r >= 128)::INTEGER AS half, count(*)::BIGINT AS n FROM ss GROUP BY 1")
+@query("d9_half_of_roots", _nearest(1, columns="query_id, series_id, round(d2, 6) AS d2"))
 def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, sf_dir).groupBy((F.col("root") >= 128).cast("int").alias("half")).agg(F.count("*").alias("n"))
+    """Each of two nodes has the whole index and searches half of the subtrees with the shared seed; the answers are merged."""
+    tree, _, asked = built(spark, sf_dir, True)
+    seeded, seeds = search.seeded(written(search.prepared(asked, tree), "asked"), tree, 1)
+    bsf = written(seeded.select("query_id", "bsf"), "bsf")
+    answers = seeds.select("query_id", "series_id", "d2")
+    for low, high in ((0, 127), (128, 255)):
+        answers = answers.unionByName(search.exact(asked, tree, 1, bsf=bsf, only=F.col("root").between(low, high)).select("query_id", "series_id", "d2"))
+    return rounded(schedule.merged(answers))
 
 
 @query("o3_largest_buckets", f"{_S} SELECT root, n, place FROM (SELECT r AS root, count(*)::BIGINT AS n, row_number() OVER (ORDER BY count(*) DESC, r)::INTEGER AS place FROM ss GROUP BY 1) WHERE place <= 4000")
@@ -696,12 +749,42 @@ def o3(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- scheduling and queues ---------------------------------------------------------------------------------------
 
 
-def estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query set with its estimates."""
-    return embeddings(spark, sf_dir).select(F.col("vec_id").alias("query_id")).join(costs(spark, sf_dir), "query_id").select("query_id", "est")
+#: The queries that have an estimate: all of costs().
+_EST = f"WITH RECURSIVE e AS MATERIALIZED ({_COSTS})"
+
+
+def _inorder(order: str) -> str:
+    """The estimates in an order as one list, ests, and the queries, ids; n of them."""
+    return f"{_EST}, l AS MATERIALIZED (SELECT list(est ORDER BY {order}) AS ests, list(query_id ORDER BY {order}) AS ids, count(*) AS n FROM e)"
 
 
-_EST = f"WITH c AS ({_COSTS}), e AS (SELECT vec_id AS query_id, est FROM embeddings JOIN c ON c.query_id = vec_id)"
+def _greedy(order: str) -> str:
+    now = "scores[node + 1] + ests[k + 1]"
+    return f"""{_inorder(order)}, f AS (SELECT 0::BIGINT AS k, 0 AS given, 0 AS node, list_transform(range({NODES}), lambda i: 0.0::DOUBLE) AS scores, 0.0::DOUBLE AS highest
+UNION ALL SELECT k + 1, node, CASE WHEN {now} >= highest THEN (node + 1) % {NODES} ELSE node END, list_transform(scores, lambda s, i: CASE WHEN i = node + 1 THEN {now} ELSE s END), greatest(highest, {now}) FROM f, l WHERE k < n)
+SELECT ids[k] AS query_id, given AS node FROM f, l WHERE k > 0"""
+
+
+def _dynamic(burst: int) -> str:
+    """k, node, began, clocks after each query."""
+    return f"""{_inorder('query_id')}, f AS (SELECT 0::BIGINT AS k, 0 AS node, 0.0::DOUBLE AS began, list_transform(range({NODES}), lambda i: 0.0::DOUBLE) AS clocks
+UNION ALL SELECT k + 1, who, clocks[who + 1], list_transform(clocks, lambda c, i: CASE WHEN i = who + 1 THEN c + ests[k + 1] ELSE c END)
+  FROM (SELECT *, (CASE WHEN k < {burst * NODES} THEN k % {NODES} ELSE list_position(clocks, list_min(clocks)) - 1 END)::INTEGER AS who FROM f), l WHERE k < n)"""
+
+
+_DYNAMIC = f'{_dynamic(2)} SELECT ids[k] AS query_id, node, round(began, 6) AS "start", round(clocks[node + 1], 6) AS "end" FROM f, l WHERE k > 0'
+
+#: A node's batches are a run (from low, below high) of those that one node began with (own): every NODES-th query.
+_STEALING = f"""{_inorder('query_id')}, f AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS batch, NULL::INTEGER AS node, range({NODES}) AS own, list_transform(range({NODES}), lambda i: 0::BIGINT) AS low,
+  list_transform(range({NODES}), lambda i: (n + {NODES - 1} - i) // {NODES}) AS high, list_transform(range({NODES}), lambda i: 0.0::DOUBLE) AS clocks FROM l
+UNION ALL SELECT k + 1, batch_, (who - 1)::INTEGER, list_transform(own, lambda x, i: CASE WHEN i = who THEN own[source] ELSE x END),
+  list_transform(low, lambda x, i: CASE WHEN i = who THEN first + 1 ELSE x END),
+  list_transform(high, lambda x, i: CASE WHEN i = who THEN high[source] WHEN i = source THEN first ELSE x END),
+  list_transform(clocks, lambda c, i: CASE WHEN i = who THEN c + ests[batch_ + 1] ELSE c END)
+  FROM (SELECT *, own[source] + {NODES} * first AS batch_ FROM (SELECT *, CASE WHEN source = who THEN low[who] ELSE greatest(low[source], high[source] - 4) END AS first FROM (
+    SELECT *, CASE WHEN high[who] > low[who] THEN who ELSE list_position(left_, list_max(left_)) END AS source FROM (
+    SELECT *, list_position(clocks, list_min(clocks)) AS who, list_transform(high, lambda x, i: x - low[i]) AS left_ FROM f)))), l WHERE k < n)
+SELECT batch::INTEGER AS batch, node FROM f WHERE k > 0"""
 
 
 @query("q1_sequential_merge", _nearest(1, columns="query_id, series_id, round(d2, 6) AS d2"))
@@ -718,27 +801,28 @@ def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q2_static", f"{_EST} SELECT query_id, least((row_number() OVER (ORDER BY query_id) - 1) // greatest(1, count(*) OVER () // {NODES}), {NODES - 1})::INTEGER AS node FROM e")
 def q2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.static(estimated(spark, sf_dir), NODES)
+    return schedule.static(costs(spark, sf_dir), NODES)
 
 
-@query("q3_dynamic")
+@query("q3_dynamic", _DYNAMIC)
 def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.dynamic_schedule(estimated(spark, sf_dir), NODES, burst=2)
+    found = schedule.dynamic_schedule(costs(spark, sf_dir), NODES, burst=2)
+    return found.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
 
 
-@query("q5_greedy_sorted")
+@query("q5_greedy_sorted", _greedy("est DESC, query_id"))
 def q5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.greedy_schedule(estimated(spark, sf_dir), NODES)
+    return schedule.greedy_schedule(costs(spark, sf_dir), NODES)
 
 
-@query("q5_greedy")
+@query("q5_greedy", _greedy("query_id"))
 def q5u(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.greedy_schedule(estimated(spark, sf_dir), NODES, sort=False)
+    return schedule.greedy_schedule(costs(spark, sf_dir), NODES, sort=False)
 
 
 @query("q6_sorted_by_estimate", f"{_EST} SELECT query_id, row_number() OVER (ORDER BY est DESC, query_id)::INTEGER AS place FROM e")
 def q6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.ordered(estimated(spark, sf_dir), "est")
+    return schedule.ordered(costs(spark, sf_dir), "est")
 
 
 @query("q7_sorted_by_first_distance", f"{_PAIRS} SELECT query_id, row_number() OVER (ORDER BY round(bsf, 9) DESC, query_id)::INTEGER AS place FROM bsf WHERE bsf IS NOT NULL")
@@ -779,12 +863,21 @@ def w3r(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.batch_ranges(schedule.queue_order(_queues(spark, sf_dir)))
 
 
-@query("w4_stealing")
+@query("w4_stealing", _STEALING)
 def w4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(r.query_id % NODES, r.query_id, r.est) for r in estimated(spark, sf_dir).orderBy("query_id").collect()]
+    rows = [(q % NODES, q, est) for q, est in schedule.folded(costs(spark, sf_dir))]
     return spark.createDataFrame(schedule.stealing(rows, NODES), "batch int, node int")
 
 
+@query("q2_15_scheduled_search", _nearest(1))
+def scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries placed greedily by their estimates, each node's answered by a search that is given to the scheduler."""
+    tree, _, asked = built(spark, sf_dir, None)
+    estimates = asked.select("query_id").join(costs(spark, sf_dir), "query_id", "left").na.fill(1.0, ["est"])
+    placed = written(schedule.greedy_schedule(estimates, NODES), "placed")
+    return rounded(schedule.answered(asked, placed, NODES, lambda mine: search.exact(mine, tree, 1)).drop("node"))
+
+
 # -- prediction --------------------------------------------------------------------------------------------------
 
 _POINTS = "SELECT l_orderkey AS query_id, l_quantity + l_discount AS x, l_extendedprice / 1000 AS y FROM lineitem"
@@ -810,9 +903,14 @@ def a14s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([predict.fit_sigmoid(points(spark, sf_dir).select("x", "y"))], "low double, high double, b double, c double, d double")
 
 
-@query("a14_fit_polynomial")
+_PARABOLA = f"""WITH m AS (SELECT covar_pop(x, x) AS a, covar_pop(x, x * x) AS b, covar_pop(x * x, x * x) AS c, covar_pop(x, y) AS p, covar_pop(x * x, y) AS q, avg(x) AS mx, avg(x * x) AS mxx, avg(y) AS my FROM ({_POINTS})),
+k AS (SELECT *, (q * a - p * b) / (a * c - b * b) AS c2, (p * c - q * b) / (a * c - b * b) AS c1 FROM m)
+SELECT unnest([0, 1, 2]) AS power, round(unnest([my - c1 * mx - c2 * mxx, c1, c2]), 4) AS coefficient FROM k"""
+
+
+@query("a14_fit_polynomial", _PARABOLA)
 def a14p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(reversed(predict.fit_polynomial(points(spark, sf_dir), 2)))), "power int, coefficient double")
+    return spark.createDataFrame([(k, round(c, 4)) for k, c in enumerate(reversed(predict.fit_polynomial(points(spark, sf_dir), 2)))], "power int, coefficient double")
 
 
 _PREDICTED = f"SELECT query_id, y AS real, CASE WHEN x * 0.85::DOUBLE - 4.0::DOUBLE < 0 THEN 1e-5::DOUBLE ELSE x * 0.85::DOUBLE - 4.0::DOUBLE END AS predicted FROM ({_POINTS})"
@@ -890,7 +988,7 @@ def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o6_benchmark_selection", f"{_EST}, ranked AS (SELECT *, row_number() OVER (ORDER BY est, query_id)::INTEGER AS place, row_number() OVER (ORDER BY est DESC, query_id DESC) AS down FROM e) SELECT query_id, est, place FROM ranked WHERE place <= 250 OR down <= 51")
 def o6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selection's own limits: the 250 easiest and the 51 hardest queries."""
-    return report.hardest(estimated(spark, sf_dir), 250, 51)
+    return report.hardest(costs(spark, sf_dir), 250, 51)
 
 
 @query("o7_union_of_query_sets", "SELECT vec_id AS query_id, 'given' AS kind FROM embeddings UNION ALL SELECT o_orderkey, 'made' FROM orders")
@@ -920,7 +1018,7 @@ def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.groupBy("values").agg(F.min(F.floor(F.col("series_id") / 4)).alias("walk"), F.count("*").alias("copies")).select("walk", "copies")
 
 
-@query("g3_labels")
+@query("g3_labels", f"SELECT vec_id AS series_id, {_drawn(1, 'vec_id')} % 9 AS label FROM embeddings")
 def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.labels(series_of(spark, sf_dir), 10)
 
@@ -931,9 +1029,15 @@ def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.noisy_queries(series, series.count(), 0.1, seed=9)
 
 
-@query("g5_size_sweep", "SELECT * FROM (VALUES (5.0::DOUBLE, 5242880::BIGINT), (10.0::DOUBLE, 10485760::BIGINT), (20.0::DOUBLE, 20971520::BIGINT)) AS t(gigabytes, n)")
+@query("g5_size_sweep", "SELECT * FROM (VALUES (5.0::DOUBLE, 5242880::BIGINT, 524::BIGINT, 256, 1.0::DOUBLE), (10.0::DOUBLE, 10485760::BIGINT, 1048::BIGINT, 256, 1.0::DOUBLE), (20.0::DOUBLE, 20971520::BIGINT, 2097::BIGINT, 256, 1.0::DOUBLE)) AS t(gigabytes, n, made, length, variance)")
 def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(float(g), generate.size_for(g, 256)) for g in (5, 10, 20)], "gigabytes double, n long")
+    """Sets of each size, generated at a ten-thousandth of it; their walks have the variance 1."""
+    out = None
+    for g, rows in generate.sweep(spark, (5.0, 10.0, 20.0), 256, 1e-4).items():
+        each = _summary(rows).agg(F.count("*").alias("made"), F.max("length").alias("length"), F.round(F.avg("variance"), 6).alias("variance"))
+        each = each.select(F.lit(g).alias("gigabytes"), F.lit(generate.size_for(g, 256)).cast("long").alias("n"), "made", "length", "variance")
+        out = each if out is None else out.unionByName(each)
+    return out
 
 
 # -- experiments -------------------------------------------------------------------------------------------------
@@ -942,18 +1046,18 @@ def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e6_mode_comparison", f"{_EST}, p AS (SELECT est, row_number() OVER (ORDER BY query_id) - 1 AS k, count(*) OVER () AS m FROM e), n AS (SELECT unnest([2, 4, 8]) AS nodes), l AS (SELECT nodes, least(k // greatest(1, m // nodes), nodes - 1) AS node, sum(est) AS load FROM p, n GROUP BY ALL) SELECT nodes, round(max(load), 4) AS makespan, round(sum(load), 4) AS total FROM l GROUP BY 1")
 def e6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The static mode of the comparison; e6_all_modes has the others."""
-    rows = experiments.modes(estimated(spark, sf_dir), (2, 4, 8)).filter("mode = 'static'")
+    rows = experiments.modes(costs(spark, sf_dir), (2, 4, 8)).filter("mode = 'static'")
     return rows.select("nodes", F.round("makespan", 4).alias("makespan"), F.round("total", 4).alias("total"))
 
 
 @query("e6_all_modes")
 def e6a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.modes(estimated(spark, sf_dir), (1, 2, 4, 8, 16))
+    return experiments.modes(costs(spark, sf_dir), (1, 2, 4, 8, 16))
 
 
-@query("e7_burst_sweep")
+@query("e7_burst_sweep", " UNION ALL ".join(f"SELECT * FROM ({_dynamic(b)} SELECT {b} AS burst, round(max(list_max(clocks)), 6) AS makespan FROM f)" for b in (1, 2, 4, 8)))
 def e7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.bursts(estimated(spark, sf_dir), NODES, (1, 2, 4, 8))
+    return experiments.bursts(costs(spark, sf_dir), NODES, (1, 2, 4, 8)).withColumn("makespan", F.round("makespan", 6))
 
 
 @query("e8_threshold_divisors", f"SELECT divisor, round(avg(th), 6) AS mean_th, max(th)::INTEGER AS max_th FROM (SELECT divisor, greatest(1, trunc({_SIG})::INTEGER // divisor) AS th FROM events, (SELECT unnest([1, 4, 16, 64]) AS divisor)) GROUP BY 1")
@@ -964,7 +1068,7 @@ def e8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e9_steal_sweep")
 def e9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.steals(estimated(spark, sf_dir), NODES, (1, 2, 4, 8))
+    return experiments.steals(costs(spark, sf_dir), NODES, (1, 2, 4, 8))
 
 
 def _deal(groups: int) -> str:
@@ -981,6 +1085,49 @@ def e11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.index_scaling(series_of(spark, sf_dir), CONFIG).select("quarters", "n_series", "n_in_leaves")
 
 
+@query("e1_node_policy_sweep", f"""{_RECORDS}, n AS (SELECT unnest([1, 2, 4]) AS nodes), p AS (SELECT unnest(['own', 'shared']) AS policy),
+k AS (SELECT q.id AS query_id, q.r AS qr, coalesce(bsf, 'inf'::DOUBLE) AS bsf FROM qs AS q JOIN bsf ON bsf.query_id = q.id),
+t AS (SELECT nodes, policy, sum(CASE WHEN policy = 'shared' OR qr % nodes = rec.r % nodes THEN (lb.lb <= bsf AND rec.lb <= bsf)::BIGINT ELSE 1 END)::BIGINT AS real
+  FROM rec JOIN lb ON lb.query_id = rec.query_id AND lb.r = rec.r JOIN k ON k.query_id = rec.query_id, n, p GROUP BY 1, 2)
+SELECT nodes, policy, run, real FROM t, (SELECT unnest([1, 2]) AS run)""")
+def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances computed by so many nodes, by whether they share the seed, for each run."""
+    one, _, asked = built(spark, sf_dir, False)
+    return experiments.bsf_policies(one, asked, (1, 2, 4), runs=2)
+
+
+@query("e3_result_layout", f"SELECT 'events' AS dataset, node, run, count(*)::BIGINT AS n, round(sum(sec), 4) AS sec FROM ({_TIME}) GROUP BY ALL")
+def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in folders dataset=/node=/run=, read back by their folders."""
+    path = new_path(spark, "results")
+    times(spark, sf_dir).withColumn("dataset", F.lit("events")).write.partitionBy("dataset", "node", "run").csv(path)
+    back = spark.read.schema("query_id long, sec double, dataset string, node int, run int").csv(path)
+    return back.groupBy("dataset", "node", "run").agg(F.count("*").alias("n"), F.round(F.sum("sec"), 4).alias("sec"))
+
+
+#: Settings made of events: the type is the mode, the day's part of the month the threshold.
+_SETTINGS = "SELECT event_type AS mode, (event_id % 3)::INTEGER AS threshold, (event_id % 4)::INTEGER AS node, (date_part('day', ts) % 5)::INTEGER AS run, value AS sec FROM events"
+
+
+def _by_setting(keys: str) -> str:
+    return f"SELECT {keys}, round(avg(m), 6) AS sec, count(*)::BIGINT AS runs FROM (SELECT {keys}, run, max(sec) AS m FROM ({_SETTINGS}) GROUP BY ALL) GROUP BY ALL"
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.col("event_type").alias("mode"), (F.col("event_id") % 3).cast("int").alias("threshold"), (F.dayofmonth("ts") % 5).alias("run"), F.col("value").alias("sec"))
+
+
+@query("e13_mode_report", _by_setting("mode"))
+def e13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_setting(settings(spark, sf_dir), ["mode"], "sec").withColumn("sec", F.round("sec", 6))
+
+
+@query("e14_parameter_report", _by_setting("mode, threshold"))
+def e14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_setting(settings(spark, sf_dir), ["mode", "threshold"], "sec").withColumn("sec", F.round("sec", 6))
+
+
 # -- sinks -------------------------------------------------------------------------------------------------------
 
 
@@ -991,9 +1138,29 @@ def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(written(search.serial(asked, series, CONFIG).select("query_id", "d2"), "answers"))
 
 
-@query("k2_run_metrics_file", SQL["s14_run_results_text"])
+#: 17 times, 2 counters of distances and 4 of best-so-far changes, made of events.
+RUN_COLUMNS = [*(f"{c}_time" for c in ("input", "output", "read", "summary", "tree", "index", "query", "seed", "queue", "refine", "merge", "share", "steal", "wait", "schedule", "preprocess", "total")), "bound_distances", "real_distances", "bsf_changes", "bsf_shares", "bsf_receives", "bsf_wrong"]
+_RUN = "SELECT (date_part('day', ts) % 5)::INTEGER AS run, (user_id % 4)::INTEGER AS node, " + ", ".join(f"round(sum(value) * {k + 1} / 17, 4) AS {c}" if k < 17 else f"count(*) FILTER (WHERE event_id % {k - 15} = 0)::DOUBLE AS {c}" for k, c in enumerate(RUN_COLUMNS)) + " FROM events GROUP BY 1, 2"
+
+
+def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of all runs, written as files and read back."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.dayofmonth("ts") % 5).alias("run"), (F.col("user_id") % 4).cast("int").alias("node"), "event_id", "value")
+    each = (F.round(F.sum("value") * (k + 1) / 17, 4) if k < 17 else F.count_if(F.col("event_id") % (k - 15) == 0).cast("double") for k in range(len(RUN_COLUMNS)))
+    metrics = events.groupBy("run", "node").agg(*(e.alias(c) for e, c in zip(each, RUN_COLUMNS, strict=True)))
+    path = new_path(spark, "runs")
+    text.write_run_results(metrics.select("run", "node", *RUN_COLUMNS), path)
+    return text.read_run_results(spark, path, RUN_COLUMNS).select("run", "node", *(F.round(c, 2).alias(c) for c in RUN_COLUMNS))
+
+
+@query("k2_run_metrics_file", f"SELECT run, node, {', '.join(f'round({c}, 2) AS {c}' for c in RUN_COLUMNS)} FROM ({_RUN})")
 def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s14(spark, sf_dir)
+    return run_files(spark, sf_dir)
+
+
+@query("a4_bsf_counter_sums", f"SELECT run, {', '.join(f'sum({c}) AS {c}' for c in RUN_COLUMNS[17:])} FROM ({_RUN}) GROUP BY 1")
+def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.counter_sums(run_files(spark, sf_dir), RUN_COLUMNS[17:])
 
 
 @query("k4_query_times_file", "SELECT event_id AS query_id, value AS sec FROM events")
@@ -1011,15 +1178,16 @@ def k7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.approximate(search.prepared(asked, one), one).select("query_id", F.round("d2", 6).alias("bsf"))
 
 
-@query("k9_benchmark_files", f"{_EST}, ranked AS (SELECT *, row_number() OVER (ORDER BY est, query_id) AS up, row_number() OVER (ORDER BY est DESC, query_id DESC) AS down FROM e), chosen AS (SELECT query_id, est, row_number() OVER (ORDER BY up) - 1 AS n FROM ranked WHERE up <= 800 OR down <= 1) SELECT n AS query_id, est, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM chosen JOIN embeddings ON vec_id = chosen.query_id")
+@query("k9_benchmark_files", f"{_EST}, v AS (SELECT query_id, est FROM e JOIN embeddings ON vec_id = query_id), ranked AS (SELECT *, row_number() OVER (ORDER BY est, query_id) AS up, row_number() OVER (ORDER BY est DESC, query_id DESC) AS down FROM v), chosen AS (SELECT query_id, est, row_number() OVER (ORDER BY up) - 1 AS n FROM ranked WHERE up <= 800 OR down <= 1) SELECT n AS query_id, est, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM chosen JOIN embeddings ON vec_id = chosen.query_id")
 def k9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary queries and their estimates, the selection's own 800 easiest and the hardest, read back side by side."""
     vectors = embeddings(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("values"))
-    chosen = written(report.hardest(estimated(spark, sf_dir), 800, 1).join(vectors, "query_id"), "benchmark")
-    numbered = chosen.withColumn("series_id", (F.row_number().over(Window.orderBy("place")) - 1).cast("long"))
+    estimated = costs(spark, sf_dir).join(vectors.select("query_id"), "query_id")
+    chosen = written(report.hardest(estimated, 800, 1).join(vectors, "query_id"), "benchmark")
+    chosen = numbered(chosen, "place", name="series_id")
     queries, estimates = new_path(spark, "queries-bin"), new_path(spark, "estimates")
-    binary.write_series(numbered.select("series_id", "values"), queries, N)
-    text.write_doubles(numbered, "series_id", "est", estimates)
+    binary.write_series(chosen.select("series_id", "values"), queries, N)
+    text.write_doubles(chosen, "series_id", "est", estimates)
     back = binary.read_series(spark, queries, N).select(F.col("series_id").alias("query_id"), F.round(C.total(C.doubles(F.col("values"))), 6).alias("total"))
     return back.join(text.read_doubles(spark, estimates), "query_id").select("query_id", "est", "total")
 
@@ -1040,7 +1208,7 @@ def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAME = {
     "s6_query_load": "s5_query_scan", "f4_sax_vectorised": "f3_sax_from_series", "f5_breakpoint_search": "f2_sax_from_paa", "f10_mindist_record_vectorised": "f8_mindist_record", "f13_euclid2_vectorised": "f12_euclid2",
     "f19_gray_decode": "f18_gray_code", "f25_two_decimals": "f24_pct_error", "p2_queue_stop": "p1_leaves_not_pruned", "j3_query_leaf_bounds": "f6_mindist_node", "j6_queries_join_estimates": "s7_queries_with_estimates",
-    "r7_leaf_scan_with_bounds": "p3_a5_search_counts", "r14_exact_coordinated": "j1_exact_nn", "r16_top_k_buffer": "r17_top_k_exact", "q8_result_merge": "q1_sequential_merge", "a1_minimum_distance": "r6_leaf_scan", "o2_sorted_queues": "w3_queue_order",
+    "r14_exact_coordinated": "j1_exact_nn", "r16_top_k_buffer": "r17_top_k_exact", "q8_result_merge": "q1_sequential_merge", "a1_minimum_distance": "r6_leaf_scan", "o2_sorted_queues": "w3_queue_order",
 }
 for _name, _of in SAME.items():
     QUERIES[_name] = QUERIES[_of]

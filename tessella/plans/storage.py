@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """Adds each row's place (from 0) in an order of the whole table, which no single task sees: rows are dealt by ranges and
+    sorted within, and only the ranges' sizes are summed in one place. Rows that tie come in any order."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(ordered.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(name, 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__part", before.alias("__before"))  # as many rows as ranges
+    out = rows.withColumn("__part", part).join(F.broadcast(sizes), "__part")
+    return out.withColumn(name, F.col(name).bitwiseAND((1 << 33) - 1) + F.col("__before")).drop("__part", "__before")
+
+
 def stamps(spark: SparkSession, path: str) -> tuple:
     """Names, sizes and times of a file, or of the files of a folder: they change when it does. Empty if there is none."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -52,7 +52,8 @@ QUEUE_HEADER = "#query #bsf #th #total_pqs #per_pq_size"
 def _with_header(rows: DataFrame, header: str, path: str) -> None:
     spark = rows.sparkSession
     head = spark.createDataFrame([(0, -1, header)], "h int, n long, value string")
-    head.unionByName(rows.select(F.lit(1).alias("h"), "n", "value")).orderBy("h", "n").coalesce(1).select("value").write.text(path)
+    # Ranges in order over files by name; the header sorts first.
+    head.unionByName(rows.select(F.lit(1).alias("h"), "n", "value")).orderBy("h", "n").select("value").write.text(path)
 
 
 def write_queue_stats(stats: DataFrame, path: str) -> None:
