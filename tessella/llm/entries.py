@@ -101,6 +101,15 @@ counted AS (SELECT a, count(*) AS n FROM links GROUP BY a),
 least_of AS (SELECT node, min(other) AS m FROM reach GROUP BY node)
 SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least(m, e.vec_id), e.vec_id) AS component_id, coalesce(least(m, e.vec_id), e.vec_id) = e.vec_id AS kept
 FROM embeddings AS e LEFT JOIN counted AS c ON c.a = e.vec_id LEFT JOIN least_of AS l ON l.node = e.vec_id""",
+    "op9_minhash_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g FROM w),
+x AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS shingle FROM g),
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x AS a JOIN x AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(node, other) AS (SELECT a, b FROM links UNION SELECT r.node, l.b FROM reach AS r JOIN links AS l ON r.other = l.a),
+least_of AS (SELECT node, min(other) AS m FROM reach GROUP BY node)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, coalesce(least(m, doc_id), doc_id) AS component_id, coalesce(least(m, doc_id), doc_id) = doc_id AS kept FROM g LEFT JOIN least_of ON node = doc_id""",
     "op8_source_mix": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS hash FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
