@@ -204,6 +204,8 @@ def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     scores = _scorer(train(docs, labels, **options), options.get("bits", BITS))
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(scores(texts))
+        out = pa.array(scores(texts))
+        tidy()
+        return out
 
     return docs.filter(F.arrow_udf(run, "double")(F.col("text")) >= 0.5)

@@ -190,7 +190,9 @@ def toxic(text: Column, chain: Chain, bits: int = BITS) -> Column:
     scores, number = _scorer(chain, bits), CATEGORIES.index("toxic")
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(scores(texts)[:, number].copy())
+        out = pa.array(scores(texts)[:, number].copy())
+        tidy()
+        return out
 
     return F.arrow_udf(run, "double")(text)
 
