@@ -145,13 +145,20 @@ class SeriesBinary(DataSource):
         return Writer(dict(self.options), overwrite)
 
 
+def qualified(spark, path: str) -> str:
+    """The path in the file system where Spark itself would look for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def register(spark) -> None:
     spark.dataSource.register(SeriesBinary)
 
 
 def read_series(spark, path: str, length: int, **options):
     register(spark)
-    reader = spark.read.format("series_bin").option("path", path).option("length", length)
+    reader = spark.read.format("series_bin").option("path", qualified(spark, path)).option("length", length)
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.load()
@@ -161,6 +168,5 @@ def write_series(series, path: str, length: int, parts: int | None = None) -> No
     """Files in id order: ids are dealt by ranges and sorted within."""
     register(series.sparkSession)
     rows = series.select("series_id", series["values"].cast("array<float>").alias("values"))
-    n = parts or max(1, series.sparkSession.sparkContext.defaultParallelism)
-    rows = rows.repartitionByRange(n, "series_id").sortWithinPartitions("series_id")
-    rows.write.format("series_bin").mode("append").option("path", path).option("length", length).save()
+    rows = (rows.repartitionByRange(parts, "series_id") if parts else rows.repartitionByRange("series_id")).sortWithinPartitions("series_id")
+    rows.write.format("series_bin").mode("append").option("path", qualified(series.sparkSession, path)).option("length", length).save()

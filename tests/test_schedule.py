@@ -2,9 +2,11 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import partition, predict, report, schedule
+from tessella.operators import generate, partition, predict, report, schedule
+from tessella.plans.storage import numbered
 
 
 def test_static_7_on_3(spark):
@@ -70,3 +72,34 @@ def test_fits(spark):
 def test_benchmark_selection_takes_each_once(spark):
     q = spark.createDataFrame([(k, float(k)) for k in range(6)], "query_id long, est double")
     assert [r.query_id for r in report.hardest(q, 4, 4).orderBy("place").collect()] == [0, 1, 2, 3, 4, 5]
+
+
+def test_places_without_one_task(spark):
+    """Ties, nulls, many ranges; the places are those of a sort."""
+    rows = spark.range(0, 5000, 1, 13).select((F.col("id") * 7919 % 5000).alias("id"), F.when(F.col("id") % 5 > 0, F.col("id") % 50).alias("x"))
+    found = numbered(rows, F.col("x").asc_nulls_last(), "id").collect()
+    expected = sorted(((r.x is None, r.x, r.id) for r in found), key=lambda t: (t[0], t[1] or 0, t[2]))
+    assert {r.id: r.place for r in found} == {i: k for k, (_, _, i) in enumerate(expected)}
+    assert numbered(rows.limit(0), "id").isEmpty()
+    assert sorted(r.place for r in generate.shuffled(spark.range(100).withColumnRenamed("id", "series_id"), 3).collect()) == list(range(100))
+
+
+def test_folds_are_bounded(spark, monkeypatch):
+    rows = spark.range(20).select(F.col("id").alias("query_id"), F.lit(1.0).alias("est"))
+    assert schedule.folded(rows) == [(k, 1.0) for k in range(20)]
+    monkeypatch.setattr(schedule, "FOLDED", 19)
+    with pytest.raises(ValueError, match="19 queries at most"):
+        schedule.folded(rows)
+
+
+def test_searches_are_given_to_the_scheduler(spark):
+    queries = spark.range(9).withColumnRenamed("id", "query_id")
+    placed = schedule.static(queries, 2)
+    found = schedule.answered(queries, placed, 2, lambda mine: mine.withColumn("d2", F.lit(1.0))).collect()
+    assert {r.query_id: r.node for r in found} == {r.query_id: r.node for r in placed.collect()} and len(found) == 9
+
+
+def test_settings_are_compared(spark):
+    rows = [("a", 0, 1.0), ("a", 0, 3.0), ("a", 1, 5.0), ("b", 0, 2.0)]
+    found = report.by_setting(spark.createDataFrame(rows, "mode string, run int, sec double"), ["mode"], "sec").collect()
+    assert sorted(map(tuple, found)) == [("a", 4.0, 2), ("b", 2.0, 1)]
