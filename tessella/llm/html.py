@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import remove, slices, written
 from .urlfilter import canonical
 
 MIN_PAGES, BROADCAST_KEYS = 5, 1 << 18
@@ -277,10 +277,12 @@ def _page_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """key of each template subtree (the key holds its host)."""
+    """key of each template subtree (the key holds its host), from a written table, page_table."""
     each = pages.select("url", "html").mapInArrow(_page_keys, "host long, digest long, keys array<long>")
     each = written(each.groupBy("host", "digest").agg(F.first("keys").alias("keys")), "page-keys")
-    return each.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("key")
+    out = each.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("key")
+    out.page_table = each
+    return out
 
 
 def _texts(keys: np.ndarray | None):
@@ -304,7 +306,9 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """pages (page_id, url, html): returns page_id, url, text, n_chars for each row."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    template = written(template_keys(pages, min_pages), "template")
+    counted = template_keys(pages, min_pages)
+    template = written(counted, "template")
+    remove(counted.page_table)
     if template.count() <= broadcast_keys:
         keys = np.sort(template.toArrow().column("key").to_numpy())
         return pages.mapInArrow(_texts(keys), SCHEMA)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, tidy, written
+from .common import remove, slices, text_bytes, tidy, written
 from .ftrl import Ftrl, sigmoid
 from .textkernel import Words, ngrams
 
@@ -62,13 +62,16 @@ def sampled_labels(labels: DataFrame, column: str, kind: str, most: int) -> Data
 def bounded_sample(docs: DataFrame, chosen: DataFrame, featured, schema: str, most_bytes: int) -> DataFrame:
     """Rows (doc_id, label, ..., features) of the chosen ids (doc_id, label, ...), one an id, whatever its rows are; written.
 
-    Of each label as many, lowest hash of the id first, as stay within half of most_bytes at 4 bytes a feature.
+    Of each label as many, lowest hash of the id first, as stay within half of most_bytes at 4 bytes a feature. The table that it reads is
+    its sample_table, to be removed after the last use.
     """
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy(*chosen.columns).agg(F.min("text").alias("text"))
     rows = written(rows.mapInArrow(featured, schema), "sample")
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = rows.select("doc_id", "label", (4 * F.size("features")).cast("long").alias("bytes")).withColumn("bytes", F.sum("bytes").over(order))
-    return rows.join(F.broadcast(within.filter(F.col("bytes") <= most_bytes // 2).select("doc_id")), "doc_id")
+    out = rows.join(F.broadcast(within.filter(F.col("bytes") <= most_bytes // 2).select("doc_id")), "doc_id")
+    out.sample_table = rows
+    return out
 
 
 class Each:
@@ -143,9 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SA
         return np.zeros(1 << bits, np.float32), 3.0 if 1 in n else -3.0 if n else 0.0
     rows = bounded_sample(docs, sampled_labels(labels, "quality", "min", sample), _featured(bits), "doc_id long, label int, features array<int>, counts array<int>", sample_bytes)
     model = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_learnt(n[1] / (n[0] + n[1]), bits, epochs), "at array<int>, weights array<float>, bias double").first()
+    kind = rows.agg(F.min("label")).first()[0] if model is None else None
+    remove(rows.sample_table)
     dense = np.zeros(1 << bits, np.float32)
     if model is None:  # of the labelled ids docs has one kind or none
-        kind = rows.agg(F.min("label")).first()[0]
         return dense, 0.0 if kind is None else 3.0 if kind else -3.0
     dense[model.at] = model.weights
     return dense, model.bias

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, tidy, written
+from .common import remove, slices, text_bytes, tidy, written
 from .ftrl import Ftrl, folds, sigmoid
 from .quality import CLASSES, Each, bounded_sample, list_rows, sampled_labels
 from .textkernel import Words, mix
@@ -125,7 +125,9 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SA
     low = labels.groupBy("doc_id").agg(F.coalesce(F.max((F.col("quality") == 0).cast("int")), F.lit(0)).alias("low_quality"))
     chosen = chosen.join(low, "doc_id").select("doc_id", "label", "low_quality")
     schema = "doc_id long, label int, low_quality int, features array<int>"
-    rows = written(bounded_sample(docs, chosen, _featured(bits), schema, sample_bytes).withColumn("earlier", F.array().cast("array<double>")), "chain")
+    sample_rows = bounded_sample(docs, chosen, _featured(bits), schema, sample_bytes)
+    rows = written(sample_rows.withColumn("earlier", F.array().cast("array<double>")), "chain")
+    remove(sample_rows.sample_table)
     chain: Chain = []
     for number in range(len(CATEGORIES)):
         last = number + 1 == len(CATEGORIES)
@@ -137,9 +139,12 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SA
             return [(dense, np.zeros(n), -10.0) for n in range(len(CATEGORIES))]
         dense[model.at] = model.weights
         chain.append((dense, np.array(model.more, np.float64), model.bias))
+        was = rows
         if not last:
             told = found.filter("fold >= 0").select("doc_id", "p")
             rows = written(rows.join(told, "doc_id").withColumn("earlier", F.concat("earlier", F.array("p"))).drop("p"), "chain")
+        remove(was)
+        remove(found)
     return chain
 
 

@@ -3,7 +3,8 @@
 A rule's glob is read over the canonical url: "." + host (A-Z lower-cased) + path. Each symbol of each rule has
 one bit; a bit is set when the glob up to that symbol has matched. Per byte step of all urls together:
 state = ((state << 1 | firsts) & admits[byte]) | (state & stays[byte]), where stays holds the bits before a "*"
-("*" any bytes, "+" any bytes but "/"). A rule fits once its last bit has been set; then it stays set.
+("*" any bytes, "+" any bytes but "/"). A glob that ends in "*" fits once its last bit
+has been set, which then stays set; any other fits if its last bit is set at the end.
 
 Verdict: of the fitting host/path rules the longest decides; else block if a block glob fits, else allow.
 Rules: null urls and urls without "://" have empty host and path, no rule, and are allowed. Equal rows give equal
