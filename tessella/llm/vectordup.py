@@ -26,7 +26,8 @@ from .common import written
 from .components import components
 from .topk import finite
 
-SAMPLE, BLOCK = 2048, 1024
+#: Vectors that the axes come from; components in a block of vectors.
+SAMPLE, BLOCK = 2048, 1 << 18
 STEPS = (8, 16, 32)
 
 
@@ -111,14 +112,15 @@ def _tile(axes: dict[int, np.ndarray], threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK) -> DataFrame:
-    """vectors (vec_id, embedding, label): returns vec_id, n_links, component_id, kept for each row."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int | None = None) -> DataFrame:
+    """vectors (vec_id, embedding, label): returns vec_id, n_links, component_id, kept for each row. block: vectors in a block."""
     vectors = vectors.select("vec_id", "embedding", "label")
     able = finite("embedding") & F.exists("embedding", lambda v: v != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     classes = vectors.filter(able).groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("mark", F.xxhash64("label", "embedding")), "vector-classes")
     axes = principal_axes(classes)
-    counts = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    most = F.lit(block) if block else F.greatest(F.lit(256), F.floor(F.lit(BLOCK) / F.greatest(F.lit(1), "dim")))
+    counts = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
     blocks = classes.withColumn("dim", F.size("embedding")).join(counts, ["label", "dim"])
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("vec_id", "mark"), F.col("blocks")).cast("int"))
     tiles = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
