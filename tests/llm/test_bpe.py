@@ -63,6 +63,37 @@ def test_array_agenda_is_the_heap_agenda(dropping):
     assert dropping.segment(units, 1) == [dropping._finished(dropping._long(u, int(k))) for u, k in zip(units, keys, strict=True)]
 
 
+def plain_agenda(unit, gaps, scores):
+    """Strings; of all pairs that make a piece and weren't skipped the best, then leftmost, comes up; each that comes up is drawn."""
+    symbols = [(c, k) for k, c in enumerate(unit)]
+    skipped, since, skips, fresh = set(), 0, 0, len(unit)
+    while True:
+        able = [(-scores[a + b], k) for k, ((a, i), (b, j)) in enumerate(zip(symbols, symbols[1:])) if a + b in scores and (i, j) not in skipped]
+        if not able:
+            return [a for a, _ in symbols]
+        k = min(able)[1]
+        if since == gaps(skips):
+            skipped.add((symbols[k][1], symbols[k + 1][1]))
+            since, skips = 0, skips + 1
+        else:
+            symbols[k : k + 2] = [(symbols[k][0] + symbols[k + 1][0], fresh)]
+            since, fresh = since + 1, fresh + 1
+
+
+@pytest.mark.parametrize("alpha", [0.1, 0.5])
+def test_dropout_is_a_plain_agenda(library, alpha):
+    model = bpe.MergeDropout(PATH, alpha, seed=9)
+    scores = {library.id_to_piece(i): library.get_score(i) for i in range(library.get_piece_size()) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i))}
+    words = "understanding internationally a the of ▁ aaaaaaaaaa Wiederaufnahme reconnaissance x,y;z!! 12345 é日z".split()
+    units = [u for k in range(40) for w in words for u in model.units.findall(bpe.BLANK + w)]
+    keys = model._keys([f"{k}:{u}" for k, u in enumerate(units)], 2)
+    gap = lambda key: lambda n: int(model._gaps(np.array([key], np.uint64), n)[0])
+    for unit, key, blob in zip(units, keys, model._drawn(units, keys), strict=True):
+        pieces = plain_agenda(unit, gap(key), scores)
+        expected = [i for p in pieces for i in ([library.piece_to_id(p)] if p in scores else [library.piece_to_id(f"<0x{b:02X}>") for b in p.encode()])]
+        assert ids(blob) == expected
+
+
 def test_tables(spark, odd, empty, documents, sf_dir):
     rows = bpe.round_trip(odd, PATH).collect()
     assert len(rows) == odd.count() and all(r.lossless for r in rows)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import corpus_pipeline
 from tessella.llm import bpe, minhash, mixing, quality, toxicity
 from tessella.llm.entries import QUERIES, SQL, tokenizer_path
@@ -31,10 +33,22 @@ def test_stages_in_turn(spark, documents, sf_dir, labels):
     assert corpus_pipeline.run(spark, sf_dir).count() == after.count()
 
 
-def test_stages_take_odd_tables(spark, odd, empty, sf_dir):
+def test_stages_take_odd_tables(spark, odd, empty, labels, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).isEmpty()
-        stage(spark, odd, sf_dir).collect()
+    _, quality_, dedup, mix, pieces = (stage for _, stage in corpus_pipeline.STAGES)
+    for stage, scored, ok in ((corpus_pipeline.drop_toxic, toxicity.score(odd, toxicity.train(odd, labels)), lambda r: r.toxic < 0.5), (quality_, quality.score(odd, quality.train(odd, labels)), lambda r: r.score >= 0.5)):
+        assert sorted(str(r.doc_id) for r in stage(spark, odd, sf_dir).collect()) == sorted(str(r.doc_id) for r in scored.collect() if ok(r))
+    kept = dedup(spark, odd, sf_dir)
+    assert kept.columns == odd.columns
+    # One of each group; rows that repeat an id are one; null ids stay.
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["0", "1", "2", "3", "5", "7", "8", "10", "None", "None"])
+    mixed = mix(spark, odd, sf_dir)
+    assert mixed.columns == odd.columns
+    rows, taken = [tuple(r) for r in odd.collect()], Counter(tuple(r) for r in mixed.collect())
+    assert set(taken) <= set(rows) and all((r[1] or "").strip() and n <= 2 * rows.count(r) for r, n in taken.items())  # no row without words, none over its epochs
+    ids = pieces(spark, odd, sf_dir)
+    assert sorted(str((r.doc_id, r.text)) for r in bpe.decode(ids, tokenizer_path("piece_bpe_32k.model")).collect()) == sorted(str((r[0], r[1] or "")) for r in rows)
 
 
 def test_registered_queries():
