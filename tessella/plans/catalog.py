@@ -758,33 +758,38 @@ def _inorder(order: str) -> str:
     return f"{_EST}, l AS MATERIALIZED (SELECT list(est ORDER BY {order}) AS ests, list(query_id ORDER BY {order}) AS ids, count(*) AS n FROM e)"
 
 
-def _greedy(order: str) -> str:
+def _greedy(order: str, nodes: int = NODES) -> str:
+    """k, given (the node of query k), scores after it."""
     now = "scores[node + 1] + ests[k + 1]"
-    return f"""{_inorder(order)}, f AS (SELECT 0::BIGINT AS k, 0 AS given, 0 AS node, list_transform(range({NODES}), lambda i: 0.0::DOUBLE) AS scores, 0.0::DOUBLE AS highest
-UNION ALL SELECT k + 1, node, CASE WHEN {now} >= highest THEN (node + 1) % {NODES} ELSE node END, list_transform(scores, lambda s, i: CASE WHEN i = node + 1 THEN {now} ELSE s END), greatest(highest, {now}) FROM f, l WHERE k < n)
-SELECT ids[k] AS query_id, given AS node FROM f, l WHERE k > 0"""
+    return f"""{_inorder(order)}, f AS (SELECT 0::BIGINT AS k, 0 AS given, 0 AS node, list_transform(range({nodes}), lambda i: 0.0::DOUBLE) AS scores, 0.0::DOUBLE AS highest
+UNION ALL SELECT k + 1, node, CASE WHEN {now} >= highest THEN (node + 1) % {nodes} ELSE node END, list_transform(scores, lambda s, i: CASE WHEN i = node + 1 THEN {now} ELSE s END), greatest(highest, {now}) FROM f, l WHERE k < n)"""
 
 
-def _dynamic(burst: int) -> str:
+def _dynamic(burst: int, order: str = "query_id", nodes: int = NODES) -> str:
     """k, node, began, clocks after each query."""
-    return f"""{_inorder('query_id')}, f AS (SELECT 0::BIGINT AS k, 0 AS node, 0.0::DOUBLE AS began, list_transform(range({NODES}), lambda i: 0.0::DOUBLE) AS clocks
+    return f"""{_inorder(order)}, f AS (SELECT 0::BIGINT AS k, 0 AS node, 0.0::DOUBLE AS began, list_transform(range({nodes}), lambda i: 0.0::DOUBLE) AS clocks
 UNION ALL SELECT k + 1, who, clocks[who + 1], list_transform(clocks, lambda c, i: CASE WHEN i = who + 1 THEN c + ests[k + 1] ELSE c END)
-  FROM (SELECT *, (CASE WHEN k < {burst * NODES} THEN k % {NODES} ELSE list_position(clocks, list_min(clocks)) - 1 END)::INTEGER AS who FROM f), l WHERE k < n)"""
+  FROM (SELECT *, (CASE WHEN k < {burst * nodes} THEN k % {nodes} ELSE list_position(clocks, list_min(clocks)) - 1 END)::INTEGER AS who FROM f), l WHERE k < n)"""
 
 
+_PLACED = "SELECT ids[k] AS query_id, given AS node FROM f, l WHERE k > 0"
 _DYNAMIC = f'{_dynamic(2)} SELECT ids[k] AS query_id, node, round(began, 6) AS "start", round(clocks[node + 1], 6) AS "end" FROM f, l WHERE k > 0'
 
-#: A node's batches are a run (from low, below high) of those that one node began with (own): every NODES-th query.
-_STEALING = f"""{_inorder('query_id')}, f AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS batch, NULL::INTEGER AS node, range({NODES}) AS own, list_transform(range({NODES}), lambda i: 0::BIGINT) AS low,
-  list_transform(range({NODES}), lambda i: (n + {NODES - 1} - i) // {NODES}) AS high, list_transform(range({NODES}), lambda i: 0.0::DOUBLE) AS clocks FROM l
+
+def _stealing(given: int, stride: int, high: str) -> str:
+    """k, batch, node. A node's batches are a run (from low, below high) of those that one node began with (own): every stride-th query."""
+    return f"""{_inorder('query_id')}, f AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS batch, NULL::INTEGER AS node, list_transform(range({NODES}), lambda i: i * {int(stride > 1)}) AS own, list_transform(range({NODES}), lambda i: 0::BIGINT) AS low,
+  list_transform(range({NODES}), lambda i: {high}) AS high, list_transform(range({NODES}), lambda i: 0.0::DOUBLE) AS clocks FROM l
 UNION ALL SELECT k + 1, batch_, (who - 1)::INTEGER, list_transform(own, lambda x, i: CASE WHEN i = who THEN own[source] ELSE x END),
   list_transform(low, lambda x, i: CASE WHEN i = who THEN first + 1 ELSE x END),
   list_transform(high, lambda x, i: CASE WHEN i = who THEN high[source] WHEN i = source THEN first ELSE x END),
   list_transform(clocks, lambda c, i: CASE WHEN i = who THEN c + ests[batch_ + 1] ELSE c END)
-  FROM (SELECT *, own[source] + {NODES} * first AS batch_ FROM (SELECT *, CASE WHEN source = who THEN low[who] ELSE greatest(low[source], high[source] - 4) END AS first FROM (
+  FROM (SELECT *, own[source] + {stride} * first AS batch_ FROM (SELECT *, CASE WHEN source = who THEN low[who] ELSE greatest(low[source], high[source] - {given}) END AS first FROM (
     SELECT *, CASE WHEN high[who] > low[who] THEN who ELSE list_position(left_, list_max(left_)) END AS source FROM (
-    SELECT *, list_position(clocks, list_min(clocks)) AS who, list_transform(high, lambda x, i: x - low[i]) AS left_ FROM f)))), l WHERE k < n)
-SELECT batch::INTEGER AS batch, node FROM f WHERE k > 0"""
+    SELECT *, list_position(clocks, list_min(clocks)) AS who, list_transform(high, lambda x, i: x - low[i]) AS left_ FROM f)))), l WHERE k < n)"""
+
+
+_STEALING = _stealing(4, NODES, f"(n + {NODES - 1} - i) // {NODES}") + " SELECT batch::INTEGER AS batch, node FROM f WHERE k > 0"
 
 
 @query("q1_sequential_merge", _nearest(1, columns="query_id, series_id, round(d2, 6) AS d2"))
@@ -810,12 +815,12 @@ def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
 
 
-@query("q5_greedy_sorted", _greedy("est DESC, query_id"))
+@query("q5_greedy_sorted", _greedy("est DESC, query_id") + _PLACED)
 def q5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.greedy_schedule(costs(spark, sf_dir), NODES)
 
 
-@query("q5_greedy", _greedy("query_id"))
+@query("q5_greedy", _greedy("query_id") + _PLACED)
 def q5u(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.greedy_schedule(costs(spark, sf_dir), NODES, sort=False)
 
@@ -1050,9 +1055,17 @@ def e6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("nodes", F.round("makespan", 4).alias("makespan"), F.round("total", 4).alias("total"))
 
 
-@query("e6_all_modes")
+def _modes(nodes: int) -> list[str]:
+    """mode, nodes, makespan, total, a query for each mode."""
+    static = f"{_EST}, p AS (SELECT est, row_number() OVER (ORDER BY query_id) - 1 AS k, count(*) OVER () AS m FROM e) SELECT 'static' AS mode, {nodes} AS nodes, round(max(load), 4) AS makespan, round(sum(load), 4) AS total FROM (SELECT sum(est) AS load FROM p GROUP BY least(k // greatest(1, m // {nodes}), {nodes - 1}))"
+    told = lambda mode, sums: f" SELECT '{mode}' AS mode, {nodes} AS nodes, round(list_max({sums}), 4) AS makespan, round(list_sum({sums}), 4) AS total FROM f, l WHERE k = n"
+    return [static] + [sql + told(mode, sums) for by, tail in (("query_id", ""), ("est DESC, query_id", "_sorted")) for sql, mode, sums in ((_greedy(by, nodes), f"greedy{tail}", "scores"), (_dynamic(1, by, nodes), f"dynamic{tail}", "clocks"))]
+
+
+@query("e6_all_modes", " UNION ALL ".join(f"SELECT * FROM ({sql})" for nodes in (1, 2, 4, 8, 16) for sql in _modes(nodes)))
 def e6a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.modes(costs(spark, sf_dir), (1, 2, 4, 8, 16))
+    rows = experiments.modes(costs(spark, sf_dir), (1, 2, 4, 8, 16))
+    return rows.withColumns({c: F.round(c, 4) for c in ("makespan", "total")})
 
 
 @query("e7_burst_sweep", " UNION ALL ".join(f"SELECT * FROM ({_dynamic(b)} SELECT {b} AS burst, round(max(list_max(clocks)), 6) AS makespan FROM f)" for b in (1, 2, 4, 8)))
@@ -1066,7 +1079,7 @@ def e8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.thresholds(distances, SIGMOID, (1, 4, 16, 64)).withColumn("mean_th", F.round("mean_th", 6))
 
 
-@query("e9_steal_sweep")
+@query("e9_steal_sweep", " UNION ALL ".join(f"SELECT * FROM ({_stealing(g, 1, 'CASE WHEN i = 0 THEN n ELSE 0 END')} SELECT {g} AS given, count_if(node <> 0)::INTEGER AS moved FROM f WHERE k > 0)" for g in (1, 2, 4, 8)))
 def e9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.steals(costs(spark, sf_dir), NODES, (1, 2, 4, 8))
 
