@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "breakpoints", "doubles", "total", "z_normalize", "paa", "sax_from_paa", "sax_from_series", "root_mask", "isax_word", "mindist", "mindist_record", "euclid2", "euclid2_bounded",
-    "decimal_to_gray", "gray_to_decimal", "sigmoid", "estimate_threshold", "linear_predict", "polynomial", "logarithm", "pct_error", "two_decimals", "bit_string", "pair_rank", "gaussian_noise", "parse_series", "perturbed",
+    "decimal_to_gray", "gray_to_decimal", "sigmoid", "estimate_threshold", "linear_predict", "polynomial", "logarithm", "pct_error", "two_decimals", "bit_string", "pair_rank", "mindist_record_bounded", "gaussian_noise", "parse_series", "perturbed",
 ]
 
 
@@ -102,6 +102,12 @@ def mindist_record(means: Column, sax: Column, scale: float, bits: int = 8) -> C
     return _gaps(means, F.transform(sax, lambda s: F.element_at(lows, s + 1)), F.transform(sax, lambda s: F.element_at(highs, s + 1)), scale)
 
 
+def mindist_record_bounded(means: Column, sax: Column, scale: float, bsf: Column, bits: int = 8) -> Column:
+    """The record's bound where it is within the best distance so far, else null."""
+    lb = mindist_record(means, sax, scale, bits)
+    return F.when(lb <= bsf, lb)
+
+
 def euclid2(a: Column, b: Column) -> Column:
     """Squared Euclidean distance."""
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))

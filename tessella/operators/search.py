@@ -261,6 +261,23 @@ def counts_given(asked: DataFrame, index: Index, only: Column | None = None) ->
     return asked.select("query_id", "bsf").join(each, "query_id", "left").na.fill(0, ["leaves", "bounds", "real"])
 
 
+def candidates(queries: DataFrame, index: Index) -> DataFrame:
+    """query_id, series_id of every series in a leaf that the seed distance doesn't rule out."""
+    asked, _ = seeded(written(prepared(queries, index), "asked"), index, 1)
+    asked = written(asked.withColumn("radius", F.lit(None).cast("double")), "asked")
+
+    config = index.config
+
+    def run(series: pa.Table, mine: pa.Table) -> pa.Table:
+        if not series.num_rows or not mine.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "series_id": pa.array([], pa.int64())})
+        group = _Group(config, series, mine)
+        i, j = np.nonzero(group.going()[:, group.leaf])
+        return pa.table({"query_id": group.q_ids[i], "series_id": group.ids[j]})
+
+    return _met(index, asked, asked.count(), None if index.few else _visits(index, asked, None), run, "query_id long, series_id long", ASKED)
+
+
 def leaf_scan(queries: DataFrame, index: Index) -> DataFrame:
     """Scan of the own leaf with record bounds: query_id, d2 (smallest distance), bounds and real (distances computed).
 

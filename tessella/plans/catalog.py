@@ -325,6 +325,13 @@ def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paired(spark, sf_dir).select("series_id", F.round(lb, 6).alias("lb"), F.round(d2, 6).alias("d2"), (lb <= d2).alias("holds"))
 
 
+@query("f11_mindist_record_bounded", f"{_S}, lbs AS (SELECT s.id AS series_id, {_LB_RECORD} AS lb, (s.id % 7) * 0.02::DOUBLE AS bsf FROM qs AS q JOIN ss AS s ON s.id = q.id, bp) SELECT series_id, CASE WHEN lb <= bsf THEN round(lb, 6) END AS lb FROM lbs")
+def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bound of a record where it is within a best distance so far, else null."""
+    lb = C.mindist_record_bounded(F.col("qp"), F.col("x"), N / W, F.col("series_id") % 7 * 0.02)
+    return _paired(spark, sf_dir).select("series_id", F.round(lb, 6).alias("lb"))
+
+
 @query("f7_mindist_word", f"{_S} SELECT s.id AS series_id, round({_lb('q.p', '(s.x[i + 1] // 32 * 32)', '(s.x[i + 1] // 32 * 32 + 31)')}, 6) AS lb FROM qs AS q JOIN ss AS s ON s.id = q.id, bp")
 def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.array(*([F.lit(3)] * W))
@@ -467,10 +474,11 @@ def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.prepared(asked, one).select("query_id", F.col("leaf").cast("long").alias("root"), F.col("leaf_n").alias("n"))
 
 
-@query("j4_candidate_series", f"{_BOUNDS} SELECT lb.query_id, sum(n)::BIGINT AS series FROM lb JOIN bsf ON bsf.query_id = lb.query_id WHERE lb <= coalesce(bsf, 'inf'::DOUBLE) GROUP BY 1")
+@query("j4_candidate_series", f"{_BOUNDS} SELECT lb.query_id, d.series_id FROM lb JOIN d ON d.query_id = lb.query_id AND d.r = lb.r JOIN bsf ON bsf.query_id = lb.query_id WHERE lb <= coalesce(bsf, 'inf'::DOUBLE)")
 def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of the leaves that aren't pruned, of each query."""
     one, _, asked = built(spark, sf_dir, False)
-    return search.counts(asked, one).select("query_id", F.col("bounds").alias("series"))
+    return search.candidates(asked, one)
 
 
 @query("j5_query_distances", f"{_SERIES} SELECT a AS query_id, round(min(d2), 6) AS nearest, round(max(d2), 6) AS farthest, round(avg(d2), 6) AS mean FROM (SELECT q.id AS a, {_D2.replace('s.v', 'o.v')} AS d2 FROM q JOIN q AS o ON o.id <> q.id) GROUP BY 1")
