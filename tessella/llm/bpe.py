@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, small_batches
 from .textkernel import mix
 
 ALPHA, KEPT_STATES, LONG_UNIT = 0.1, 1_000_000, 48
@@ -364,6 +364,7 @@ def encode(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = 23) ->
                 flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", "text")
     schema = T.StructType([source.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return source.groupBy("doc_id", "text").count().mapInArrow(run, schema)
@@ -395,6 +396,7 @@ def round_trip(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = 23)
             columns = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array([len(r) for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([b == (t or "") for b, t in zip(back, texts, strict=True)])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_ids", "ids_crc32", "n_bytes", "text_crc32", "lossless"])
 
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", "text")
     more = [T.StructField(c, T.LongType()) for c in ("n_ids", "ids_crc32", "n_bytes", "text_crc32")]
     return source.mapInArrow(run, T.StructType([source.schema["doc_id"], *more, T.StructField("lossless", T.BooleanType())]))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import new_path, remove, shared_dir, written  # noqa: F401
@@ -44,6 +44,17 @@ def _offsets(array: pa.Array) -> np.ndarray:
     return np.frombuffer(array.buffers()[1], kind)[array.offset : array.offset + len(array) + 1].astype(np.int64) if len(array) else np.zeros(1, np.int64)
 
 
+BATCH_BYTES, _KEY, _DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES in this session, unless it has a bound of its own: a task holds a batch several
+    times over, in vectors that double as they grow, and 64 MB are much of an executor's memory beside the heap."""
+    now = spark.conf.get(_KEY, None)
+    if now is not None and now.rstrip("b") == str(_DEFAULT):
+        spark.conf.set(_KEY, f"{BATCH_BYTES}b")
+
+
 def tidy() -> None:
     """Gives memory that a task has freed back to the machine: Python workers live on, and what they keep adds up."""
     pa.default_memory_pool().release_unused()

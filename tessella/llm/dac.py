@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, text_bytes, written
+from .common import new_path, slices, small_batches, text_bytes, written
 from .textkernel import LOWER, mix
 
 MAGIC, CHUNK, RANK_BITS, IMAGE = b"TDAC0001", 8, 512, 1 << 20
@@ -423,6 +423,7 @@ def _ended(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
 def write(docs: DataFrame, tokenizer: str, end_id: int = 2, chunk: int = CHUNK, to: str | None = None, segment_rows: int = 4096, most: int = IMAGE) -> str:
     """Writes the ids of docs (doc_id, text) as a container of images; returns its path. tokenizer: a file's path."""
     spark = docs.sparkSession
+    small_batches(spark)
     to = to or new_path(spark, "tokens")
     docs = docs.select("doc_id", "text")
     rows = docs.count()
@@ -464,6 +465,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Reads a container back: doc_id, start, n_tokens, ids_crc32 for each document, all from the images."""
+    small_batches(spark)
     images = spark.read.schema(CONTAINER).parquet(path)
     totals = written(images.select("segment", "number", "tokens"), "totals")
     # Tokens before an image: those of the segments before (at most SEGMENTS rows in one window) and in its own segment.

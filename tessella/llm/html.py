@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, slices, written
+from .common import remove, slices, small_batches, written
 from .urlfilter import canonical
 
 MIN_PAGES, BROADCAST_KEYS = 5, 1 << 18
@@ -305,6 +305,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """pages (page_id, url, html): returns page_id, url, text, n_chars for each row."""
+    small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     counted = template_keys(pages, min_pages)
     template = written(counted, "template")

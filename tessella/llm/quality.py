@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remove, slices, text_bytes, tidy, written
+from .common import remove, slices, small_batches, text_bytes, tidy, written
 from .ftrl import Ftrl, sigmoid
 from .textkernel import Words, ngrams
 
@@ -140,6 +140,7 @@ def _learnt(share: float, bits: int, epochs: int):
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE, epochs: int = 8, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
     """Weights and bias from labels (doc_id, quality)."""
+    small_batches(docs.sparkSession)
     one = labels_of(labels, "quality", "min")
     n = {r.label: r["count"] for r in one.groupBy("label").count().collect()}
     if len(n) < 2:
@@ -181,6 +182,7 @@ def _scorer(model: tuple[np.ndarray, float], bits: int):
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS) -> DataFrame:
     """docs (doc_id, text): returns doc_id, score."""
+    small_batches(docs.sparkSession)
     scores = _scorer(model, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, slices, text_bytes, tidy, written
+from .common import remove, slices, small_batches, text_bytes, tidy, written
 from .ftrl import Ftrl, folds, sigmoid
 from .quality import CLASSES, Each, bounded_sample, list_rows, sampled_labels
 from .textkernel import Words, mix
@@ -121,6 +121,7 @@ def _fits(number: int, k: int, bits: int, epochs: int):
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE, k: int = FOLDS, epochs: int = 8, sample_bytes: int = SAMPLE_BYTES) -> Chain:
     """labels (doc_id, quality, toxic)."""
+    small_batches(docs.sparkSession)
     chosen = sampled_labels(labels, "toxic", "max", sample)
     low = labels.groupBy("doc_id").agg(F.coalesce(F.max((F.col("quality") == 0).cast("int")), F.lit(0)).alias("low_quality"))
     chosen = chosen.join(low, "doc_id").select("doc_id", "label", "low_quality")
@@ -174,6 +175,7 @@ def _scorer(chain: Chain, bits: int):
 
 def score(docs: DataFrame, chain: Chain, bits: int = BITS) -> DataFrame:
     """docs (doc_id, text): returns doc_id and a probability for each category."""
+    small_batches(docs.sparkSession)
     scores = _scorer(chain, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
