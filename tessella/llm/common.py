@@ -44,11 +44,20 @@ def _offsets(array: pa.Array) -> np.ndarray:
     return np.frombuffer(array.buffers()[1], kind)[array.offset : array.offset + len(array) + 1].astype(np.int64) if len(array) else np.zeros(1, np.int64)
 
 
+def _library(call: str, *arguments: int) -> None:
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        getattr(ctypes.CDLL(None), call)(*arguments)
+
+
+#: Blocks of 4 MB and more go back to the machine when they are freed (mallopt's M_MMAP_THRESHOLD): Python workers live on,
+#: and what they keep of each task's arrays adds up.
+_library("mallopt", -3, 4 << 20)
+
+
 def tidy() -> None:
-    """Gives memory that a task has freed back to the machine: Python workers live on, and what they keep adds up."""
+    """Gives smaller memory that a task has freed back to the machine."""
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-        ctypes.CDLL(None).malloc_trim(0)
+    _library("malloc_trim", 0)
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
