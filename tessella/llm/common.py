@@ -52,6 +52,7 @@ def _library(call: str, *arguments: int) -> None:
 #: Blocks of 4 MB and more go back to the machine when they are freed (mallopt's M_MMAP_THRESHOLD): Python workers live on,
 #: and what they keep of each task's arrays adds up.
 _library("mallopt", -3, 4 << 20)
+pa.set_memory_pool(pa.system_memory_pool())  # so that this holds for Arrow's batches, too
 
 
 def tidy() -> None:
