@@ -170,8 +170,11 @@ def _visits(index: Index, asked: DataFrame, only: Column | None) -> DataFrame:
     return leaves.groupBy("l_tile", "qb").cogroup(mine.groupBy("q_tile", "q_qb")).applyInArrow(run, "query_id long, block string, part int")
 
 
-def _met(index: Index, asked: DataFrame, n_asked: int, visits: DataFrame | None, run: Callable, schema: str, columns: list[str], only: Column | None = None) -> DataFrame:
-    """Blocks and the queries (asked, by query_id) that visit them, a group of queries at a time. visits None: all blocks of a few."""
+def _met(index: Index, asked: DataFrame, n_asked: int, visits: DataFrame | None, run: Callable, schema: str, columns: list[str], only: Column | None = None, own_leaf: bool = False) -> DataFrame:
+    """Blocks and the queries (asked, by query_id) that visit them, a group of queries at a time. visits None: all blocks of a few.
+
+    own_leaf: of a block only the leaves that queries ask for.
+    """
     entries, n_queries = index.entries, max(1, -(-n_asked // BLOCK_QUERIES))
     qb = F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int")
     if visits is None:
@@ -182,6 +185,8 @@ def _met(index: Index, asked: DataFrame, n_asked: int, visits: DataFrame | None,
         parts = [r.part for r in visits.select("part").distinct().collect()]  # PARTS at most
         series = entries.filter(F.col("part").isin(parts)).join(visits.select("part", "block", "qb").distinct(), ["part", "block"])
         queries = asked.join(visits.drop("part"), "query_id")
+        if own_leaf:
+            series = series.join(asked.select("leaf").distinct(), "leaf", "left_semi")
     series = (series.filter(only) if only is not None else series).select("block", "qb", "series_id", "values", "sax", "leaf", "kept", "head")
     queries = queries.select(F.col("block").alias("q_block"), F.col("qb").alias("q_qb"), *columns)
     return series.groupBy("block", "qb").cogroup(queries.groupBy("q_block", "q_qb")).applyInArrow(run, schema)
@@ -207,7 +212,7 @@ def approximate(queries: DataFrame, index: Index, k: int = 1) -> DataFrame:
                 found.append((q_ids[asking[i]], ids[rows[j]], d))
         return _best(*(np.concatenate(f) for f in zip(*found, strict=True)), k)
 
-    return _top(_met(index, asked, asked.count(), visits, run, FOUND, ["query_id", "leaf", "values"]), k)
+    return _top(_met(index, asked, asked.count(), visits, run, FOUND, ["query_id", "leaf", "values"], own_leaf=True), k)
 
 
 def seeded(queries: DataFrame, index: Index, k: int = 1) -> tuple[DataFrame, DataFrame]:
