@@ -11,13 +11,15 @@ copies give thousands of pairs and not millions; those whose sizes and signature
 standard deviations below) are checked, a hub's text going once to dozens of members; links found are united. Then,
 in bands that still hold different components, all pairs of different components are compared by signature, in tiles of
 bounded rows and bytes, and checked where they meet, so that a tile returns its links and not its pairs. Members of a
-band's largest component meet only the others. Bands with more than four tiles' worth of others are narrowed first, to
-members that share a second band, and a third if need be, so that a passage that many documents share doesn't pair all.
-Checks read the whole texts and compare full sets, in whole numbers. The texts that bands need are fetched once.
+band's largest component meet only the others. Bands with more others than a tile holds, such as those of a passage that
+many documents share, go an exact way instead: their members meet by each shingle of their prefixes. A prefix is a set's
+first shingles, the rarest first, as many as leave fewer than a link needs: sets that reach the threshold share one of
+them. The order, by bounded counters and then by hash, is the same for all sets, so no link depends on the counters.
+Prefix groups are tiled like bands, whatever their size. Checks read the whole texts and compare full sets, in whole
+numbers. The texts that bands need are fetched once.
 
 Every pair of a band is so either checked, ruled out or already joined by links. A pair of exactly the threshold shares
-no band of 32 x 4 with a chance under 6e-6, no second one besides a hot one with one under 8e-5, and is ruled out with
-one under 4e-6.
+no band of 32 x 4 with a chance under 6e-6, and is ruled out with one under 4e-6, or 1e-12 among a wide band's members.
 
 Rules: null, empty and wordless texts have the empty set and link with nothing; a text of fewer than 5 words has
 its whole sequence as the one shingle. Rows with a null id link with nothing and are kept. Rows that repeat an
@@ -41,7 +43,10 @@ from .textkernel import mix, shingle_sets
 PLACES, ROWS_OF_BAND, SHINGLE = 128, 4, 5
 #: Members of a tile's side at most, and of a band's largest component at least; bytes of its sets; members of a star that a hub goes to at once.
 TILE, SIDE, TILE_BYTES, STAR = 1024, 128, 1 << 25, 64
-NARROWINGS = 2
+#: Counters of shingles in wide bands, which order prefixes.
+COUNTERS = 1 << 18
+#: Standard deviations under the threshold from which on signatures rule a pair out, and in prefix groups, whose band is PREFIX.
+SPREADS, PREFIX_SPREADS, PREFIX = 4.5, 8.0, -1
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -113,6 +118,11 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def _least(percent: int, spreads: float) -> int:
+    """Places in which the signatures of a pair at the threshold agree at least, but for so many standard deviations' chance."""
+    return int(percent / 100 * PLACES - spreads * (percent / 100 * (1 - percent / 100) * PLACES) ** 0.5)
+
+
 def _near(least: int):
     """Keeps the pairs (a, b, signature_a, signature_b) whose signatures agree in so many places."""
 
@@ -152,11 +162,12 @@ class _Tile:
     """Members of one band's tile. Pairs to decide: of different components, one of each side, signatures near enough.
 
     Pairs likely to be links are decided wherever they meet, so that what they join is known in each tile; the others
-    only in the first band that they share.
+    only in the first band that they share, or in any prefix group.
     """
 
-    def __init__(self, table: pa.Table, least: int, percent: int):
+    def __init__(self, table: pa.Table, percent: int):
         self.band, self.likely = table.column("band").to_numpy(), percent / 100 * PLACES
+        least = _least(percent, PREFIX_SPREADS if (self.band == PREFIX).any() else SPREADS)
         self.reps, self.component = table.column("rep").to_numpy(), table.column("component").to_numpy()
         low, high, part = (table.column(c).to_numpy() for c in ("low", "high", "part"))
         self.same, self.left, self.least = bool((low == high).all()), part == low, least
@@ -169,7 +180,8 @@ class _Tile:
             others = np.arange(i + 1, len(self.reps)) if self.same else np.flatnonzero(~self.left)
             others = others[self.component[others] != self.component[i]]
             agree = (self.signatures[others] == self.signatures[i]).sum(axis=1)
-            some = (agree >= self.likely) | (agree >= self.least) & (self._first_band(i, others) == self.band[i])
+            first = self.band[i] == PREFIX or self._first_band(i, others) == self.band[i]
+            some = (agree >= self.likely) | (agree >= self.least) & first
             others, agree = others[some], agree[some]
             found.append(np.stack([np.full(len(others), i), others, agree]))
         i, j, agree = np.concatenate(found, axis=1)
@@ -180,24 +192,24 @@ class _Tile:
         return (self.signatures[others] == self.signatures[i]).reshape(len(others), PLACES // ROWS_OF_BAND, ROWS_OF_BAND).all(axis=2).argmax(axis=1)
 
 
-def _undecided(least: int, percent: int):
+def _undecided(percent: int):
     """Keeps a tile's members that have a pair to decide."""
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = _Tile(table, least, percent).pairs()
+        i, j = _Tile(table, percent).pairs()
         return table.take(pa.array(np.union1d(i, j)))
 
     return run
 
 
-def _decided(least: int, percent: int):
+def _decided(percent: int):
     """Links between components in a tile, from full sets: at most one fewer than its components.
 
     The likeliest pairs are checked first; pairs whose components have been joined meanwhile need no check.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        tile, sets = _Tile(table, least, percent), []
+        tile, sets = _Tile(table, percent), []
         for batch in slices(iter(table.select(["text"]).combine_chunks().to_batches()), "text"):
             elements, begins = shingle_sets(*text_bytes(batch.column(0)), SHINGLE)
             sets += [elements[a:b].copy() for a, b in zip(begins, begins[1:], strict=False)]
@@ -228,18 +240,51 @@ def _mixed(rest: DataFrame) -> DataFrame:
     return found.filter("n > big.n").select("key", F.col("big.component").alias("big"), F.col("big.n").alias("in_big"), others, F.col("big.bytes").alias("big_bytes"), (F.col("bytes") - F.col("big.bytes")).alias("other_bytes"))
 
 
-def _narrowed(rest: DataFrame, classes: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """rest with the bands of more than hot members replaced by narrower ones, and its bands."""
-    bands = classes.select("rep", F.posexplode("bands").alias("other", "value"))
-    for _ in range(NARROWINGS):
-        mixed = written(_mixed(rest), "mixed")
-        wide = mixed.filter(F.col("others") > hot).select("key")
-        if wide.isEmpty():
-            return rest, mixed
-        # By a band after the one that they share already: a pair of three bands meets in each order once.
-        closer = rest.join(wide, "key").join(bands, "rep").filter(F.col("other") > F.col("last"))
-        closer = closer.withColumn("key", F.xxhash64("key", "other", "value")).withColumn("last", F.col("other")).select(*rest.columns)
-        rest = written(rest.join(wide, "key", "left_anti").unionByName(closer), "narrowed")
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's texts fall on each counter."""
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in slices(batches, "text"):
+        elements, _ = shingle_sets(*text_bytes(batch.column(1)), SHINGLE)
+        counts += np.bincount((elements % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["counter", "n"])
+    tidy()
+
+
+def _prefixes(common: np.ndarray, percent: int):
+    """The shingles of each text's prefix: the first by counter and hash, one more than a link may lack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            elements, begins = shingle_sets(*text_bytes(batch.column(1)), SHINGLE)
+            sizes = np.diff(begins)
+            texts = np.repeat(np.arange(batch.num_rows), sizes)
+            order = np.lexsort((elements, common[(elements % np.uint64(COUNTERS)).astype(np.int64)], texts))
+            lengths = sizes - -(-percent * sizes // 100) + 1
+            some = np.arange(len(elements)) - begins[texts] < lengths[texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(texts[some])), pa.array(elements[order[some]].view(np.int64))], ["rep", "shingle"])
+        tidy()
+
+    return run
+
+
+def _narrowed(rest: DataFrame, texts: DataFrame, percent: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """rest with the bands of more than hot members besides their largest component replaced by groups of equal prefix shingles, and its bands."""
+    mixed = written(_mixed(rest), "mixed")
+    wide = mixed.filter(F.col("others") > hot).select("key")
+    if wide.isEmpty():
+        return rest, mixed
+    crowd = written(rest.join(wide, "key").groupBy("rep", "component").agg(F.max("n_shingles").alias("n_shingles")), "crowd")
+    own = texts.select(F.col("doc_id").alias("rep"), "text").join(crowd.select("rep"), "rep", "left_semi")
+    counted = own.mapInArrow(_counted, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(COUNTERS, np.int64)
+    common[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    prefixes = own.mapInArrow(_prefixes(common, percent), "rep long, shingle long").distinct()
+    key = F.xxhash64(F.lit("prefix"), "shingle").alias("key")
+    closer = crowd.join(prefixes, "rep").select(key, F.lit(PREFIX).alias("band"), "rep", "component", "n_shingles")
+    rest = written(rest.join(wide, "key", "left_anti").unionByName(closer), "narrowed")
+    for done in (mixed, crowd):
+        remove(done)
     return rest, written(_mixed(rest), "mixed")
 
 
@@ -267,7 +312,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tile: int = TILE) -> Dat
     digest = ["n_shingles", "digest_a", "digest_b"]
     classes = able.groupBy(*digest).agg(F.min(F.struct("doc_id", "bands", "signature")).alias("least"))
     classes = written(classes.select(*digest, F.col("least.doc_id").alias("rep"), "least.bands", "least.signature"), "classes")
-    least = int(percent / 100 * PLACES - 4.5 * (percent / 100 * (1 - percent / 100) * PLACES) ** 0.5)
 
     # Links of an id: an id of several rows is in several classes; each of them links to the id's smallest representative.
     of_id = able.select("doc_id", *digest).distinct().join(classes.select(*digest, "rep"), digest).select("doc_id", "rep")
@@ -281,7 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tile: int = TILE) -> Dat
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"signature_{c}"))
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).select("a", "b", "signature_a", "signature_b")
-    pairs = near = written(pairs.mapInArrow(_near(least), "a long, b long").distinct(), "pairs")
+    pairs = near = written(pairs.mapInArrow(_near(_least(percent, SPREADS)), "a long, b long").distinct(), "pairs")
     needed = pairs.select("a").union(pairs.select("b")).union(met.filter("n > 2").select("rep")).distinct()
     texts = written(docs.join(needed.withColumnRenamed("a", "doc_id"), "doc_id"), "texts")
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
@@ -294,12 +338,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tile: int = TILE) -> Dat
 
     # What no star has decided: pairs of different components, none of them the hub, in bands of three and more.
     rest = met.filter("n > 2 and rep <> hub").join(reached, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = rest.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep").select("key", "band", F.col("band").alias("last"), "rep", "component", "n_shingles")
-    rest, mixed = _narrowed(rest, classes, 4 * tile)
+    rest = rest.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep").select("key", "band", "rep", "component", "n_shingles")
+    rest, mixed = _narrowed(rest, texts, percent, tile)
     rest = _tiled(rest, mixed, tile)
     rest = rest.join(classes.select("rep", "signature"), "rep").select("key", "low", "high", "band", "rep", "component", "part", "signature")
-    rest = written(rest.groupBy("key", "low", "high").applyInArrow(_undecided(least, percent), rest.schema), "undecided")
-    late = rest.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("key", "low", "high").applyInArrow(_decided(least, percent), "a long, b long")
+    rest = written(rest.groupBy("key", "low", "high").applyInArrow(_undecided(percent), rest.schema), "undecided")
+    late = rest.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("key", "low", "high").applyInArrow(_decided(percent), "a long, b long")
     late = written(late, "late")
     for done in (near, texts, met, mixed, rest):  # read by no later plan
         remove(done)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import components, minhash
@@ -113,6 +114,49 @@ def test_a_group_of_varied_copies(spark):
     assert {r.doc_id: r.component_id for r in found} == brute(rows)
 
 
+def crowded():
+    """Two linked texts that share one band only, which a dozen texts with the band's shingles share as well, linked with nothing."""
+    rng = random.Random(79389)
+    a = [f"w{rng.randrange(10**6)}" for _ in range(64)]
+    b = a[:-8] + [f"v{rng.randrange(10**6)}" for _ in range(8)]
+
+    def bands(texts):
+        values = minhash.signatures(*minhash.shingle_sets(*minhash.text_bytes(pa.array(texts)), 5))
+        return values.reshape(len(texts), -1, minhash.ROWS_OF_BAND)
+
+    pair = bands([" ".join(a), " ".join(b)])
+    (band,) = np.flatnonzero((pair[0] == pair[1]).all(axis=1))
+    least = bands([" ".join(a[k : k + 5]) for k in range(52)])[:, band].argmin(axis=0)
+    core = " ".join(" ".join(a[k : k + 5]) for k in sorted(set(least.tolist())))
+    texts = [f"{core} " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(6)) for _ in range(100)]
+    others = [t for t, own in zip(texts, bands(texts), strict=True) if (own[band] == pair[0][band]).all()][:12]
+    assert len(others) == 12
+    return [*enumerate(others), (50, " ".join(a)), (51, " ".join(b))]
+
+
+def test_a_wide_band_loses_no_link(spark):
+    """Tiles of 2 members: what a band of 13 others joins is found, though the pair shares no second band."""
+    rows = crowded()
+    expected = brute(rows)
+    assert expected == {i: min(i, 50) for i, _ in rows}
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=2).collect()
+    assert {r.doc_id: r.component_id for r in found} == expected
+
+
+def test_prefixes_meet():
+    """Sets that reach the threshold share a shingle of their prefixes, in whatever order the counters put them."""
+    rng = random.Random(9)
+    for _ in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((1, 4, 5, 7, 8, 20, 90)))]
+        texts = [" ".join(words), " ".join(words[: len(words) - rng.randrange(len(words) // 6 + 1)])]
+        common = np.array([rng.randrange(5) for _ in range(minhash.COUNTERS)])
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(texts)], ["doc_id", "text"])
+        (out,) = minhash._prefixes(common, 75)(iter([batch]))
+        first, second = ({s for r, s in zip(*(c.to_pylist() for c in out.columns), strict=True) if r == k} for k in (0, 1))
+        x, y = map(shingles, texts)
+        assert first and second and (first & second or 100 * len(x & y) < 75 * len(x | y))
+
+
 def test_odd_rows(spark, odd, empty):
     found = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()), key=str)
     expected = {0: (3, 0), 1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (3, 0), 5: (6, 5), 6: (6, 5), 7: (1, 7), 8: (1, 8), 9: (1, 8), 10: (2, 10)}
