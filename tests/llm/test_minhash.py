@@ -114,8 +114,8 @@ def test_a_group_of_varied_copies(spark):
     assert {r.doc_id: r.component_id for r in found} == brute(rows)
 
 
-def crowded():
-    """Two linked texts that share one band only, which a dozen texts with the band's shingles share as well, linked with nothing."""
+def crowded(n):
+    """Two linked texts that share one band only, which n texts with the band's shingles share as well, linked with nothing."""
     rng = random.Random(79389)
     a = [f"w{rng.randrange(10**6)}" for _ in range(64)]
     b = a[:-8] + [f"v{rng.randrange(10**6)}" for _ in range(8)]
@@ -128,17 +128,18 @@ def crowded():
     (band,) = np.flatnonzero((pair[0] == pair[1]).all(axis=1))
     least = bands([" ".join(a[k : k + 5]) for k in range(52)])[:, band].argmin(axis=0)
     core = " ".join(" ".join(a[k : k + 5]) for k in sorted(set(least.tolist())))
-    texts = [f"{core} " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(6)) for _ in range(100)]
-    others = [t for t, own in zip(texts, bands(texts), strict=True) if (own[band] == pair[0][band]).all()][:12]
-    assert len(others) == 12
-    return [*enumerate(others), (50, " ".join(a)), (51, " ".join(b))]
+    others = []
+    while len(others) < n:
+        texts = [f"{core} " + " ".join(f"x{rng.randrange(10**9)}" for _ in range(12)) for _ in range(n)]
+        others += [t for t, own in zip(texts, bands(texts), strict=True) if (own[band] == pair[0][band]).all()]
+    return [*enumerate(others[:n]), (n, " ".join(a)), (n + 1, " ".join(b))]
 
 
 def test_a_wide_band_loses_no_link(spark):
     """Tiles of 2 members: what a band of 13 others joins is found, though the pair shares no second band."""
-    rows = crowded()
+    rows = crowded(12)
     expected = brute(rows)
-    assert expected == {i: min(i, 50) for i, _ in rows}
+    assert expected == {i: min(i, 12) for i, _ in rows}
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=2).collect()
     assert {r.doc_id: r.component_id for r in found} == expected
 

@@ -6,7 +6,7 @@ import corpus_pipeline
 from tessella.llm import bpe, minhash, mixing, quality, toxicity
 from tessella.llm.entries import QUERIES, SQL, tokenizer_path
 
-from test_minhash import brute
+from test_minhash import brute, crowded
 
 
 def test_stages_in_turn(spark, documents, sf_dir, labels):
@@ -51,6 +51,13 @@ def test_stages_take_odd_tables(spark, odd, empty, labels, sf_dir):
     assert sorted(str((r.doc_id, r.text)) for r in bpe.decode(ids, tokenizer_path("piece_bpe_32k.model")).collect()) == sorted(str((r[0], r[1] or "")) for r in rows)
 
 
+def test_a_wide_band_keeps_one_of_each_group(spark, sf_dir):
+    """As wide as only bands of the operator's own settings are: the one linked pair shares nothing else."""
+    rows = crowded(4200)
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(4201))
+
+
 def test_registered_queries():
     assert len(QUERIES) == 10 and set(SQL) <= set(QUERIES)
     assert minhash.PLACES % minhash.ROWS_OF_BAND == 0
