@@ -288,8 +288,8 @@ def _narrowed(rest: DataFrame, texts: DataFrame, percent: int, hot: int) -> tupl
     return rest, written(_mixed(rest), "mixed")
 
 
-def _tiled(rest: DataFrame, mixed: DataFrame, tile: int) -> DataFrame:
-    """rest with a row for each tile (key, low, high) of a member: all of a band's pairs but those within its largest component.
+def _tiled(rest: DataFrame, mixed: DataFrame, classes: DataFrame, tile: int) -> DataFrame:
+    """rest with signatures and a row for each tile (key, low, high) of a member: all of a band's pairs but those within its largest component.
 
     That component's members are in parts of at least as many as the others, so that neither side is copied more often
     than the other is large; the others meet each other too.
@@ -298,10 +298,11 @@ def _tiled(rest: DataFrame, mixed: DataFrame, tile: int) -> DataFrame:
     side = F.greatest(F.lit(min(SIDE, tile)), F.least("others", F.lit(tile)))
     sizes = mixed.select("key", "big", at_least("others", F.lit(tile), "other_bytes").alias("outer"), at_least("in_big", side, "big_bytes").alias("inner"))
     rest = rest.select("key", "band", "rep", "component").join(sizes, "key").withColumn("in", F.col("component") == F.col("big"))
+    rest = rest.join(classes.select("rep", "signature"), "rep")  # once for a band's member, before the tiles copy it
     part = F.when(F.col("in"), F.col("outer") + F.pmod(F.xxhash64("rep"), "inner")).otherwise(F.pmod(F.xxhash64("rep"), "outer")).cast("int")
     last = F.when(F.col("in"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
     rest = rest.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    return rest.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "band", "rep", "component", "part")
+    return rest.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "band", "rep", "component", "part", "signature")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, tile: int = TILE) -> DataFrame:
@@ -315,7 +316,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tile: int = TILE) -> Dat
 
     # Links of an id: an id of several rows is in several classes; each of them links to the id's smallest representative.
     of_id = able.select("doc_id", *digest).distinct().join(classes.select(*digest, "rep"), digest).select("doc_id", "rep")
-    members = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    members = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
     members = written(members, "bands")
     met = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     met = written(members.join(met, "key"), "met")
@@ -338,10 +339,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tile: int = TILE) -> Dat
 
     # What no star has decided: pairs of different components, none of them the hub, in bands of three and more.
     rest = met.filter("n > 2 and rep <> hub").join(reached, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = rest.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep").select("key", "band", "rep", "component", "n_shingles")
+    rest = rest.select("key", "band", "rep", "component", "n_shingles")
     rest, mixed = _narrowed(rest, texts, percent, tile)
-    rest = _tiled(rest, mixed, tile)
-    rest = rest.join(classes.select("rep", "signature"), "rep").select("key", "low", "high", "band", "rep", "component", "part", "signature")
+    rest = _tiled(rest, mixed, classes, tile)
     rest = written(rest.groupBy("key", "low", "high").applyInArrow(_undecided(percent), rest.schema), "undecided")
     late = rest.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("key", "low", "high").applyInArrow(_decided(percent), "a long, b long")
     late = written(late, "late")

@@ -144,6 +144,40 @@ def test_a_wide_band_loses_no_link(spark):
     assert {r.doc_id: r.component_id for r in found} == expected
 
 
+def test_members_are_looked_up_once(spark, monkeypatch):
+    """Joins by member make a row for a band's member and one for a tile's undecided one; nothing else, and none before tiles copy."""
+    rng, made, told = random.Random(5), [], {}
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(rng.randrange(12)):
+            copy[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    join, written = type(docs).join, minhash.written
+
+    def joined(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "rep" and how in (None, "inner"):
+            made.append(out.count())
+        return out
+
+    def counted(df, tag):
+        out = written(df, tag)
+        told[tag] = out.count()
+        if tag == "mixed":
+            told["members"] = out.agg(minhash.F.sum(minhash.F.col("in_big") + minhash.F.col("others"))).first()[0]
+        return out
+
+    monkeypatch.setattr(type(docs), "join", joined)
+    monkeypatch.setattr(minhash, "written", counted)
+    found = minhash.near_duplicates(docs).collect()
+    monkeypatch.undo()
+    assert {r.doc_id: r.component_id for r in found} == brute(rows)
+    assert told["members"] > 1000 and sum(made) <= told["members"] + told["undecided"]
+
+
 def test_prefixes_meet():
     """Sets that reach the threshold share a shingle of their prefixes, in whatever order the counters put them."""
     rng = random.Random(9)
