@@ -13,7 +13,7 @@ against the vocabulary), so texts are cut into units at these places. A unit's s
 its draws skip. They are drawn as gaps, the merges between a skip and the next. A state is a unit and the gaps so far;
 it knows the ids if nothing more is skipped, and the merges after its last skip: a longer gap ends there, a shorter one
 leads to a next state. States hold nothing of a row; they are made as draws reach them, in arrays of many at a time,
-and kept in a bounded memory that changes no result.
+and kept in arrays, whose bounded size changes no result: a batch's ids are gathered from there in one step.
 
 Rules: null and empty texts have no ids and decode to the empty text. U+2581, which the model writes for a blank,
 is encoded as its three bytes, so that it isn't taken for one. encode numbers equal rows as copies, which differ;
@@ -24,8 +24,10 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -42,9 +44,26 @@ ALPHA, KEPT_STATES, LONG_UNIT = 0.1, 1_000_000, 48
 NEVER = 1 << 30
 BLANK = "▁"
 _NO, _STEP = np.float32(np.inf), np.uint64(0x9E3779B97F4A7C15)
+_STATE = np.dtype([("unit", "i4"), ("parent", "i4"), ("gap", "i4"), ("depth", "i4"), ("merges", "i4"), ("n_ids", "i4"), ("ids", "i8"), ("slots", "i8")])
+_UNIT = np.dtype([("state", "i4"), ("length", "i4"), ("symbols", "i8")])
 _open: dict[tuple, MergeDropout] = {}
 
 
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a longer copy, for so many entries; those to come are not set, so that they take no memory yet."""
+    if size <= len(array):
+        return array
+    longer = np.empty(max(size, 2 * len(array)), array.dtype)
+    longer[: len(array)] = array
+    return longer
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of ranges, one after the other."""
+    ends = np.cumsum(counts, dtype=np.int64)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class MergeDropout:
     def __init__(self, path: str, alpha: float = ALPHA, seed: int = 23, kept: int = KEPT_STATES):
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -78,8 +97,15 @@ class MergeDropout:
                 left, right = symbol.get(p[:k]), symbol.get(p[k:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = i
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
+        bits = max(8, (4 * len(pairs)).bit_length())
+        self.shift = np.uint64(64 - bits)  # pairs by hash, then the next free slot; -1: none
+        self.pair_keys, self.pair_ids = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        taken: set[int] = set()
+        for pair, slot in zip(pairs, self._slot(np.array(list(pairs), np.int64)).tolist(), strict=True):
+            while slot in taken:
+                slot = (slot + 1) % len(self.pair_keys)
+            taken.add(slot)
+            self.pair_keys[slot], self.pair_ids[slot] = pair, pairs[pair]
         self.cost = np.array([-p.score for p in model.pieces], np.float32)
         self.cost_list = self.cost.tolist()
         self.pair_dict = pairs
@@ -102,11 +128,21 @@ class MergeDropout:
     def _candidates(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cost (infinite: no merge) and piece of each pair of symbols."""
         pair = (left.astype(np.int64) << 32) | right
-        at = np.minimum(np.searchsorted(self.pair_keys, pair), len(self.pair_keys) - 1)
-        piece = self.pair_ids[at]
-        ok = (self.pair_keys[at] == pair) & (left >= 0) & (right >= 0)
+        slot = self._slot(pair)
+        found = self.pair_keys[slot]
+        other = np.nonzero((found != pair) & (found != -1))
+        while len(other[0]):
+            slot[other] = (slot[other] + 1) % len(self.pair_keys)
+            found[other] = self.pair_keys[slot[other]]
+            going = (found[other] != pair[other]) & (found[other] != -1)
+            other = tuple(x[going] for x in other)
+        piece = self.pair_ids[slot]
+        ok = (found == pair) & (left >= 0) & (right >= 0)
         return np.where(ok, self.cost[piece], _NO), piece
 
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.view(np.uint64) * _STEP) >> self.shift).view(np.int64)
+
     def _gaps(self, keys: np.ndarray, number: int | np.ndarray) -> np.ndarray:
         """Merges before the next skip, for the occurrences of these keys after so many skips."""
         if self.alpha <= 0:
@@ -175,82 +211,117 @@ class MergeDropout:
         return self._drawn(units, self._keys(units, salt))
 
     def _forget(self) -> None:
-        self.state: dict[str, int] = {}  # of a unit without skips; -1: long
-        self._unit: list[str] = []
-        self._before: list[tuple[int, ...]] = []  # gaps
-        self._ids: list[bytes] = []
-        self._count = self._slots = 0
-        self._merges, self._first = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.state: dict[str, int] = defaultdict(itertools.count().__next__)  # a unit's number
+        self._count = self._units = self._n_symbols = self._n_ids = self._n_slots = 0
+        self._states, self._unit = np.empty(1024, _STATE), np.empty(1024, _UNIT)  # a unit's state without skips; -1: long
+        self._all_symbols, self._all_ids = np.zeros(4096, np.int32), np.zeros(4096, "<u4")
         self._next = np.zeros(4096, np.int32)  # state by first slot of a state + gap; -1: not made yet
 
-    def _make(self, units: list[str], before: list[tuple[int, ...]]) -> np.ndarray:
-        """New states."""
-        ids, merges = self._merged(units, before)
-        start, slots = self._count, self._slots
-        self._count, self._slots = start + len(units), slots + int(merges.sum())
-        while len(self._merges) < self._count:
-            self._merges, self._first = (np.concatenate([x, np.zeros_like(x)]) for x in (self._merges, self._first))
-        while len(self._next) < self._slots:
-            self._next = np.concatenate([self._next, np.zeros_like(self._next)])
-        self._next[slots : self._slots] = -1
-        self._merges[start : self._count] = merges
-        self._first[start : self._count] = slots + np.cumsum(merges) - merges
-        self._unit += units
-        self._before += before
-        self._ids += ids
+    def _add(self, units: np.ndarray, parents: np.ndarray, gaps: np.ndarray, depths: np.ndarray, made: tuple) -> np.ndarray:
+        """New states, with what _agenda has made of them."""
+        (ids, starts, counts), merges = made
+        start, slots, held = self._count, self._n_slots, self._n_ids
+        self._count, self._n_slots, self._n_ids = start + len(units), slots + int(merges.sum()), held + len(ids)
+        self._states, self._next, self._all_ids = _room(self._states, self._count), _room(self._next, self._n_slots), _room(self._all_ids, self._n_ids)
+        self._next[slots : self._n_slots] = -1
+        self._all_ids[held : self._n_ids] = ids
+        values = {"unit": units, "parent": parents, "gap": gaps, "depth": depths, "merges": merges, "n_ids": counts, "ids": held + starts, "slots": slots + np.cumsum(merges) - merges}
+        for name, value in values.items():
+            self._states[name][start : self._count] = value
         return np.arange(start, self._count)
 
-    def _drawn(self, units: Sequence[str], keys: np.ndarray) -> list[bytes]:
-        """Ids of each unit, an occurrence with a key of its own."""
+    def _meet(self, units: list[str]) -> None:
+        """Units that have just been numbered: their symbols and states without skips, but for long ones."""
+        numbers = np.arange(self._units, self._units + len(units))
+        self._units += len(units)
+        self._unit = _room(self._unit, self._units)
+        lengths = np.array([len(u) for u in units], np.int64)
+        short = lengths <= LONG_UNIT
+        self._unit["state"][numbers] = -1
+        few, numbers, lengths = [u for u in units if len(u) <= LONG_UNIT], numbers[short], lengths[short]
+        start, self._n_symbols = self._n_symbols, self._n_symbols + int(lengths.sum())
+        self._all_symbols = _room(self._all_symbols, self._n_symbols)
+        self._all_symbols[start : self._n_symbols] = self._symbols("".join(few))
+        self._unit["length"][numbers], self._unit["symbols"][numbers] = lengths, start + np.cumsum(lengths) - lengths
+        self._unit["state"][numbers] = self._add(numbers, -1, 0, 0, self._merged(few, [()] * len(few)))
+
+    def _later(self, parents: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """New states, each of a parent and the gap to one more skip."""
+        units, depths = self._states["unit"][parents], self._states["depth"][parents] + 1
+        before = np.full((len(parents), int(depths.max()) + 1), NEVER, np.int32)
+        rows, now, depth, gap = np.arange(len(parents)), parents, depths, gaps
+        while len(rows):
+            before[rows, depth - 1] = gap
+            some = self._states["depth"][now] > 0
+            rows, at = rows[some], now[some]
+            depth, gap, now = self._states["depth"][at], self._states["gap"][at], self._states["parent"][at]
+        made = self._agenda(self._all_symbols, self._unit["symbols"][units], self._unit["length"][units], before)
+        return self._add(units, parents, gaps, depths, made)
+
+    def _flat(self, units: Sequence[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, an occurrence with a key of its own, and where each unit's begin (and the last one's end)."""
         if self._count > self.kept:
             self._forget()
-        new = list(set(units).difference(self.state))
-        short = [u for u in new if len(u) <= LONG_UNIT]
-        self.state.update((u, -1) for u in new if len(u) > LONG_UNIT)
-        self.state.update(zip(short, self._make(short, [()] * len(short)).tolist(), strict=True))
-        at = np.fromiter(map(self.state.__getitem__, units), np.int64, len(units))
+        numbers = np.fromiter(map(self.state.__getitem__, units), np.int64, len(units))
+        if new := max(0, int(numbers.max(initial=-1)) + 1 - self._units):
+            self._meet(list(itertools.islice(reversed(self.state), new))[::-1])
+        at = self._unit["state"][numbers].astype(np.int64)
         long = np.flatnonzero(at < 0)
         going, skips = np.flatnonzero(at >= 0), 0
         while len(going):
             gap, now = self._gaps(keys[going], skips), at[going]
-            more = gap < self._merges[now]
+            more = gap < self._states["merges"][now]
             going, gap, now = going[more], gap[more], now[more]
-            slots = self._first[now] + gap
-            missing, one = np.unique(slots[self._next[slots] < 0], return_index=True)
-            if len(missing):
-                absent = np.flatnonzero(self._next[slots] < 0)[one]
-                pairs = list(zip(now[absent].tolist(), gap[absent].tolist(), strict=True))
-                made = self._make([self._unit[s] for s, _ in pairs], [(*self._before[s], g) for s, g in pairs])
-                self._next[missing] = made
-            at[going] = self._next[slots]
+            slots = self._states["slots"][now] + gap
+            after = self._next[slots]
+            if len(absent := np.flatnonzero(after < 0)):
+                missing, one = np.unique(slots[absent], return_index=True)
+                self._next[missing] = self._later(now[absent[one]], gap[absent[one]])
+                after = self._next[slots]
+            at[going] = after
             skips += 1
-        if not len(long):
-            return list(map(self._ids.__getitem__, at.tolist()))
-        out = [self._ids[s] if s >= 0 else b"" for s in at.tolist()]
-        for i in long.tolist():
-            out[i] = self._finished(self._long(units[i], int(keys[i])))
+        counts = self._states["n_ids"][at].astype(np.int64)
+        drawn = [np.frombuffer(self._finished(self._long(units[i], int(keys[i]))), "<u4") for i in long.tolist()]
+        counts[long] = [len(x) for x in drawn]
+        begins = np.concatenate([[0], np.cumsum(counts)])
+        starts = self._states["ids"][at]
+        starts[long] = 0
+        out = self._all_ids[np.minimum(_ranges(starts, counts), len(self._all_ids) - 1)]
+        for i, x in zip(long.tolist(), drawn, strict=True):
+            out[begins[i] : begins[i + 1]] = x
             self.state.pop(units[i], None)
-        return out
+        return out, begins
+
+    def _drawn(self, units: Sequence[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of each unit, an occurrence with a key of its own."""
+        flat, begins = self._flat(units, keys)
+        return [flat[a:b].tobytes() for a, b in itertools.pairwise(begins.tolist())]
 
-    def _merged(self, units: list[str], before: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray]:
-        """Ids, and merges after the last skip, of units whose skips come after these gaps; units of like length go through the agenda together."""
-        out: list[bytes] = [b""] * len(units)
-        merges = np.zeros(len(units), np.int64)
+    def _merged(self, units: list[str], before: list[tuple[int, ...]]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Ids, and merges after the last skip, of units whose skips come after these gaps."""
         lengths = np.array([len(u) for u in units], np.int64)
+        gaps = np.full((len(units), max(map(len, before), default=0) + 1), NEVER, np.int32)
+        for k, some in enumerate(before):
+            gaps[k, : len(some)] = some
+        return self._agenda(self._symbols("".join(units)).astype(np.int32), np.cumsum(lengths) - lengths, lengths, gaps)
+
+    def _agenda(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, gaps: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Ids (all, starts, counts), and merges after the last skip, of units of these symbols; those of like length go through the agenda together."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        merges = np.zeros(len(lengths), np.int64)
         order = np.argsort(lengths, kind="stable")
         for at in range(0, len(order), 8192):
             rows = order[at : at + 8192]
             width = int(lengths[rows].max())
-            flat = self._symbols("".join(units[i] for i in rows))
-            symbols = np.full((len(rows), width), -1, np.int64)
-            symbols[np.arange(width) < lengths[rows][:, None]] = flat
-            gaps = np.full((len(rows), max(len(before[i]) for i in rows) + 1), NEVER)
-            for k, i in enumerate(rows.tolist()):
-                gaps[k, : len(before[i])] = before[i]
-            self._merge(symbols, gaps, rows, out, merges)
-        return out, merges
-
-    def _merge(self, symbols: np.ndarray, gaps: np.ndarray, rows: np.ndarray, out: list[bytes], merges: np.ndarray) -> None:
+            symbols = np.full((len(rows), width), -1, np.int32)
+            symbols[np.arange(width) < lengths[rows][:, None]] = flat[_ranges(starts[rows], lengths[rows])]
+            self._merge(symbols, gaps[rows], rows, out, merges)
+        found, counts, ids = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4"))
+        begins, n = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        begins[found], n[found] = np.cumsum(counts) - counts, counts
+        return (ids, begins, n), merges
+
+    def _merge(self, symbols: np.ndarray, gaps: np.ndarray, rows: np.ndarray, out: list[tuple[np.ndarray, np.ndarray, np.ndarray]], merges: np.ndarray) -> None:
         cost, piece = self._candidates(symbols[:, :-1], symbols[:, 1:])
         skips, since = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         while len(rows):
@@ -267,7 +338,7 @@ class MergeDropout:
                 going[check] = cost[check, best[check]] < _NO
                 check = check[going[check] & (gaps[check, skips[check]] == 0)]
             if not going.all():
-                self._emit(symbols[~going], rows[~going], out)
+                out.append(self._emitted(symbols[~going], rows[~going]))
                 merges[rows[~going]] = since[~going]
                 symbols, gaps, cost, piece, best, rows, skips, since = (x[going] for x in (symbols, gaps, cost, piece, best, rows, skips, since))
                 each = np.arange(len(rows))
@@ -275,23 +346,23 @@ class MergeDropout:
                     return
             since += 1
             symbols[each, best] = piece[each, best]
-            columns = np.arange(width - 1)
-            symbols = np.take_along_axis(symbols, columns + (columns > best[:, None]), 1)
-            keep = (columns + (columns >= best[:, None]))[:, :-1]
-            cost, piece = np.take_along_axis(cost, keep, 1), np.take_along_axis(piece, keep, 1)
+            columns = np.arange(width)
+            symbols = symbols[columns != best[:, None] + 1].reshape(len(rows), width - 1)
+            keep = columns[:-1] != best[:, None]
+            cost, piece = cost[keep].reshape(len(rows), width - 2), piece[keep].reshape(len(rows), width - 2)
             for to, some in ((best - 1, best > 0), (best, best < width - 2)):
                 r, c = each[some], to[some]
                 cost[r, c], piece[r, c] = self._candidates(symbols[r, c], symbols[r, c + 1])
 
-    def _emit(self, symbols: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
+    def _emitted(self, symbols: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """rows, the number of ids of each, and all ids."""
         solid = symbols >= 0
-        ends = np.cumsum(solid.sum(axis=1)) * 4
-        flat = symbols[solid].astype("<u4").tobytes()
-        odd = (symbols >= self.size).any(axis=1)
-        start = 0
-        for i, end, special, row in zip(rows.tolist(), ends.tolist(), odd.tolist(), range(len(rows)), strict=True):
-            out[i] = self._finished(symbols[row][solid[row]].tolist()) if special else flat[start:end]
-            start = end
+        counts = solid.sum(axis=1)
+        if not (special := (symbols >= self.size).any(axis=1)).any():
+            return rows, counts, symbols[solid].astype("<u4")
+        ids = [np.frombuffer(self._finished(x[x >= 0].tolist()), "<u4") for x in symbols[special]]
+        both = np.concatenate([rows[~special], rows[special]])
+        return both, np.concatenate([counts[~special], [len(x) for x in ids]]), np.concatenate([symbols[~special][solid[~special]].astype("<u4"), *ids])
 
     # -- texts -------------------------------------------------------------------------------------------------
 
@@ -307,12 +378,12 @@ class MergeDropout:
             row = xxhash.xxh3_64_intdigest(f"{self.seed}:{'' if key is None else repr(key)}:{copy}")
             row = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"), row)
             draws.append(mix(np.array([row], np.uint64) + np.arange(sum(plan[-1]), dtype=np.uint64) * _STEP))
-        ids = self._drawn(units, np.concatenate(draws))
-        out, at = [], 0
+        ids, begins = self._flat(units, np.concatenate(draws))
+        out, ends, at = [], begins.tolist(), 0
         for lengths in plan:
             done = []
             for n in lengths:
-                done.append(b"".join(ids[at : at + n]))
+                done.append(ids[ends[at] : ends[at + n]].tobytes())
                 at += n
             out.append(mark.join(done))
         return out

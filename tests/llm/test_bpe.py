@@ -127,3 +127,19 @@ def test_bounded_memory_and_order_change_nothing():
     whole = bpe.MergeDropout(PATH, 0.3).encode(texts, keys)
     small = bpe.MergeDropout(PATH, 0.3, kept=0)
     assert [small.encode([t], [k])[0] for t, k in zip(reversed(texts), reversed(keys), strict=True)] == whole[::-1]
+
+
+def test_ids_from_the_store_are_those_of_the_heap_agenda():
+    """Short, long and piece-less units of many lengths, some known from earlier calls, with stores that grow and are forgotten."""
+    rng = np.random.default_rng(3)
+    for kept in (bpe.KEPT_STATES, 0):
+        model = bpe.MergeDropout(PATH, 0.3, seed=11, kept=kept)
+        for call in range(3):
+            words = ["".join(rng.choice(list("theandiné日🙂"), rng.integers(1, 70))) for _ in range(300)] + ["▁the", "▁understanding"] * 50
+            keys = model._keys([f"{call}:{k}" for k in range(len(words))], 1)
+            flat, begins = model._flat(words, keys)
+            assert len(begins) == len(words) + 1 and begins[-1] == len(flat)
+            for k, word in enumerate(words):
+                assert flat[begins[k] : begins[k + 1]].tobytes() == model._finished(model._long(word, int(keys[k])))
+    empty, begins = model._flat([], np.zeros(0, np.uint64))
+    assert not len(empty) and begins.tolist() == [0]
