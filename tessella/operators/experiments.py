@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,43 +20,60 @@ from . import index, partition, schedule, search
 MODES = ("static", "greedy", "greedy_sorted", "dynamic", "dynamic_sorted")
 
 
-def _loads(costs: Sequence[float], nodes: Sequence[int], n: int) -> list[float]:
-    out = [0.0] * n
-    for c, k in zip(costs, nodes, strict=True):
-        out[k] += c
-    return out
-
-
-def modes(queries: DataFrame, nodes: Sequence[int]) -> DataFrame:
-    """mode, nodes, makespan, total of every scheduling mode, from estimates (query_id, est)."""
-    given = [e for _, e in schedule.folded(queries)]
-    ordered = sorted(given, reverse=True)
-    out = []
-    for n in nodes:
-        size = max(1, len(given) // n)
-        loads = {
-            "static": _loads(given, [min(k // size, n - 1) for k in range(len(given))], n),
-            "greedy": _loads(given, schedule.greedy(given, n), n),
-            "greedy_sorted": _loads(ordered, schedule.greedy(ordered, n), n),
-            "dynamic": _loads(given, [k for k, _, _ in schedule.dynamic(given, n)], n),
-            "dynamic_sorted": _loads(ordered, [k for k, _, _ in schedule.dynamic(ordered, n)], n),
-        }
-        out += [(mode, n, max(loads[mode]), sum(given)) for mode in MODES]
-    return queries.sparkSession.createDataFrame(out, "mode string, nodes int, makespan double, total double")
+def modes(queries: DataFrame, nodes: Sequence[int], of: Sequence[str] = MODES) -> DataFrame:
+    """mode, nodes, makespan, total of scheduling modes, from estimates (query_id, est): a pass in id order, and one dearest first."""
+    total = queries.count()
+    schema, names = "mode string, nodes int, makespan double, total double", ["mode", "nodes", "makespan", "total"]
+
+    def told(tail: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            static = {n: [0.0] * n for n in nodes if f"static{tail}" in of}
+            greedy, dynamic = ({n: kind(n) for n in nodes if f"{name}{tail}" in of} for name, kind in (("greedy", schedule.Greedy), ("dynamic", schedule.Dynamic)))
+            sums, at = [], 0
+            for batch in batches:
+                given = schedule.estimates_of(batch)
+                for deal in greedy.values():
+                    deal.take(given)
+                for deal in dynamic.values():
+                    deal.pass_over(given)
+                for n, loads in static.items():
+                    size, k = max(1, total // n), 0
+                    while k < len(given):
+                        node = min((at + k) // size, n - 1)
+                        end = len(given) if node == n - 1 else min(len(given), (node + 1) * size - at)
+                        loads[node], k = float(np.cumsum([loads[node], *given[k:end]])[-1]), end
+                sums, at = [*sums, sum(given)] if len(sums) < 1 << 12 else [math.fsum(sums), sum(given)], at + len(given)
+            loads = [("static", n, x) for n, x in static.items()] + [("greedy", n, g.scores) for n, g in greedy.items()] + [("dynamic", n, d.clocks) for n, d in dynamic.items()]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (f"{mode}{tail}", n, max(x), math.fsum(sums)), strict=True)) for mode, n, x in loads], pa.schema(list(zip(names, (pa.string(), pa.int32(), pa.float64(), pa.float64()), strict=True))))
+
+        return fold
+
+    passes = [schedule.in_order(queries, told(tail), schema, by) for tail, by in (("", None), ("_sorted", "est")) if any(m.endswith("_sorted") == bool(tail) for m in of)]
+    return reduce(DataFrame.unionByName, passes)
 
 
 def bursts(queries: DataFrame, nodes: int, sizes: Sequence[int]) -> DataFrame:
     """burst, makespan: how many queries a node gets at first."""
-    costs = [e for _, e in schedule.folded(queries)]
-    out = [(b, max((end for _, _, end in schedule.dynamic(costs, nodes, b)), default=0.0)) for b in sizes]
-    return queries.sparkSession.createDataFrame(out, "burst int, makespan double")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deals, last = [schedule.Dynamic(nodes, b) for b in sizes], [0.0] * len(sizes)
+        for batch in batches:
+            given = schedule.estimates_of(batch)
+            last = [max(end, *deal.take(given)[2]) for end, deal in zip(last, deals, strict=True)] if given else last
+        yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(last, pa.float64())], ["burst", "makespan"])
+
+    return schedule.in_order(queries, fold, "burst int, makespan double")
 
 
 def steals(queries: DataFrame, nodes: int, given: Sequence[int]) -> DataFrame:
     """given, moved: batches that end up on another node, by how many are given away at once; all begin on node 0."""
-    costs = [(0, k, e) for k, (_, e) in enumerate(schedule.folded(queries))]
-    out = [(g, sum(node != 0 for _, node in schedule.stealing(costs, nodes, g))) for g in given]
-    return queries.sparkSession.createDataFrame(out, "given int, moved int")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        costs = schedule.kept_costs(batches)
+        moved = [sum(node != 0 for _, _, node in schedule.stolen([costs, *[()] * (nodes - 1)], g)) for g in given]
+        yield pa.RecordBatch.from_arrays([pa.array(given, pa.int32()), pa.array(moved, pa.int32())], ["given", "moved"])
+
+    return schedule.in_order(queries, fold, "given int, moved int")
 
 
 def thresholds(distances: DataFrame, model: tuple[float, float, float, float, float], divisors: Sequence[int]) -> DataFrame:

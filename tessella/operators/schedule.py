@@ -1,14 +1,19 @@
 """Which node answers which query, and queues of leaves. Results don't depend on any of it; reports do.
 
 Static, sorted and merge steps are DataFrame operations. Greedy, dynamic and stealing runs are folds over queries in
-order: they run in one place, over ids and estimates only, of at most FOLDED queries.
+order, each step of which needs the one before: one task reads ids and estimates in order, a batch at a time, and holds
+no more than a few numbers a node. Stealing takes from both ends, so its task keeps the estimates in a mapped file.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Sequence
+import mmap
+import tempfile
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,61 +33,105 @@ def ordered(queries: DataFrame, by: str) -> DataFrame:
     return numbered(queries.select("query_id", by), F.desc(by), "query_id").select("query_id", (F.col("place") + 1).cast("int").alias("place"))
 
 
+class Greedy:
+    """The current node gets a query; once its score reaches the highest, the next node's turn comes."""
+
+    def __init__(self, nodes: int):
+        self.scores, self.highest, self.node = [0.0] * nodes, 0.0, 0
+
+    def take(self, estimates: Sequence[float]) -> list[int]:
+        """The node of each query in turn."""
+        scores, highest, node, out = self.scores, self.highest, self.node, []
+        for e in estimates:
+            out.append(node)
+            score = scores[node] = scores[node] + e
+            if score >= highest:
+                highest, node = score, (node + 1) % len(scores)
+        self.highest, self.node = highest, node
+        return out
+
+
 def greedy(estimates: Sequence[float], nodes: int) -> list[int]:
-    """The node of each query in turn: the current node gets it; once its score reaches the highest, the next node's turn comes."""
-    scores, highest, node, out = [0.0] * nodes, 0.0, 0, []
-    for e in estimates:
-        out.append(node)
-        scores[node] += e
-        if scores[node] >= highest:
-            highest, node = scores[node], (node + 1) % nodes
-    return out
+    return Greedy(nodes).take(estimates)
+
+
+class Dynamic:
+    """A burst in turn to every node, then the next query to whichever is free first. clocks: when each node is free."""
+
+    def __init__(self, nodes: int, burst: int = 1):
+        self.nodes, self.left, self.at, self.free = nodes, nodes * burst, 0, [(0.0, n) for n in range(nodes)]
+
+    @property
+    def clocks(self) -> list[float]:
+        return [at for at, _ in self.free]
+
+    def take(self, estimates: Sequence[float]) -> tuple[list[int], list[float], list[float]]:
+        """node, start and end of each query in turn."""
+        nodes, starts, ends, head = [], [], [], estimates[: self.left]
+        self.left -= len(head)
+        for e in head:  # in turn; free is in the order of nodes
+            node = self.at % self.nodes
+            at = self.free[node][0]
+            self.free[node], self.at = (at + e, node), self.at + 1
+            nodes.append(node), starts.append(at), ends.append(at + e)
+        if not self.left and len(head):
+            heapq.heapify(self.free)
+        free, replace = self.free, heapq.heapreplace
+        for e in estimates[len(head) :] if head else estimates:
+            at, node = free[0]
+            end = at + e
+            replace(free, (end, node))
+            nodes.append(node), starts.append(at), ends.append(end)
+        return nodes, starts, ends
+
+    def pass_over(self, estimates: Sequence[float]) -> None:
+        """As take(), where only the clocks matter."""
+        if self.left:
+            self.take(estimates)
+            return
+        free, replace = self.free, heapq.heapreplace
+        for e in estimates:
+            at, node = free[0]
+            replace(free, (at + e, node))
 
 
 def dynamic(estimates: Sequence[float], nodes: int, burst: int = 1) -> list[tuple[int, float, float]]:
-    """(node, start, end) of each query: a burst in turn to every node, then the next query to whichever is free first."""
-    queues: list[list[int]] = [[] for _ in range(nodes)]
-    head = min(len(estimates), nodes * burst)
-    for k in range(head):
-        queues[k % nodes].append(k)
-    out: list[tuple[int, float, float]] = [(0, 0.0, 0.0)] * len(estimates)
-    free = []
-    for node, own in enumerate(queues):
-        at = 0.0
-        for k in own:
-            out[k] = (node, at, at + estimates[k])
-            at += estimates[k]
-        free.append((at, node))
-    heapq.heapify(free)
-    for k in range(head, len(estimates)):
-        at, node = heapq.heappop(free)
-        out[k] = (node, at, at + estimates[k])
-        heapq.heappush(free, (at + estimates[k], node))
-    return out
+    """(node, start, end) of each query."""
+    return list(zip(*Dynamic(nodes, burst).take(estimates), strict=True))
+
+
+def stolen(costs: Sequence[Sequence[float]], given: int = 4) -> Iterator[tuple[int, int, int]]:
+    """(node, place, runner) as batches run. costs: of each node's batches, by queue index.
+
+    A node without work takes, from the fullest node, up to given batches that are not begun, those with the largest queue
+    index. So what a node has left is always a run (low to high) of the batches that one node began with (own).
+    """
+    nodes = range(len(costs))
+    own, low, high, clock = list(nodes), [0] * len(costs), [len(c) for c in costs], [(0.0, n) for n in nodes]
+    while clock:
+        at, node = clock[0]
+        if low[node] == high[node]:
+            left = [h - k for h, k in zip(high, low, strict=True)]
+            victim = left.index(max(left))
+            if not left[victim]:
+                heapq.heappop(clock)
+                continue
+            own[node], high[node] = own[victim], high[victim]
+            low[node] = high[victim] = max(low[victim], high[victim] - given)
+        source, k = own[node], low[node]
+        low[node] = k + 1
+        yield source, k, node
+        heapq.heapreplace(clock, (at + costs[source][k], node))
 
 
 def stealing(batches: Sequence[tuple[int, int, float]], nodes: int, given: int = 4) -> list[tuple[int, int]]:
-    """(batch, node) after stealing. batches: (node, smallest queue index, cost). A node without work takes, from the
-    fullest node, up to given batches that are not begun, those with the largest queue index first."""
-    own: dict[int, list[tuple[int, float, int]]] = {n: [] for n in range(nodes)}
+    """(batch, node) after stealing. batches: (node, smallest queue index, cost)."""
+    own: list[list[tuple[int, float, int]]] = [[] for _ in range(nodes)]
     for k, (node, queue, cost) in enumerate(batches):
         own[node].append((queue, cost, k))
-    for work in own.values():
-        work.sort(reverse=True)  # the next to run is last
-    clock, out = [(0.0, n) for n in range(nodes)], []
-    heapq.heapify(clock)
-    while clock:
-        at, node = heapq.heappop(clock)
-        if not own[node]:
-            victim = max(own, key=lambda n: (len(own[n]), -n))
-            if not own[victim]:
-                continue
-            stolen, own[victim] = own[victim][:given], own[victim][given:]
-            own[node] = stolen
-        _, cost, k = own[node].pop()
-        out.append((k, node))
-        heapq.heappush(clock, (at + cost, node))
-    return sorted(out)
+    for work in own:
+        work.sort()
+    return sorted((own[source][k][2], node) for source, k, node in stolen([[cost for _, cost, _ in work] for work in own], given))
 
 
 def folded(queries: DataFrame, by: str | None = None) -> list:
@@ -93,16 +142,66 @@ def folded(queries: DataFrame, by: str | None = None) -> list:
     return list(zip(rows.column("query_id").to_pylist(), rows.column("est").to_pylist(), strict=True))
 
 
+def in_order(queries: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, by: str | None = None) -> DataFrame:
+    """A fold over batches of query_id and est, in id order or dearest first: of any number of queries, in one task.
+
+    A row of nulls goes along, so that there is a task where there are no queries.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fold(b.filter(b.column("query_id").is_valid()) if b.column("query_id").null_count else b for b in batches)
+
+    none = queries.sparkSession.range(1).select(F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("double").alias("est"))
+    rows = queries.select("query_id", "est").unionByName(none).repartition(1)
+    return rows.sortWithinPartitions(*([F.desc(by), "query_id"] if by else ["query_id"])).mapInArrow(run, schema)
+
+
+def estimates_of(batch: pa.RecordBatch) -> list[float]:
+    """A null is an error."""
+    return batch.column("est").to_numpy().tolist()
+
+
 def greedy_schedule(queries: DataFrame, nodes: int, sort: bool = True) -> DataFrame:
     """queries (query_id, est): query_id, node."""
-    rows = folded(queries, "est" if sort else None)
-    return queries.sparkSession.createDataFrame([(q, n) for (q, _), n in zip(rows, greedy([e for _, e in rows], nodes), strict=True)], "query_id long, node int")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = Greedy(nodes)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(deal.take(estimates_of(batch)), pa.int32())], ["query_id", "node"])
+
+    return in_order(queries, fold, "query_id long, node int", "est" if sort else None)
 
 
 def dynamic_schedule(queries: DataFrame, nodes: int, burst: int = 1, sort: bool = False) -> DataFrame:
-    rows = folded(queries, "est" if sort else None)
-    runs = dynamic([e for _, e in rows], nodes, burst)
-    return queries.sparkSession.createDataFrame([(q, *x) for (q, _), x in zip(rows, runs, strict=True)], "query_id long, node int, start double, end double")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = Dynamic(nodes, burst)
+        for batch in batches:
+            node, start, end = deal.take(estimates_of(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(node, pa.int32()), pa.array(start, pa.float64()), pa.array(end, pa.float64())], ["query_id", "node", "start", "end"])
+
+    return in_order(queries, fold, "query_id long, node int, start double, end double", "est" if sort else None)
+
+
+def kept_costs(batches: Iterator[pa.RecordBatch]) -> memoryview:
+    """The estimates of a fold's queries in a temporary file that is mapped: any of them can be read, and memory needn't hold them."""
+    with tempfile.TemporaryFile() as file:
+        for batch in batches:
+            file.write(batch.column("est").to_numpy().tobytes())
+        file.flush()
+        return memoryview(mmap.mmap(file.fileno(), 0) if file.tell() else b"").cast("d")
+
+
+def stealing_schedule(queries: DataFrame, nodes: int, given: int = 4) -> DataFrame:
+    """batch, node after stealing: batches are queries (query_id, est) by their place in id order, and begin dealt in turn."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        costs = kept_costs(batches)
+        runs = stolen([costs[n::nodes] for n in range(nodes)], given)
+        while some := [(source + nodes * k, node) for source, k, node in islice(runs, 1 << 16)]:
+            batch, node = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(batch, pa.int32()), pa.array(node, pa.int32())], ["batch", "node"])
+
+    return in_order(queries, fold, "batch int, node int")
 
 
 def answered(queries: DataFrame, placed: DataFrame, nodes: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:

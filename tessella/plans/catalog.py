@@ -878,8 +878,7 @@ def w3r(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w4_stealing", _STEALING)
 def w4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(q % NODES, q, est) for q, est in schedule.folded(costs(spark, sf_dir))]
-    return spark.createDataFrame(schedule.stealing(rows, NODES), "batch int, node int")
+    return schedule.stealing_schedule(costs(spark, sf_dir), NODES)
 
 
 @query("q2_15_scheduled_search", _nearest(1))
@@ -1059,7 +1058,7 @@ def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e6_mode_comparison", f"{_EST}, p AS (SELECT est, row_number() OVER (ORDER BY query_id) - 1 AS k, count(*) OVER () AS m FROM e), n AS (SELECT unnest([2, 4, 8]) AS nodes), l AS (SELECT nodes, least(k // greatest(1, m // nodes), nodes - 1) AS node, sum(est) AS load FROM p, n GROUP BY ALL) SELECT nodes, round(max(load), 4) AS makespan, round(sum(load), 4) AS total FROM l GROUP BY 1")
 def e6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The static mode of the comparison; e6_all_modes has the others."""
-    rows = experiments.modes(costs(spark, sf_dir), (2, 4, 8)).filter("mode = 'static'")
+    rows = experiments.modes(costs(spark, sf_dir), (2, 4, 8), ("static",))
     return rows.select("nodes", F.round("makespan", 4).alias("makespan"), F.round("total", 4).alias("total"))
 
 

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import generate, partition, predict, report, schedule
+from tessella.operators import experiments, generate, partition, predict, report, schedule
 from tessella.plans.storage import numbered
 
 
@@ -103,3 +104,36 @@ def test_settings_are_compared(spark):
     rows = [("a", 0, 1.0), ("a", 0, 3.0), ("a", 1, 5.0), ("b", 0, 2.0)]
     found = report.by_setting(spark.createDataFrame(rows, "mode string, run int, sec double"), ["mode"], "sec").collect()
     assert sorted(map(tuple, found)) == [("a", 4.0, 2), ("b", 2.0, 1)]
+
+
+def test_schedules_take_any_number_of_queries(spark, monkeypatch):
+    """No limit of queries, and batches smaller than the whole: the same as the plain folds over the whole."""
+    monkeypatch.setattr(schedule, "FOLDED", 19)
+    costs = [float(k * 37 % 23 + 1) / 8 for k in range(1000)]
+    rows = spark.createDataFrame(list(enumerate(costs)), "query_id long, est double").repartition(7)
+    dearest = sorted(range(1000), key=lambda k: (-costs[k], k))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {tuple(r) for r in schedule.greedy_schedule(rows, 3, sort=False).collect()} == set(enumerate(schedule.greedy(costs, 3)))
+        assert {tuple(r) for r in schedule.greedy_schedule(rows, 3).collect()} == set(zip(dearest, schedule.greedy([costs[k] for k in dearest], 3), strict=True))
+        runs = schedule.dynamic(costs, 4, 5)
+        assert {tuple(r) for r in schedule.dynamic_schedule(rows, 4, 5).collect()} == {(k, *run) for k, run in enumerate(runs)}
+        assert {tuple(r) for r in experiments.bursts(rows, 4, (1, 5, 400)).filter("burst = 5").collect()} == {(5, max(end for _, _, end in runs))}
+        assert {tuple(r) for r in schedule.stealing_schedule(rows, 4, 3).collect()} == set(schedule.stealing([(k % 4, k, e) for k, e in enumerate(costs)], 4, 3))
+        moved = {g: sum(n > 0 for _, n in schedule.stealing([(0, k, e) for k, e in enumerate(costs)], 3, g)) for g in (1, 6)}
+        assert dict(map(tuple, experiments.steals(rows, 3, (1, 6)).collect())) == moved
+        found = {(r["mode"], r.nodes): (r.makespan, r.total) for r in experiments.modes(rows, (1, 3)).collect()}
+        assert set(found) == {(m, n) for m in experiments.MODES for n in (1, 3)} and {t for _, t in found.values()} == {sum(costs)}
+        assert found["static", 3][0] == max(sum(costs[:333]), sum(costs[333:666]), sum(costs[666:])) and found["dynamic", 3][0] == max(end for _, _, end in schedule.dynamic(costs, 3))
+        empty = rows.limit(0)
+        assert schedule.stealing_schedule(empty, 4).isEmpty() and schedule.greedy_schedule(empty, 4).isEmpty()
+        assert {tuple(r) for r in experiments.bursts(empty, 4, (1,)).collect()} == {(1, 0.0)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_stealing_from_the_fullest_is_linear():
+    """Half a million batches on one node: what is given away is not cut out of a list."""
+    began = time.perf_counter()
+    found = schedule.stealing([(0, k, 1.0) for k in range(500_000)], 4, 1)
+    assert len(found) == 500_000 and time.perf_counter() - began < 30
