@@ -96,17 +96,10 @@ def bsf_policies(tree: index.Index, queries: DataFrame, nodes: Sequence[int], ru
     """nodes, policy, run, real: distances computed by nodes that each hold every so-manieth root, with the seed of each node's
     own leaf alone (own) or of whichever node has the query's leaf (shared)."""
     asked = written(search.prepared(queries, tree), "asked")
-    seeded, _ = search.seeded(asked, tree, 1)
-    seeded, out = written(seeded, "seeded"), None
-    for n in nodes:
-        for policy in ("own", "shared"):
-            for node in range(n):
-                mine = F.pmod("root", F.lit(n)) == node
-                bsf = seeded if policy == "shared" else seeded.withColumn("bsf", F.when(mine, F.col("bsf")))
-                each = search.counts_given(bsf, tree, mine).agg(F.sum("real").alias("real"))
-                out_ = each.select(F.lit(n).alias("nodes"), F.lit(policy).alias("policy"), F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"), "real")
-                out = out_ if out is None else out.unionByName(out_)
-    return out.groupBy("nodes", "policy", "run").agg(F.sum("real").alias("real"))
+    each = search.policy_counts(search.seeded(asked, tree, 1)[0], tree, nodes)
+    policies = F.explode(F.array(*(F.struct(F.lit(p).alias("policy"), F.col(p).alias("real")) for p in ("own", "shared")))).alias("of")
+    each = each.select("nodes", policies).select("nodes", "of.policy", "of.real")
+    return each.select("nodes", "policy", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"), "real")
 
 
 def index_scaling(series: DataFrame, config: IndexConfig, quarters: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
