@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import generate, index, partition, search
+from tessella.operators import experiments, generate, index, partition, search
 from tessella.plans.config import IndexConfig
 from tessella.plans.storage import written
 
@@ -150,3 +150,45 @@ def test_density_aware_places_each_series_once(spark, walks):
     assert sorted(placed.series_id) == list(range(600))
     sizes = np.bincount(placed.group_id, minlength=4)
     assert sizes.max() / sizes.mean() < 1.06
+
+
+def test_groups_of_any_size(spark, walks, asked, monkeypatch):
+    """Groups of a few rows on both sides, with blocks visited by some: the same answers and counts as in one group."""
+    config = IndexConfig(32, 4, 8, 9)
+    tree = index.build(walks, config, True, pack_bytes=32 * 48 * 8, block=32)
+    one = index.build(walks, config, False)
+    bsf = asked.select("query_id", F.lit(None).cast("double").alias("bsf"))
+
+    def all_of():
+        found = rows(search.exact(asked, tree, 2)), rows(search.exact(asked, tree, 1, bsf=bsf, only=F.col("root") < 8)), rows(search.serial(asked, walks, config, 2))
+        each = (search.counts(asked, tree), search.per_root(asked, one), search.candidates(asked, tree), search.self_distances(asked, 32))
+        return *found, *(sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()) for df in each)
+
+    whole = all_of()
+    assert whole[0] == whole[2]
+    monkeypatch.setattr(search, "GROUP_BYTES", 32 * 8 * 15)
+    assert search._n_groups(600, 32) == 40 and search._n_groups(40, 32) == 3
+    assert all_of() == whole
+
+
+def test_a_row_is_shuffled_for_a_few_groups(spark, walks, asked):
+    """The blocks of 4096 and 2048 before sent each of 600,000 rows to 150 and 300 groups; and plans don't grow with nodes and policies."""
+    assert search._n_groups(10_000, 64) == search._n_groups(500_000, 64) == 8 and search._n_groups(600_000, 64) == 10
+    one = index.build(walks, IndexConfig(32, 4, 8, 9), False)
+    plan = experiments.bsf_policies(one, asked, (1, 2, 4), runs=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("CoGroupsInArrow") == 1
+
+
+def test_products_at_any_scale():
+    """Many copies, and series whose squares a single-precision product can't hold: distances, ties and ids as by differences."""
+    rng = np.random.default_rng(1)
+    for scale in (1.0, 1e-14, 1e18):
+        x = np.repeat(rng.normal(size=(60, 16)), 5, axis=0) * scale
+        q, ids = x[::7] + rng.normal(size=(43, 16)) * scale * 0.1, rng.permutation(300)
+        best = search._Nearest(q, 7)
+        for at in range(0, 300, 41):
+            best.take(x[at : at + 41], ids[at : at + 41])
+        d = ((q[:, None] - x[None]) ** 2).sum(axis=2)
+        order = np.lexsort((np.broadcast_to(ids, d.shape), np.round(d / scale**2, 9)), axis=1)[:, :7]
+        assert (best.ids == ids[order]).all() and np.allclose(best.d, np.take_along_axis(d, order, axis=1))
+        assert sorted(ids[search._of_each(x, ids, 2)]) == sorted(i for k in range(60) for i in sorted(ids[5 * k : 5 * k + 5])[:2])
