@@ -334,20 +334,22 @@ def approximate(queries: DataFrame, index: Index, k: int = 1) -> DataFrame:
     length = index.config.length
 
     def run(some: pa.Table, mine: pa.Table) -> pa.Table:
-        found = [_Nearest(np.zeros((0, length)), k).found(np.zeros(0, np.int64))]
-        if some.num_rows and mine.num_rows:
-            x, ids, q, q_ids = kernels.matrix(some.column("values"), length), some.column("series_id").to_numpy(), kernels.matrix(mine.column("values"), length), mine.column("query_id").to_numpy()
-            for rows, asking in _by_leaf(some, mine):
-                best = _Nearest(q[asking], k)
-                if len(rows) <= 16:
-                    i, j = np.divmod(np.arange(len(rows) * len(asking)), len(rows))
-                    best.offer(i, ids[rows[j]], _paired(best.q, i, x, rows[j]))
-                else:
-                    rows = rows[_of_each(x[rows], ids[rows], k)]
-                    for at in range(0, len(rows), 4 * RUN):
-                        best.take(x[rows[at : at + 4 * RUN]], ids[rows[at : at + 4 * RUN]])
-                found.append(best.found(q_ids[asking]))
-        return pa.concat_tables(found)
+        if not some.num_rows or not mine.num_rows:
+            return _Nearest(np.zeros((0, length)), k).found(np.zeros(0, np.int64))
+        x, ids, best = kernels.matrix(some.column("values"), length), some.column("series_id").to_numpy(), _Nearest(kernels.matrix(mine.column("values"), length), k)
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for rows, asking in _by_leaf(some, mine):
+            if len(rows) <= 16:  # leaves of a few series go together
+                pairs.append((np.repeat(asking, len(rows)), np.tile(rows, len(asking))))
+            else:
+                rows = rows[_of_each(x[rows], ids[rows], k)]
+                for at in range(0, len(rows), 4 * RUN):
+                    best.take(x[rows[at : at + 4 * RUN]], ids[rows[at : at + 4 * RUN]], asking)
+        i, j = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        for at in range(0, len(i), 1 << 16):
+            i_, j_ = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            best.offer(i_, ids[j_], _paired(best.q, i_, x, j_))
+        return best.found(mine.column("query_id").to_numpy())
 
     return _top(_in_own(index, asked, run, FOUND, ["query_id", "leaf", "values"]), k)
 
